@@ -183,7 +183,8 @@ def snap_points(spark: SparkSession, sf: str) -> DataFrame:
     fx.with_tables("size", "nodes", "points", "snapped")
     + """, p AS (SELECT count(*) AS parts FROM part)
 SELECT CAST(o_orderkey AS BIGINT) AS request_id, s.node_id AS start_node, t.node_id AS dest_node
-FROM orders, p, snapped s, snapped t WHERE o_orderkey < 200 AND s.point_id = o_orderkey % parts AND t.point_id = (o_orderkey * 7 + 3) % parts""",
+FROM (SELECT o_orderkey, o_orderkey % parts AS s_id, (o_orderkey * 7 + 3) % parts AS t_id FROM orders, p WHERE o_orderkey < 200)
+  JOIN snapped s ON s.point_id = s_id JOIN snapped t ON t.point_id = t_id""",
 )
 def snap_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     done = snap.snap_endpoints(fx.position_requests(spark, sf), fx.nodes(spark, sf), fx.GRID)
@@ -304,7 +305,8 @@ def unpack(spark: SparkSession, sf: str) -> DataFrame:
     + """, p AS (SELECT count(*) AS parts FROM part),
 requests AS (
   SELECT CAST(o_orderkey AS BIGINT) AS request_id, s.node_id AS start_node, t.node_id AS dest_node
-  FROM orders, p, snapped s, snapped t WHERE o_orderkey < 200 AND s.point_id = o_orderkey % parts AND t.point_id = (o_orderkey * 7 + 3) % parts),
+  FROM (SELECT o_orderkey, o_orderkey % parts AS s_id, (o_orderkey * 7 + 3) % parts AS t_id FROM orders, p WHERE o_orderkey < 200)
+  JOIN snapped s ON s.point_id = s_id JOIN snapped t ON t.point_id = t_id),
 """
     + fx.SQL["lengths"]
     + """, timed AS (SELECT *, dist * 9 // 325 AS s, euclid AS m FROM lengths)
@@ -403,8 +405,8 @@ def filter_gps(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "t2_w3_gps_positions",
     fx.with_tables("fixes", "kept", recursive=True)
-    + """, at AS (SELECT device_id, event_id, ts_ms, CAST(floor(lat * 1e7 + 0.5) AS INTEGER) AS lat_e7, CAST(floor(lon * 1e7 + 0.5) AS INTEGER) AS lon_e7 FROM kept),
-b AS (SELECT *, lag(lat_e7) OVER w AS lat0, lag(lon_e7) OVER w AS lon0 FROM at WINDOW w AS (PARTITION BY device_id ORDER BY ts_ms, event_id))
+    + """, e7 AS (SELECT device_id, event_id, ts_ms, CAST(floor(lat * 1e7 + 0.5) AS INTEGER) AS lat_e7, CAST(floor(lon * 1e7 + 0.5) AS INTEGER) AS lon_e7 FROM kept),
+b AS (SELECT *, lag(lat_e7) OVER w AS lat0, lag(lon_e7) OVER w AS lon0 FROM e7 WINDOW w AS (PARTITION BY device_id ORDER BY ts_ms, event_id))
 SELECT device_id, event_id, lat_e7, lon_e7 FROM b WHERE (lat_e7, lon_e7) IS DISTINCT FROM (lat0, lon0)""",
 )
 def gps_positions(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from math import floor, log2
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import Grid, grid_cell
@@ -39,6 +39,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _two_to(level: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(level))
+
+
 def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each level k, start a and direction d of the line graph's contraction hierarchy."""
     n = node_count(spark, sf_dir)
@@ -51,7 +55,7 @@ def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
         (10 + i % 7).alias("euclid"),
         F.explode(F.sequence(F.lit(0), F.lit(level))).alias("k"),
     )
-    length = F.shiftleft(F.lit(1).cast("bigint"), F.col("k"))
+    length = _two_to("k")
     start = F.col("i") - F.col("i") % length
     sums = base.groupBy("k", start.alias("a")).agg(
         F.sum("d0").alias("d0"), F.sum("d1").alias("d1"), F.sum("euclid").alias("euclid")
@@ -61,7 +65,7 @@ def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("*", two, F.lit(level).alias("top"))
 
 
-def _edge_id(k, a, d):
+def _edge_id(k: Column, a: Column, d: Column) -> Column:
     return (k * EDGE_ID_STEP + a) * 2 + d
 
 
@@ -69,7 +73,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(edge_id, owner, direction, src, dst, dist)``; core edges belong to their source."""
     src = F.when(F.col("d") == 0, F.col("a")).otherwise(F.col("b"))
     dst = F.when(F.col("d") == 0, F.col("b")).otherwise(F.col("a"))
-    a_is_odd = F.col("a") % F.shiftleft(F.lit(2).cast("bigint"), F.col("k")) != 0
+    a_is_odd = F.col("a") % (2 * _two_to("k")) != 0
     owner = F.when(F.col("k") == F.col("top"), src).when(a_is_odd, F.col("a")).otherwise(F.col("b"))
     return _hierarchy(spark, sf_dir).select(
         _edge_id(F.col("k").cast("bigint"), F.col("a"), F.col("d")).alias("edge_id"),
@@ -84,7 +88,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edge_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(edge_id, euclid, shortcut1, shortcut2, shortcut_node)``; -1 marks a road edge."""
     k, a, d = F.col("k").cast("bigint"), F.col("a"), F.col("d")
-    mid = a + F.shiftright(F.shiftleft(F.lit(1).cast("bigint"), F.col("k")), 1)
+    mid = a + F.shiftright(_two_to("k"), 1)
     halves = _edge_id(k - 1, a, d), _edge_id(k - 1, mid, d)
     none = F.lit(-1).cast("bigint")
     first = F.when(F.col("k") == 0, none).when(d == 0, halves[0]).otherwise(halves[1])
@@ -156,8 +160,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, q, lat_min, lat_max, lon_min, lon_max)``; the names are a few dozen, whatever the table's size."""
-    from pyspark.sql import Window
-
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     ranked = names.select((F.row_number().over(Window.orderBy("p_name")) - 1).cast("bigint").alias("query_id"), "p_name")
     half = F.floor(F.col("query_id") / 2)
@@ -194,8 +196,6 @@ def gps_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(route_id, seq, lat, lon)`` in degrees: each device's track in order of time."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("device_id").orderBy("ts_ms", "event_id")
     seq = (F.row_number().over(order) - 1).alias("seq")
     return gps_fixes(spark, sf_dir).select(F.col("device_id").alias("route_id"), seq, "lat", "lon")
@@ -326,8 +326,8 @@ kept AS (SELECT n.* EXCLUDE (rn) FROM numbered n JOIN folded f USING (event_id)
     CASE WHEN event_type <> 'signup' THEN {'lat_e7': s.lat_e7, 'lon_e7': s.lon_e7} END AS start_at,
     CASE WHEN NOT (event_type = 'view' AND f.event_id % 5 = 0) THEN {'lat_e7': t.lat_e7, 'lon_e7': t.lon_e7} END AS end_at,
     CASE WHEN event_type <> 'error' THEN {'lat_e7': CAST(floor(lat * 1e7 + 0.5) AS INTEGER), 'lon_e7': CAST(floor(lon * 1e7 + 0.5) AS INTEGER)} END AS gps
-  FROM fixes f JOIN events e ON e.event_id = f.event_id, size, nodes s, nodes t
-  WHERE s.node_id = f.event_id % n AND t.node_id = (f.event_id * 31 + 7) % n)""",
+  FROM (SELECT fixes.*, event_id % n AS s_id, (event_id * 31 + 7) % n AS t_id FROM fixes, size) f
+    JOIN events e ON e.event_id = f.event_id JOIN nodes s ON s.node_id = s_id JOIN nodes t ON t.node_id = t_id)""",
     "runs": """runs AS (
   SELECT CAST(o_orderkey AS BIGINT) // 6 AS route, CAST(o_orderkey AS BIGINT) % 6 AS run, CAST(o_orderkey AS BIGINT) * 31 % 500 AS ms
   FROM orders WHERE o_orderkey < 60 AND o_orderkey <> 20)""",
