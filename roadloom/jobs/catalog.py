@@ -268,7 +268,7 @@ SELECT r.request_id, CAST(dist AS BIGINT) AS dist FROM r JOIN best b ON b.reques
 def general_graph(spark: SparkSession, sf: str) -> DataFrame:
     # ten requests are the query's own input: every node is core, so each one reaches the whole graph
     requests = fx.route_requests(spark, sf).where("request_id < 10")
-    labels = graph.shortest_paths(requests, None, fx.general_edges(spark, sf))
+    labels = graph.shortest_paths_by_rounds(requests, None, fx.general_edges(spark, sf))
     return graph.path_length(requests, labels)
 
 

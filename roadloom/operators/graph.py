@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.session import cut
 
+CORE_LIMIT = 200_000
+
 
 def edge_endpoints(edges: DataFrame) -> DataFrame:
     """``(edge_id, owner, direction, peer, dist)`` as ``src`` and ``dst``: out edges leave their owner, in edges reach it."""
@@ -28,16 +33,14 @@ def _cone(roots: DataFrame, edges: DataFrame, nodes: DataFrame, direction: str)
     own = edges.where(F.col("direction") == direction).join(low, F.col("owner") == F.col("node_id"), "left_semi")
     own = own.select("owner", "edge_id", "src", "dst", "dist")
     frontier = roots.select(F.col("root").cast("bigint").alias("root")).where("root IS NOT NULL").distinct()
-    frontier = frontier.withColumn("node", F.col("root"))
-    seen, cone = frontier, None
-    while True:
-        step = cut(frontier.join(own, F.col("node") == F.col("owner")).select("root", "edge_id", "src", "dst", "dist"))
-        cone = step if cone is None else cone.unionByName(step)
-        reached = step.select("root", F.col(peer).alias("node")).distinct()
-        frontier = cut(reached.join(seen, ["root", "node"], "left_anti").join(low, F.col("node") == F.col("node_id"), "left_semi"))
-        if frontier.isEmpty():
-            return cone
+    frontier = cut(frontier.join(low, F.col("root") == F.col("node_id"), "left_semi").withColumn("node", F.col("root")))
+    seen = frontier
+    while not frontier.isEmpty():
+        reached = frontier.join(own, F.col("node") == F.col("owner")).select("root", F.col(peer).alias("node")).distinct()
+        fresh = reached.join(seen, ["root", "node"], "left_anti")
+        frontier = cut(fresh.join(low, F.col("node") == F.col("node_id"), "left_semi"))
         seen = seen.unionByName(frontier)
+    return seen.join(own, F.col("node") == F.col("owner")).select("root", "edge_id", "src", "dst", "dist")
 
 
 def up_cone(roots: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -67,8 +70,62 @@ def search_graph(requests: DataFrame, up: DataFrame, down: DataFrame) -> DataFra
     return parts[0].unionByName(parts[1])
 
 
-def shortest_paths(requests: DataFrame, cones: DataFrame | None, core: DataFrame) -> DataFrame:
-    """``(request_id, node, dist, pred_edge, pred_node)``: labels of all nodes on the way from each start.
+def search_labels(start: int, dest: int, own: list[tuple], core: dict[int, list[tuple]]) -> list[tuple]:
+    """Labels ``(node, dist, pred_edge, pred_node)`` of one request, settled in order of distance up to the destination.
+
+    ``own`` holds ``(src, dst, dist, edge_id)``; ``core`` the same by source.
+    """
+    out: dict[int, list[tuple]] = {}
+    for src, *edge in sorted(own):
+        out.setdefault(src, []).append(edge)
+    best, heap, settled = {start: (0, None, None)}, [(0, start)], []
+    done: set[int] = set()
+    while heap:
+        dist, node = heappop(heap)
+        if node in done:
+            continue
+        done.add(node)
+        settled.append((node, *best[node]))
+        if node == dest:
+            break
+        for edges in (out.get(node, ()), core.get(node, ())):
+            for far, w, edge in edges:
+                if far not in best or dist + w < best[far][0]:
+                    best[far] = (dist + w, edge, node)
+                    heappush(heap, (dist + w, far))
+    return settled
+
+
+def shortest_paths(requests: DataFrame, cones: DataFrame, core: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
+    """``(request_id, node, dist, pred_edge, pred_node)``: labels of the nodes on the way from each start.
+
+    A request's cones are small, so each request is searched by itself where its
+    cone edges meet, over them and the core, which every task holds if it has up to
+    ``core_limit`` edges. A larger core is not sent: ``shortest_paths_by_rounds`` then gives the same distances.
+    """
+    small = core.select("src", "dst", "dist", "edge_id").limit(core_limit + 1).collect()
+    if len(small) > core_limit:
+        return shortest_paths_by_rounds(requests, cones, core)
+    by_source: dict[int, list[tuple]] = {}
+    for src, *edge in sorted(map(tuple, small)):
+        by_source.setdefault(src, []).append(tuple(edge))
+    shared = requests.sparkSession.sparkContext.broadcast(by_source)
+
+    def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        edges = list(zip(*(own[c].tolist() for c in ("src", "dst", "dist", "edge_id")), strict=True))
+        for number, start, dest in zip(asked["own_id"].tolist(), asked["start_node"].tolist(), asked["dest_node"].tolist(), strict=True):
+            rows += [(number, *label) for label in search_labels(start, dest, edges, shared.value)]
+        return pd.DataFrame(rows, columns=["request_id", "node", "dist", "pred_edge", "pred_node"]).astype({"pred_edge": "Int64", "pred_node": "Int64"})
+
+    # of another name, as the cones come from the same requests
+    asked = requests.select(F.col("request_id").alias("own_id"), "start_node", "dest_node").groupBy("own_id")
+    schema = "request_id bigint, node bigint, dist bigint, pred_edge bigint, pred_node bigint"
+    return asked.cogroup(cones.select("request_id", "src", "dst", "dist", "edge_id").groupBy("request_id")).applyInPandas(run, schema)
+
+
+def shortest_paths_by_rounds(requests: DataFrame, cones: DataFrame | None, core: DataFrame) -> DataFrame:
+    """The same labels by joins, for graphs whose core is too large to send, or that are all core.
 
     Rounds of relaxation over each request's cone edges and the core. Of equal
     distances the smaller last edge stays, so results don't depend on order. Labels not
