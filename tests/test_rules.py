@@ -1,0 +1,181 @@
+"""Edge cases of the rules, by hand and against plain statements of them."""
+
+import math
+import random
+import struct
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from roadloom.functions import geo, text
+from roadloom.operators import graph, search, snap, tracking, validate
+from roadloom.operators.polyline import leaf_ranges, zoom_levels
+from roadloom.sources.graph_file import FIELDS, MAGIC, read_graph_file
+
+GRID = geo.Grid(0, 0, 100, 100, 10, 10)
+NODES = "node_id long, lon_e7 int, lat_e7 int, is_core boolean"
+EDGES = "edge_id long, owner long, direction string, src long, dst long, dist long"
+
+
+def test_texts(spark):
+    s = spark.createDataFrame([(x,) for x in (59, 60, 75, 3599, 3600, 7260)], "s long").select(text.format_duration(F.col("s")).alias("t"))
+    assert [r.t for r in s.collect()] == ["59 s", "1.0 min", "1.3 min", "60.0 min", "1 h 0 min", "2 h 1 min"]
+    m = spark.createDataFrame([(x,) for x in (49, 50, 1150, 1250)], "m long").select(text.format_distance(F.col("m")).alias("t"))
+    assert [r.t for r in m.collect()] == ["0.0 km", "0.1 km", "1.2 km", "1.3 km"]
+    q = spark.createDataFrame([("  an old  mill ",), ("a b",), (None,)], "q string")
+    assert [r[0] for r in q.select(text.filter_query(F.col("q"))).collect()] == ["old mill", "", None]
+
+
+def test_e7_rounds_half_up(spark):
+    rows = spark.createDataFrame([(-5e-8,), (5e-8,), (48.7456169,)], "d double").select(geo.to_e7(F.col("d")).alias("e"))
+    assert [r.e for r in rows.collect()] == [0, 1, 487456169]
+
+
+def _snap(spark, points, nodes):
+    df = spark.createDataFrame([(*n, False) for n in nodes], NODES).withColumn("cell_id", geo.grid_cell(F.col("lon_e7"), F.col("lat_e7"), GRID))
+    got = snap.snap_points(spark.createDataFrame(points, "point_id long, lat_e7 int, lon_e7 int"), df, GRID)
+    return {r.point_id: (r.dist2, r.node_id) for r in got.collect()}
+
+
+def test_snap_is_exact(spark):
+    r = random.Random(3)
+    nodes = [(i, r.randrange(-50, 1050), r.randrange(-50, 1050)) for i in range(30)] + [(90, 500, 500), (91, 500, 500)]
+    points = [(i, r.randrange(-3000, 4000), r.randrange(-3000, 4000)) for i in range(60)] + [(100, 500, 500)]
+    want = {p: min(((lat - y) ** 2 + (lon - x) ** 2, n) for n, x, y in nodes) for p, lat, lon in points}
+    assert _snap(spark, points, nodes) == want
+    assert _snap(spark, [(1, None, 5), (2, 5, 5)], [(7, 9, 9)]) == {2: (32, 7)}
+    assert _snap(spark, [(1, 5, 5)], []) == {}
+
+
+def test_paths_by_both_methods(spark):
+    r = random.Random(5)
+    nodes = spark.createDataFrame([(i, 0, 0, True) for i in range(12)], NODES)
+    raw = [(e, s := r.randrange(12), "out", s, r.randrange(12), r.randrange(1, 9)) for e in range(24)]
+    edges = spark.createDataFrame(raw, EDGES)
+    requests = spark.createDataFrame([(i, i, (i * 5 + 3) % 12) for i in range(12)] + [(50, 4, 4), (51, 3, 99)], "request_id long, start_node long, dest_node long")
+    dist = [[0 if a == b else math.inf for b in range(12)] for a in range(12)]
+    for _, _, _, s, t, w in raw:
+        dist[s][t] = min(dist[s][t], w)
+    for k in range(12):
+        for a in range(12):
+            for b in range(12):
+                dist[a][b] = min(dist[a][b], dist[a][k] + dist[k][b])
+    want = {q: dist[s][t] for q, s, t in [(i, i, (i * 5 + 3) % 12) for i in range(12)] + [(50, 4, 4)] if dist[s][t] < math.inf}
+    none = graph.search_graph(requests, graph.up_cone(requests.select(F.col("start_node").alias("root")), edges, nodes), graph.down_cone(requests.select(F.col("dest_node").alias("root")), edges, nodes))
+    assert none.count() == 0
+    for labels in (graph.shortest_paths(requests, none, edges), graph.shortest_paths(requests, none, edges, core_limit=3)):
+        assert {r.request_id: r.dist for r in graph.path_length(requests, labels).collect()} == want
+        path = graph.backtrack(requests, labels).toPandas().sort_values(["request_id", "seq"])
+        for number, steps in path.groupby("request_id"):
+            assert steps["seq"].tolist() == list(range(len(steps)))
+            assert sum(raw[int(e)][5] for e in steps["edge_id"].dropna()) == want[number]
+
+
+def test_nested_shortcuts_unpack_in_order(spark):
+    edges = spark.createDataFrame([(i, i, "out", i, i + 1, 1) for i in range(4)] + [(10, 0, "out", 0, 2, 2), (11, 2, "out", 2, 4, 2), (12, 0, "out", 0, 4, 4)], EDGES)
+    details = spark.createDataFrame([(i, 10 + i, -1, -1, -1) for i in range(4)] + [(10, 21, 0, 1, 1), (11, 25, 2, 3, 3), (12, 46, 10, 11, 2)], "edge_id long, euclid long, shortcut1 long, shortcut2 long, shortcut_node long")
+    path = spark.createDataFrame([(1, 0, 0, None), (1, 1, 4, 12), (2, 0, 2, None), (2, 1, 4, 11), (3, 0, 7, None)], "request_id long, seq long, node_id long, edge_id long")
+    got = graph.unpack_shortcuts(path, edges, details).orderBy("request_id", "seq").collect()
+    assert [tuple(r)[:3] for r in got] == [(1, i, i) for i in range(5)] + [(2, 0, 2), (2, 1, 3), (2, 2, 4), (3, 0, 7)]
+    assert {r.request_id: r.euclid for r in graph.path_euclid(graph.unpack_shortcuts(path, edges, details)).collect()} == {1: 46, 2: 25, 3: 0}
+    nodes = spark.createDataFrame([(i, 0, 0, False) for i in range(5)], NODES)
+    assert validate.validate_graph(nodes, edges, details).count() == 0
+    bad = details.withColumn("shortcut_node", F.when(F.col("edge_id") == 12, 3).otherwise(F.col("shortcut_node")))
+    assert [tuple(r) for r in validate.validate_graph(nodes, edges, bad).collect()] == [("halves_apart", 12)]
+
+
+@pytest.mark.parametrize("improve", [False, True])
+def test_keep_rule(spark, improve):
+    r = random.Random(7)
+    rows = [(i, i % 3, r.randrange(60_000), float(r.randrange(20)), 1.0, 2.0) for i in range(300)]
+    rows += [(900, 1, 5, 3.0, None, 2.0), (901, None, 5, 3.0, 1.0, 2.0)]
+    fixes = spark.createDataFrame(rows, "event_id long, device_id long, ts_ms long, accuracy double, lat double, lon double")
+    want = set()
+    for d in range(3):
+        last = None
+        for e, _, ts, acc, _, _ in sorted((x for x in rows if x[1] == d and x[4]), key=lambda x: (x[2], x[0])):
+            change = 0.0 if last is None else (last[1] - acc if improve else acc - last[1])
+            if last is None or ts - last[0] >= 10_000 or change >= 5.0:
+                last = (ts, acc)
+                want.add(e)
+    assert {r.event_id for r in tracking.filter_gps(fixes, improve).collect()} == want
+
+
+def test_keep_rule_at_its_bounds():
+    assert tracking.keep_fix(10_000, 0.0, 0, 0.0) and not tracking.keep_fix(9_999, 4.9, 0, 0.0)
+    assert tracking.keep_fix(1, 5.0, 0, 0.0) and not tracking.keep_fix(-20_000, 0.0, 0, 0.0)
+
+
+def _plain_levels(pts):
+    n, level = len(pts), [32] * len(pts)
+    if n:
+        level[0] = level[-1] = 0
+    prev = 32
+    for own in (20, 16, 14, 12, 8, 4, 0):
+        kept = 0
+        for i in range(1, n - 1):
+            if level[i] > prev:
+                continue
+            nxt = next(j for j in range(i + 1, n) if level[j] <= prev)
+            far = max(math.sqrt((pts[i][0] - pts[j][0]) ** 2 + (pts[i][1] - pts[j][1]) ** 2) for j in (kept, nxt))
+            if far * 2.0 ** (prev - 1) >= 16:
+                level[i], kept = own, i
+        prev = own
+    return level
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=12), st.sampled_from([1e-6, 1e-3, 1.0]))
+def test_levels_are_the_rules(points, scale):
+    pts = [(x * scale, y * scale) for x, y in points]
+    a = np.array(pts, dtype=float).reshape(-1, 2)
+    assert zoom_levels(a[:, 0], a[:, 1]).tolist() == _plain_levels(pts)
+
+
+@given(st.integers(0, 300))
+def test_leaves_cover_and_share_ends(n):
+    leaves = leaf_ranges(n)
+    assert all(0 <= b - a <= 4 for a, b in leaves)
+    if n:
+        assert leaves[0][0] == 0 and leaves[-1][1] == n - 1 and all(a[1] == b[0] for a, b in zip(leaves, leaves[1:]))
+
+
+def test_backfill_may_stay_short(spark):
+    at = lambda *p: [{"lat": a, "lon": b} for a, b in p]
+    items = [(1, ["Old Mill"], at((1.0, 1.0))), (2, ["old mill"], at((1.0, 1.0))), (3, ["mill, old"], []), (4, [], at((9.0, 9.0))), (5, ["OLD watermill"], at((9.0, 9.0)))]
+    items = spark.createDataFrame(items, "item_id long, strs array<string>, positions array<struct<lat:double,lon:double>>")
+    asked = spark.createDataFrame([(1, "old mill", 0.0, 2.0, 0.0, 2.0), (2, "of a", None, None, None, None), (3, "mill old", None, None, None, None), (4, None, None, None, None, None)], "query_id long, q string, lat_min double, lat_max double, lon_min double, lon_max double")
+    got = {(r.query_id, r["rank"], r.item_id) for r in search.search(asked, items).collect()}
+    # query 1: of the first 18 further matches 1 and 2 are at a hit's position and 3 has none
+    assert got == {(1, 1, 1), (1, 2, 2), (1, 3, 5), (3, 1, 1), (3, 2, 2), (3, 3, 5)}
+
+
+def _file(tmp_path, magic=MAGIC, version=1):
+    size, blocks, page = 4, 3, 4096
+    head = [*magic, version, 0, 0, 100, 100, 2, 1, size, blocks, 2, 3]
+    assert len(head) == 3 + len(FIELDS)
+    coords = [[-1, 2, 10, 20, 150, 30, 0, 0, 0, 0], [-1, 0, *[0] * 8], [-1, 1, 110, 60, *[0] * 6]]
+    # node 0 of block 0: out edges 0..1, in edge 1..2; node 1: none; block 2's node: out edge 2..3
+    index = [[0, 0, 1, 2, 2, 2, 2, 2, 2, 2], [0, *[2] * 9], [0, 2, 3, *[3] * 7]]
+    edges, details = [(2048, 5), (1, 7), (0, 9)], [(50, -1, -1, -1), (70, -1, -1, -1), (90, -1, -1, -1)]
+    out = bytearray()
+    for section in (head, sum(coords, []), sum(index, []), [x for e in edges for x in e], [x for d in details for x in d]):
+        out += b"\0" * (-len(out) % page) + struct.pack(f">{len(section)}i", *section)
+    path = tmp_path / f"{magic[0]}-{version}.graph"
+    path.write_bytes(bytes(out))
+    return str(path)
+
+
+def test_graph_file(spark, tmp_path):
+    meta, nodes, edges, details = read_graph_file(spark, _file(tmp_path))
+    assert (meta.block_count, meta.core_block, meta.edge_count) == (3, 2, 3)
+    assert sorted(map(tuple, nodes.collect())) == [(0, 10, 20, 0, False), (1, 150, 30, 1, False), (2048, 110, 60, 1, True)]
+    assert sorted(map(tuple, edges.collect())) == [(0, 0, "out", 0, 2048, 5), (1, 0, "in", 1, 0, 7), (2, 2048, "out", 2048, 0, 9)]
+    assert sorted(map(tuple, details.collect())) == [(0, 50, -1, -1, -1), (1, 70, -1, -1, -1), (2, 90, -1, -1, -1)]
+    assert graph.core_edges(edges, nodes).count() == 1
+    for bad in ({"magic": (1, 2)}, {"version": 2}):
+        with pytest.raises(ValueError):
+            read_graph_file(spark, _file(tmp_path, **bad))
