@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from roadloom.llm.common import new_folder, table
 
 SHARDS, BUCKET_BYTES, SEED = 16, 32 << 20, 2
-_POSITION = "_position"
+_POSITION, _BUCKET = "_position", "_bucket"
 
 
 def text_bytes(text: Column) -> Column:
@@ -42,15 +42,15 @@ def shuffle_to_shards(
     again, on any cluster and after a lost executor. Nulls, empty texts and
     repeated rows are rows like any other; input columns shard and slot are replaced.
     """
-    docs = docs.drop("shard", "slot", "bucket", _POSITION)
+    docs = docs.drop("shard", "slot", _BUCKET, _POSITION)
     total = docs.agg(F.sum(text_bytes(F.col("text")))).first()[0] or 0
     buckets = 1 + total // (shards * bucket_bytes)
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(buckets))
-    placed = docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn("bucket", bucket)
+    placed = docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn(_BUCKET, bucket)
     names = docs.columns
 
     def fisher_yates(group: pa.Table) -> pa.Table:
-        shard, own = group.column("shard")[0].as_py(), group.column("bucket")[0].as_py()
+        shard, own = group.column("shard")[0].as_py(), group.column(_BUCKET)[0].as_py()
         keys = list(zip(*(group.column(n).to_pylist() for n in ("doc_id", "text")), strict=True))
         order = sorted(range(len(keys)), key=lambda i: [(x is not None, x) for x in keys[i]])
         # permutation() is a Fisher-Yates shuffle
@@ -59,19 +59,19 @@ def shuffle_to_shards(
         return shuffled.append_column(_POSITION, pa.array(np.arange(len(order))))
 
     schema = T.StructType([*placed.schema.fields, T.StructField(_POSITION, T.LongType())])
-    shuffled = placed.groupBy("shard", "bucket").applyInArrow(fisher_yates, schema)
+    shuffled = placed.groupBy("shard", _BUCKET).applyInArrow(fisher_yates, schema)
     shuffled.write.partitionBy("shard").parquet(folder)
-    written = docs.sparkSession.read.parquet(folder)
+    written = docs.sparkSession.read.schema(shuffled.schema).parquet(folder)
     # a row for each bucket; text size over bucket_bytes bounds their number
-    sizes = sorted(tuple(r) for r in written.groupBy("shard", "bucket").count().collect())
+    sizes = sorted(tuple(r) for r in written.groupBy("shard", _BUCKET).count().collect())
     starts, at, last = [], 0, None
     for shard, own, n in sizes:
         at = at if shard == last else 0
         starts.append((int(shard), int(own), at))
         at, last = at + n, shard
-    starts = docs.sparkSession.createDataFrame(starts, "shard int, bucket long, start long")
-    slot = (F.col("start") + F.col(_POSITION)).alias("slot")
-    return written.join(F.broadcast(starts), ["shard", "bucket"]).select(*names, "shard", slot)
+    starts = docs.sparkSession.createDataFrame(starts, f"shard int, {_BUCKET} long, _start long")
+    slot = (F.col("_start") + F.col(_POSITION)).alias("slot")
+    return written.join(F.broadcast(starts), ["shard", _BUCKET]).select(*names, "shard", slot)
 
 
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
