@@ -98,10 +98,11 @@ def near_links(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
 
     Each segment's values form a hash table. First the fingerprints that share a
     segment's value are compared with the smallest of them, the hub; those near it
-    are linked to it and need no links among each other, so a dense cluster gives
-    as many links as members. Then each fingerprint looks up its ball around
-    every segment's value and the complete distance of every match from
-    another hub is verified.
+    are linked to it and need no links among each other. Then each fingerprint looks
+    up its ball around every segment's value and the complete distance of every
+    match from another hub is verified; of all matches between two hubs' members
+    one link stays, merged before the shuffle. A dense cluster so gives about as
+    many links as members.
     """
     parts = segments_for(count, radius)
     keys = [F.struct(F.lit(i).alias("seg"), _part(F.col("fp"), s, w).alias("part")) for i, (s, w, _) in enumerate(parts)]
@@ -123,7 +124,8 @@ def near_links(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
         & (F.col("a") < F.col("b"))
         & (F.col("hub_a") != F.col("hub_b"))
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius),
-    ).select("a", "b")
+    )
+    found = found.select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b")).distinct()
     return found.union(stars.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
 
 
