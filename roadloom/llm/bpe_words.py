@@ -2,91 +2,135 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm.common import rows_of, table
-from roadloom.llm.tokens import VOCABULARY, chunk_words, encode_words, pieces_of, text_chunks
+from roadloom.llm.tokens import VOCABULARY, chunk_words, pieces_of, text_chunks, text_ids
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 16 << 20, 256 << 10, 512
+MOST_WORD_BUCKETS = 4096
+_KNOWN = 150_000
 
 
-def _in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """``(block, doc_id, packed)``: the texts, compressed for the shuffle, dealt evenly to blocks."""
+def _bundles(docs: DataFrame, blocks: int) -> DataFrame:
+    """``(block, bundle)``: runs of documents, compressed together for the shuffle and dealt evenly to blocks."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for block, ids, texts in rows_of(batches, "block", "doc_id", "text"):
-            packed = [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            arrays = [pa.array(block, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["block", "doc_id", "packed"])
+        for ids, texts in rows_of(batches, "doc_id", "text", size=BUNDLE_ROWS):
+            block, bundle, at, size = [], [], 0, 0
+            for i, text in enumerate(texts):
+                size += len(text or "")
+                if size >= BUNDLE_BYTES or i == len(texts) - 1:
+                    run = pa.record_batch([pa.array(ids[at : i + 1], pa.int64()), pa.array(texts[at : i + 1], pa.large_string())], ["doc_id", "text"])
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, run.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(run)
+                    bundle.append(out.getvalue().to_pybytes())
+                    block.append(xxhash.xxh64_intdigest(bundle[-1]) % blocks)
+                    at, size = i + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bundle, pa.binary())], ["block", "bundle"])
 
-    block = F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(blocks))
-    slim = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(pack, "block long, doc_id long, packed binary")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(pack, "block long, bundle binary")
 
 
-def _texts(packed: pa.ChunkedArray) -> Iterator[str]:
-    grow = zstandard.ZstdDecompressor().decompress
-    for x in packed:
-        yield grow(x.as_py()).decode("utf-8", "surrogatepass")
+def _documents(bundles: pa.ChunkedArray) -> Iterator[tuple[int, str]]:
+    for x in bundles:
+        run = pa.ipc.open_stream(x.as_py()).read_all()
+        for doc_id, text in zip(run.column("doc_id").to_pylist(), run.column("text").to_pylist(), strict=True):
+            yield doc_id, text or ""
+
+
+class _ChunkIds(dict):
+    """Ids of chunks from their words' ids; the words are the block's own, so all are known."""
+
+    def __init__(self, ids: dict[str, bytes], path: str):
+        super().__init__()
+        self.ids, self.path = ids, path
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= _KNOWN:
+            self.clear()
+        self[chunk] = out = b"".join([self.ids[w] for w in chunk_words(chunk, self.path)])
+        return out
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, n_tokens, ids)``; ``ids`` holds little-endian unsigned 32-bit integers.
 
     Documents go to blocks of about ``block_bytes`` of text. Each block gives its
-    distinct words; rows of one word meet in one place, where it is encoded
-    once; the ids go back to the blocks that asked, where each document's words
-    are replaced by ids in order of position. Texts cross one shuffle, words two, and
-    a frequent word is one row a block, however often it occurs.
+    distinct words, in a compressed list for each bucket of words; the lists of a bucket
+    meet in one place, where each distinct word is encoded once; the ids go back to the
+    blocks that asked, where each document's words are replaced by ids in order
+    of position. Texts cross one shuffle and lists two, and a frequent word is there
+    once a block, however often it occurs.
 
     Null texts count as empty: no ids. Repeated rows and ids are kept; a text may
     be of any length; other columns play no part; an empty table gives no rows.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = _in_blocks(docs, 1 + size // block_bytes)
+    n_blocks = 1 + size // block_bytes
+    blocks, buckets = _bundles(docs, n_blocks), min(MOST_WORD_BUCKETS, 64 + n_blocks)
+    # ids of a small vocabulary travel in two bytes
+    narrow = np.dtype("<u2" if len(pieces_of(path)) <= 1 << 16 else "<u4")
 
     def words(group: pa.Table) -> pa.Table:
         chunks: set[str] = set()
-        for text in _texts(group.column("packed")):
+        for _, text in _documents(group.column("bundle")):
             chunks.update(text_chunks(text, path))
-        found = {w for c in chunks for w in chunk_words(c, path)}
-        block = pa.array(np.full(len(found), group.column("block")[0].as_py(), dtype=np.int64))
-        return pa.table({"block": block, "word": pa.array(found, pa.string())})
+        lists: dict[int, list[str]] = {}
+        for word in {w for c in chunks for w in chunk_words(c, path)}:
+            lists.setdefault(crc32(word.encode()) % buckets, []).append(word)
+        squeeze = zstandard.ZstdCompressor().compress
+        packed = [squeeze(json.dumps(sorted(x), ensure_ascii=False).encode()) for x in lists.values()]
+        block = pa.array(np.full(len(packed), group.column("block")[0].as_py(), dtype=np.int64))
+        return pa.table({"block": block, "bucket": pa.array(list(lists), pa.int64()), "words": pa.array(packed, pa.binary())})
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, b""
-        for block, column in rows_of(batches, "block", "word", size=4096):
-            out = []
-            for word in column:
-                if word != last:
-                    last, ids = word, encode_words([word], path)[0]
-                out.append(ids)
-            arrays = [pa.array(block, pa.int64()), pa.array(column, pa.string()), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["block", "word", "ids"])
-
-    def joined(texts: pa.Table, words: pa.Table) -> pa.Table:
-        ids = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-        known: dict[str, bytes] = {}
-        out = []
-        for text in _texts(texts.column("packed")):
-            chunks = text_chunks(text, path)
-            for c in set(chunks) - known.keys():
-                known[c] = b"".join([ids[w] for w in chunk_words(c, path)])
-            out.append(b"".join([known[c] for c in chunks]))
+        squeeze, grow = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
+        last, known = None, {}
+        for block, bucket, lists in rows_of(batches, "block", "bucket", "words", size=64):
+            lengths, ids = [], []
+            for own, packed in zip(bucket, lists, strict=True):
+                if own != last:
+                    last, known = own, {}
+                asked = json.loads(grow(packed))
+                for word in asked:
+                    if word not in known:
+                        known[word] = text_ids(word, path).astype(narrow).tobytes()
+                lengths.append(squeeze(np.array([len(known[w]) for w in asked], dtype="<u4").tobytes()))
+                ids.append(squeeze(b"".join([known[w] for w in asked])))
+            arrays = [pa.array(block, pa.int64()), *(pa.array(x, pa.binary()) for x in (lists, lengths, ids))]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "words", "lengths", "ids"])
+
+    def joined(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grow, ids = zstandard.ZstdDecompressor().decompress, {}
+        for packed in zip(*(answers.column(c) for c in ("words", "lengths", "ids")), strict=True):
+            asked, lengths, joint = (grow(x.as_py()) for x in packed)
+            ends = np.cumsum(np.frombuffer(lengths, dtype="<u4").astype(np.int64)).tolist()
+            for word, start, end in zip(json.loads(asked), [0, *ends], ends, strict=False):
+                ids[word] = joint[start:end]
+        known, doc_ids, out = _ChunkIds(ids, path), [], []
+        for doc_id, text in _documents(texts.column("bundle")):
+            joint = b"".join([known[c] for c in text_chunks(text, path)])
+            doc_ids.append(doc_id)
+            out.append(np.frombuffer(joint, narrow).astype("<u4").tobytes())
         counts = pa.array([len(x) // 4 for x in out], pa.int64())
-        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": counts, "ids": pa.array(out, pa.binary())})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": counts, "ids": pa.array(out, pa.binary())})
 
-    asked = blocks.groupBy("block").applyInArrow(words, "block long, word string")
-    asked = asked.repartition("word").sortWithinPartitions("word")
-    answers = asked.mapInArrow(encoded, "block long, word string, ids binary")
+    asked = blocks.groupBy("block").applyInArrow(words, "block long, bucket long, words binary")
+    asked = asked.repartition("bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(encoded, "block long, words binary, lengths binary, ids binary")
     both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
     return both.applyInArrow(joined, "doc_id long, n_tokens long, ids binary")
 

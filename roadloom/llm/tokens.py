@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
@@ -141,11 +140,6 @@ def text_ids(text: str | None, path: str) -> np.ndarray:
     return np.concatenate(parts).astype("<u4")
 
 
-def encode_words(words: Iterable[str], path: str) -> list[bytes]:
-    """Ids of each word (or added token) as little-endian unsigned 32-bit integers."""
-    return [text_ids(w, path).tobytes() for w in words]
-
-
 @cache
 def pieces_of(path: str) -> list[bytes]:
     """Bytes of each id; byte-level vocabularies spell bytes as printable characters."""
