@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm.common import rows_of, table
-from roadloom.llm.tokens import VOCABULARY, chunk_words, pieces_of, text_chunks, text_ids
+from roadloom.llm.tokens import VOCABULARY, chunk_words, pieces_of, text_chunks, word_ids
 
-BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 16 << 20, 256 << 10, 512
+BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 10 << 20, 256 << 10, 512
 MOST_WORD_BUCKETS = 4096
 _KNOWN = 150_000
 
@@ -107,7 +107,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
                 asked = json.loads(grow(packed))
                 for word in asked:
                     if word not in known:
-                        known[word] = text_ids(word, path).astype(narrow).tobytes()
+                        known[word] = np.array(word_ids(word, path), dtype=narrow).tobytes()
                 lengths.append(squeeze(np.array([len(known[w]) for w in asked], dtype="<u4").tobytes()))
                 ids.append(squeeze(b"".join([known[w] for w in asked])))
             arrays = [pa.array(block, pa.int64()), *(pa.array(x, pa.binary()) for x in (lists, lengths, ids))]
@@ -144,16 +144,19 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = dict(enumerate(pieces_of(path)))
+        pieces = pieces_of(path)
+
+        def text(ids: bytes | None) -> str | None:
+            if ids is None:
+                return None
+            numbers = np.frombuffer(ids, "<u4")
+            numbers = numbers[numbers < len(pieces)]
+            return b"".join(map(pieces.__getitem__, numbers.tolist())).decode("utf-8", "replace")
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [
-                    None
-                    if ids is None
-                    else b"".join([pieces.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-                    for ids in part.column("ids").to_pylist()
-                ]
+                texts = [text(ids) for ids in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")

@@ -140,6 +140,15 @@ def text_ids(text: str | None, path: str) -> np.ndarray:
     return np.concatenate(parts).astype("<u4")
 
 
+def word_ids(word: str, path: str) -> list[int]:
+    """Ids of one word, as ``chunk_words`` gives them, or of an added token."""
+    ranked = _ranked(path)
+    if ranked is None:
+        return tokenizer(path).encode(word, add_special_tokens=False).ids
+    added = _added_ids(path).get(word)
+    return ranked.encode_ordinary(word) if added is None else [added]
+
+
 @cache
 def pieces_of(path: str) -> list[bytes]:
     """Bytes of each id; byte-level vocabularies spell bytes as printable characters."""

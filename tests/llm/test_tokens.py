@@ -18,7 +18,7 @@ def test_same_ids_and_text_as_the_library(text):
     assert K.text_ids(text, K.VOCABULARY).tolist() == want
     words = [w for c in K.text_chunks(text, K.VOCABULARY) for w in K.chunk_words(c, K.VOCABULARY)] if text else []
     assert "".join(words) == text
-    assert [i for w in words for i in K.text_ids(w, K.VOCABULARY).tolist()] == want
+    assert [i for w in words for i in K.word_ids(w, K.VOCABULARY)] == want
     pieces = K.pieces_of(K.VOCABULARY)
     assert b"".join(pieces[i] for i in want).decode() == library.decode(want, skip_special_tokens=False) == text
 
