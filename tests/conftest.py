@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", "4")
+    return local_session(os.environ.get("TEST_CPUS", "8"), "4")
 
 
 @pytest.fixture(scope="session")
