@@ -26,12 +26,12 @@ def read_gps_stream(spark: SparkSession, folder: str, files_per_trigger: int | N
     return reader.parquet(folder).dropna()
 
 
-def filter_gps_stream(fixes: DataFrame, improve_only: bool = False, idle_ms: int = 3_600_000) -> DataFrame:
+def filter_gps_stream(fixes: DataFrame, improve_only: bool = False, idle_ms: int | None = None) -> DataFrame:
     """Kept fixes with their position in E7, and whether it ``moved`` from the one kept before.
 
-    The state is the last kept fix and lives by device; devices silent for
-    ``idle_ms`` of processing time are forgotten, and their next fix is kept, as the
-    rule keeps it after 10 s anyway. Within a micro-batch fixes are folded by
+    The state is the last kept fix and lives by device. With ``idle_ms``, devices
+    silent for as long in processing time are forgotten, and their next fix is kept, as the
+    rule keeps it after 10 s anyway; such a query goes on even when its input ends. Within a micro-batch fixes are folded by
     ``(ts_ms, event_id)``, so results equal the batch's unless disorder crosses batches.
     """
 
@@ -48,12 +48,14 @@ def filter_gps_stream(fixes: DataFrame, improve_only: bool = False, idle_ms: int
             ts, accuracy, lat, lon = int(r.ts_ms), float(r.accuracy), int(r.lat_e7), int(r.lon_e7)
             rows.append((r.event_id, key[0], ts, accuracy, lat, lon, moved))
         state.update((ts, accuracy, lat, lon))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
 
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     e7 = fixes.select("event_id", "device_id", "ts_ms", "accuracy", to_e7(F.col("lat")).alias("lat_e7"), to_e7(F.col("lon")).alias("lon_e7"))
     return e7.groupBy("device_id").applyInPandasWithState(
-        run, _OUT, "ts bigint, accuracy double, lat int, lon int", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, _OUT, "ts bigint, accuracy double, lat int, lon int", "append", timeout
     )
 
 
