@@ -17,6 +17,8 @@ from roadloom.llm.common import checkpointed, table
 from roadloom.llm.components import connected_components
 
 WORDS, SEED, RADIUS = 4, 42, 4
+#: Fingerprints that may share a segment's value before pairs among them cost more than balls.
+HOT = 16384
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _CHUNK = 200_000
 
@@ -93,40 +95,74 @@ def _probes(seg: int, shift: int, width: int, radius: int) -> Column:
     return F.transform(masks, lambda m: F.struct(F.lit(seg).alias("seg"), part.bitwiseXOR(m).alias("part")))
 
 
-def near_links(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
+def _links_by_balls(hot: DataFrame, radius: int) -> DataFrame:
+    """Links ``(a, b)`` between the roots of ``hot(fp, root)``, without comparing pairs.
+
+    Two fingerprints are within an even ``radius`` if, and only if, some value is within
+    half of it from both. So each fingerprint goes to every value of its ball, and the
+    roots that meet at a value are one group: at most as many as a ball has values.
+    """
+    masks = F.array(*(F.lit(m - (m >> 63 << 64)).cast("long") for m in _ball(64, radius // 2)))
+    at = hot.select("root", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
+    met = at.groupBy("at").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1)
+    met = met.select(F.array_sort("roots").alias("roots")).distinct()
+    return met.select(F.col("roots")[0].alias("a"), F.explode("roots").alias("b")).where("a <> b").distinct()
+
+
+def near_links(fps: DataFrame, count: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Links ``(a, b)`` that connect just what all pairs of distinct ``fp`` within ``radius`` bits connect.
 
     Each segment's values form a hash table. First the fingerprints that share a
-    segment's value are compared with the smallest of them, the hub; those near it
-    are linked to it and need no links among each other. Then each fingerprint looks
-    up its ball around every segment's value and the complete distance of every
-    match from another hub is verified; of all matches between two hubs' members
-    one link stays, merged before the shuffle. A dense cluster so gives about as
-    many links as members.
+    segment's value are compared with the smallest of them; what is near it is
+    contracted, and needs no links but one to its root. Then each fingerprint looks
+    up its ball around every segment's value, and the complete distance of every
+    match with another root is verified; between two roots one link stays.
+
+    Between values that more than ``hot`` fingerprints share, pairs aren't compared:
+    those fingerprints are linked among each other through ``_links_by_balls``, in time
+    that grows with their number, and are looked up only in smaller tables (for an odd
+    ``radius`` all pairs are compared).
     """
+    hot = count if radius % 2 else hot
     parts = segments_for(count, radius)
     keys = [F.struct(F.lit(i).alias("seg"), _part(F.col("fp"), s, w).alias("part")) for i, (s, w, _) in enumerate(parts)]
     entries = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.seg", "key.part")
-    hubs = entries.groupBy("seg", "part").agg(F.min("fp").alias("hub"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius
-    stars = entries.join(hubs, ["seg", "part"]).groupBy("fp").agg(F.min(F.when(near, F.col("hub"))).alias("hub"))
-    stars = checkpointed(stars)
+    heads = entries.groupBy("seg", "part").agg(F.min("fp").alias("head"), F.count("*").alias("n"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= radius
+    seen = entries.join(heads, ["seg", "part"]).groupBy("fp").agg(
+        F.collect_set(F.when(near & (F.col("head") != F.col("fp")), F.col("head"))).alias("heads"),
+        F.collect_set(F.when(F.col("n") > hot, F.col("seg"))).alias("hot"),
+    )
+    seen = checkpointed(seen)
+    roots = connected_components(seen.select(F.col("fp").alias("a"), F.explode("heads").alias("b")))
+    nodes = seen.join(roots, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("label", "fp").alias("root"), "hot")
+    nodes = checkpointed(nodes)
 
     ball = F.concat(*(_probes(i, *p) for i, p in enumerate(parts)))
-    probes = stars.select(F.col("fp").alias("a"), F.col("hub").alias("hub_a"), F.explode(ball).alias("key"))
-    probes = probes.select("a", "hub_a", "key.seg", "key.part")
-    tables = stars.select("fp", "hub", F.explode(F.array(*keys)).alias("key"))
-    tables = tables.select(F.col("fp").alias("b"), F.col("hub").alias("hub_b"), "key.seg", "key.part")
-    found = probes.join(
-        tables,
-        (probes.seg == tables.seg)
-        & (probes.part == tables.part)
-        & (F.col("a") < F.col("b"))
-        & (F.col("hub_a") != F.col("hub_b"))
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius),
-    )
-    found = found.select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b")).distinct()
-    return found.union(stars.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+    is_hot = F.array_contains("hot", F.col("key.seg")).alias("is_hot")
+    probes = nodes.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), "hot", F.explode(ball).alias("key"))
+    probes = probes.select("a", "root_a", "key.seg", "key.part", is_hot)
+    tables = nodes.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), "hot", F.explode(F.array(*keys)).alias("key"))
+    tables = tables.select("b", "root_b", "key.seg", "key.part", is_hot)
+
+    def matches(probes: DataFrame, tables: DataFrame) -> DataFrame:
+        found = probes.join(
+            tables,
+            (probes.seg == tables.seg)
+            & (probes.part == tables.part)
+            & (F.col("a") < F.col("b"))
+            & (F.col("root_a") != F.col("root_b"))
+            & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius),
+        )
+        return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+
+    found = matches(probes, tables.where("NOT is_hot"))
+    crowd = nodes.where("size(hot) > 0").select("fp", "root")
+    if not crowd.isEmpty():
+        found = found.union(matches(probes.where("NOT is_hot"), tables.where("is_hot")))
+        found = found.union(_links_by_balls(crowd, radius))
+    stars = nodes.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    return found.distinct().union(stars)
 
 
 def _groups(rows: DataFrame, radius: int) -> DataFrame:

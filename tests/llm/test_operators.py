@@ -131,26 +131,44 @@ def test_segments_find_all_near_pairs(count):
         assert any((flips >> s & ((1 << w) - 1)).bit_count() <= r for s, w, r in parts)
 
 
-def test_dense_clusters_keep_their_components(spark):
-    centre = _r.getrandbits(63)
-    fps = {centre ^ sum(1 << b for b in _r.sample(range(63), _r.randrange(0, 4))) for _ in range(200)} | {_r.getrandbits(63) for _ in range(50)}
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    links = [(r.a, r.b) for r in simhash_dedup.near_links(df, len(fps)).collect()]
-    assert len(links) < 4 * len(fps)
+def _components(fps, pairs):
+    parent = {f: f for f in fps}
 
-    def components(pairs):
-        parent = {f: f for f in fps}
+    def top(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
 
-        def top(f):
-            while parent[f] != f:
-                f = parent[f]
-            return f
+    for a, b in pairs:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    return {f: top(f) for f in fps}
 
-        for a, b in pairs:
-            parent[max(top(a), top(b))] = min(top(a), top(b))
-        return {f: top(f) for f in fps}
 
-    assert components(links) == components((a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 4)
+@pytest.mark.parametrize("hot", [simhash_dedup.HOT, 20, 1])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dense_clusters_keep_their_components(spark, seed, hot):
+    r = random.Random(seed)
+    centre = r.getrandbits(64)
+    flips = lambda most: sum(1 << b for b in r.sample(range(64), r.randrange(0, most)))
+    fps = {centre ^ flips(4) for _ in range(200)} | {centre ^ flips(9) for _ in range(150)} | {r.getrandbits(64) for _ in range(50)}
+    fps = {f - (f >> 63 << 64) for f in fps}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    links = [(x.a, x.b) for x in simhash_dedup.near_links(df, len(fps), hot=hot).collect()]
+    assert len(links) < 4 * len(fps)
+    near = [(a, b) for a in fps for b in fps if ((a ^ b) & 2**64 - 1).bit_count() <= 4]
+    assert _components(fps, links) == _components(fps, near)
+
+
+@pytest.mark.parametrize("hot", [simhash_dedup.HOT, 3])
+def test_pairs_among_many_unrelated_fingerprints(spark, hot):
+    """Here most fingerprints share every segment's value with smaller ones that aren't near."""
+    r = random.Random(5)
+    fps = {r.getrandbits(63) for _ in range(20_000)}
+    pairs = [(f, f ^ sum(1 << b for b in r.sample(range(63), r.randrange(1, 5)))) for f in r.sample(sorted(fps), 300)]
+    fps |= {b for _, b in pairs}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    links = [(x.a, x.b) for x in simhash_dedup.near_links(df, len(fps), hot=hot).collect()]
+    assert _components(fps, links) == _components(fps, pairs)
 
 
 def test_shards(spark, docs, none, rows, tmp_path):
