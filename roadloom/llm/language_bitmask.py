@@ -112,7 +112,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> Filters:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found.setdefault(index[lang], []).extend(gram_hashes(text))
             for i, parts in found.items():
-                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+                grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
                 arrays = [pa.array(np.full(len(grams), i)), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "n"])
 
@@ -138,8 +138,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> Filters:
     return Filters(languages, slots, fill**PROBES)
 
 
-def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``, the corrected share of n-grams that the language's filter holds.
+def identify(docs: DataFrame, filters: Filters, into: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the columns ``into``: the language, and the corrected share of n-grams that the language's filter holds.
 
     Null texts and texts without a letter are ``und`` with score 0. Ties go to the
     first language in order of name. Repeated rows are kept.
@@ -149,10 +149,10 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
         for batch in batches:
             found = [filters.predict(t.as_py()) for t in batch.column("text")]
             arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *into])
 
-    kept = docs.drop("lang_pred", "lang_score")
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    kept = docs.drop(*into)
+    fields = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
@@ -169,5 +169,5 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A text is in none if its best language's filter holds under ``LEAST_KNOWN`` of its n-grams.
     """
-    found = identify(docs, train(docs))
-    return found.where((F.col("lang_pred") != UND) & (F.col("lang_score") >= LEAST_KNOWN)).select(docs.columns)
+    found = identify(docs, train(docs), ("_lang", "_known"))
+    return found.where((F.col("_lang") != UND) & (F.col("_known") >= LEAST_KNOWN)).select(docs.columns)

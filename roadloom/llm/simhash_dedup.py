@@ -45,17 +45,17 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``docs`` with ``fp``, the fingerprint's 64 bits as a signed long, for every row."""
+def fingerprints(docs: DataFrame, words: int = WORDS, into: str = "fp") -> DataFrame:
+    """``docs`` with the column ``into``, the fingerprint's 64 bits as a signed long, for every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), words) for t in batch.column("text")]
             column = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, into])
 
-    kept = docs.drop("fp")
-    schema = T.StructType([*kept.schema.fields, T.StructField("fp", T.LongType())])
+    kept = docs.drop(into)
+    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.LongType())])
     return kept.mapInArrow(run, schema)
 
 
@@ -203,6 +203,6 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     best = rows.groupBy("fp").agg(F.min(rank).alias("rank"))
     best = best.join(_groups(rows, RADIUS), "fp").groupBy("label").agg(F.min("rank").alias("rank"))
     best = best.select(F.col("rank.doc_id").alias("best_id"), F.col("rank.fp").alias("best_fp"))
-    full = fingerprints(docs)
-    kept = full.join(best, (full.fp == best.best_fp) & full.doc_id.eqNullSafe(best.best_id), "left_semi")
-    return kept.dropDuplicates(["doc_id", "fp"]).select(docs.columns)
+    full = fingerprints(docs, into="_fp")
+    kept = full.join(best, (full["_fp"] == best.best_fp) & full["doc_id"].eqNullSafe(best.best_id), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_fp"]).select(docs.columns)

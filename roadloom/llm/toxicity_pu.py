@@ -142,16 +142,16 @@ def train(
     return Model({f: float(w[i]) for f, i in index.items()}, b)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1); null and empty texts get the offset's score."""
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """``docs`` with the column ``into`` (0 to 1); null and empty texts get the offset's score."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array([model.score(t.as_py()) for t in batch.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, into])
 
-    kept = docs.drop("score")
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    kept = docs.drop(into)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,4 +168,4 @@ def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under a half stay; all others, and only they, go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("score < 0.5").select(docs.columns)
+    return score(docs, model, "_toxicity").where("_toxicity < 0.5").select(docs.columns)

@@ -1,7 +1,10 @@
 """The pipeline over the small tables, and the operators' SQL."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from roadloom import llm
 
 from tests.test_catalog import compare
@@ -20,6 +23,25 @@ def test_stages_keep_the_documents_columns(spark, sf, tmp_path):
     assert docs.select("doc_id").distinct().count() == counts[-1]
 
 
+CLASHING = ("score", "fp", "lang_pred", "lang_score", "bucket", "label", "id", "best_id", "ids", "seg", "p", "u")
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, sf, stage):
+    """Null columns, clashing names and repeated rows: the same documents stay, with their own columns' values."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (900_001, None, None, None, None), (900_002, "", None, None, 0), (900_003, " \n ", "xx", "s", 3)], docs.schema)
+    docs = docs.union(odd).union(odd).withColumns({c: F.lit(c) for c in CLASHING})
+    out = stage(spark, docs, sf)
+    if stage is corpus_pipeline.STAGES[-1][1]:
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    else:
+        assert out.columns == docs.columns
+        assert all(r[c] == c for r in out.collect() for c in CLASHING)
+        assert not Counter(map(tuple, out.collect())) - Counter(map(tuple, docs.collect()))
+    assert stage(spark, docs.where("FALSE"), sf).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op6_chat_snapshots", "op7_segment_topk"])
 def test_same_as_sql(spark, sf, name):
     compare(spark, sf, llm.queries()[name], llm.oracle_sql()[name])
