@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadloom.llm.common import new_folder, table
 from roadloom.llm.language_bitmask import language_stage
+from roadloom.llm.near_copies import near_copies_stage
 from roadloom.llm.packing import packing_stage
-from roadloom.llm.simhash_dedup import dedup_stage
 from roadloom.llm.toxicity_pu import toxicity_stage
 
 STAGES = [
     ("toxicity", toxicity_stage),
     ("language", language_stage),
-    ("near_duplicates", dedup_stage),
+    ("near_duplicates", near_copies_stage),
     ("packing", packing_stage),
 ]
 
