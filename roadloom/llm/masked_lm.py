@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from math import isqrt, log
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.llm.common import table
+from roadloom.llm.common import checkpointed, table
 
 #: Token classes: the most frequent words have their own, others share classes by hash; 0 pads.
 CLASSES, SHARED = 128, 32
@@ -21,39 +23,59 @@ CLASSES, SHARED = 128, 32
 SIDE, EMBED, HIDDEN = 2, 8, 16
 #: Rounds of training over all documents; in each, one in ``MASK_EVERY`` tokens is masked.
 ROUNDS, MASK_EVERY, RATE, BATCH = 2, 8, 0.02, 2048
+#: Words whose rates tasks hold while scoring; the others' are joined. The number decides the cost, not the scores.
+HELD = 50_000
 SEED = 1
 _SPAN = 16384
 
 
 @dataclass(frozen=True)
 class Network:
-    """``log p(token | SIDE tokens before and after)`` by one hidden layer over the neighbours' embeddings."""
+    """``log p(class | SIDE tokens before and after)`` by one hidden layer over the neighbours' embeddings.
+
+    ``words`` have embedding rows of their own, the first of them also classes; ``class_of``
+    is each row's class. ``shared`` has the tokens of each class that words share, and
+    ``counts(word, n)`` those of every word of the corpus.
+    """
 
     words: dict[str, int]
+    class_of: np.ndarray
     params: tuple[np.ndarray, ...]
+    shared: tuple[int, ...]
+    counts: DataFrame | None = None
 
-    def classes(self, text: str | None) -> np.ndarray:
-        """Class of each token, with padding around; tokens are lower-cased runs between white space."""
-        own, first = self.words, CLASSES - SHARED
-        tokens = (text or "").lower().split()
-        found = list(map(own.get, tokens))
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """Embedding row of each token, with padding around."""
+        found = list(map(self.words.get, tokens))
         for i, c in enumerate(found):
             if c is None:
-                found[i] = first + crc32(tokens[i].encode("utf-8", "surrogatepass")) % SHARED
+                found[i] = _shared_class(tokens[i])
         return np.pad(np.array(found, dtype=np.int64), SIDE)
 
-    def log_likelihood(self, classes: np.ndarray) -> float:
+    def windows(self, rows: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the neighbours and class of the token at each position."""
+        near = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
+        return rows[position[:, None] + near], self.class_of[rows[position]]
+
+    def log_likelihood(self, rows: np.ndarray) -> float:
         """The sum over all positions, a span at a time."""
         total = 0.0
-        for at in range(SIDE, len(classes) - SIDE, _SPAN):
-            position = np.arange(at, min(at + _SPAN, len(classes) - SIDE))
-            total += float(_forward(self.params, *_windows(classes, position))[0].sum())
+        for at in range(SIDE, len(rows) - SIDE, _SPAN):
+            position = np.arange(at, min(at + _SPAN, len(rows) - SIDE))
+            total += float(_forward(self.params, *self.windows(rows, position))[0].sum())
         return total
 
+    def shares_class(self, word: str) -> bool:
+        return not 0 < self.words.get(word, 0) < CLASSES - SHARED
+
 
-def _windows(classes: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    near = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-    return classes[position[:, None] + near], classes[position]
+def tokens_of(text: str | None) -> list[str]:
+    """Lower-cased runs between white space."""
+    return (text or "").lower().split()
+
+
+def _shared_class(word: str) -> int:
+    return CLASSES - SHARED + crc32(word.encode("utf-8", "surrogatepass")) % SHARED
 
 
 def _forward(params: tuple[np.ndarray, ...], near: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -68,12 +90,12 @@ def _forward(params: tuple[np.ndarray, ...], near: np.ndarray, target: np.ndarra
     return picked - np.log(norm), x, h, z / norm[:, None]
 
 
-def _initial(counts: np.ndarray) -> tuple[np.ndarray, ...]:
+def _initial(counts: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
     """Seeded small weights; the output's offset starts at the classes' log share."""
     r = np.random.Generator(np.random.PCG64(SEED))
     draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     share = (counts + 1) / (counts + 1).sum()
-    embed = (r.standard_normal((CLASSES, EMBED)) * 0.3).astype(np.float32)
+    embed = (r.standard_normal((rows, EMBED)) * 0.3).astype(np.float32)
     return embed, draw(2 * SIDE * EMBED, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, CLASSES) * np.float32(0.1), np.log(share).astype(np.float32)
 
 
@@ -92,8 +114,11 @@ def _sgd_step(params: list[np.ndarray], sums: list[np.ndarray], near: np.ndarray
         value -= RATE * slope / (np.sqrt(total) + 1e-6)
 
 
-def _vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """Classes of the most frequent words of all documents, and the number of tokens in each class."""
+def _vocabulary(docs: DataFrame) -> Network:
+    """Counts of all words, and a network that isn't trained.
+
+    The number of embedding rows grows with the square root of the corpus's tokens.
+    """
     own = CLASSES - SHARED - 1
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,51 +130,59 @@ def _vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
             yield pa.RecordBatch.from_arrays(arrays, ["word", "n"])
 
     counts = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(own).collect()
-    numbers = np.zeros(CLASSES)
+    counts = checkpointed(counts)
+    shared = F.crc32(F.col("word").cast("binary")) % SHARED
+    sums = {r.c: r.n for r in counts.groupBy(shared.alias("c")).agg(F.sum("n").alias("n")).collect()}
+    more = max(0, isqrt(sum(sums.values())) // 4 - CLASSES)
+    top = counts.orderBy(F.col("n").desc(), "word").limit(own + more).collect()
+    numbers, words, class_of = np.zeros(CLASSES), {}, list(range(CLASSES))
     for i, r in enumerate(top):
-        numbers[i + 1] = r.n
-    return {r.word: i + 1 for i, r in enumerate(top)}, numbers
+        if i < own:
+            words[r.word], numbers[i + 1] = i + 1, r.n
+            sums[_shared_class(r.word) - CLASSES + SHARED] -= r.n
+        else:
+            words[r.word] = len(class_of)
+            class_of.append(_shared_class(r.word))
+    tokens = tuple(sums.get(c, 0) for c in range(SHARED))
+    numbers[CLASSES - SHARED :] = tokens
+    return Network(words, np.array(class_of), _initial(numbers, len(class_of)), tokens, counts)
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
     """Trains on all of ``docs(text)``: local steps in each partition, then the mean of the weights.
 
-    The words with classes of their own are the most frequent of the whole corpus. In
-    each round a partition starts from the shared weights, takes a step for every
-    ``BATCH`` masked tokens of its documents, and sends its weights, which are averaged
+    The words with classes of their own are the most frequent of the whole corpus. In each round
+    a partition starts from the shared weights, takes a step for every ``BATCH``
+    masked tokens of its documents, and sends its weights, which are averaged
     by the number of masked tokens. Null and empty texts and an empty table train nothing.
     """
-    words, counts = _vocabulary(docs)
-    # words that share classes: as many tokens as an own class, until training says better
-    counts[CLASSES - SHARED :] = counts[1 : CLASSES - SHARED].mean()
-    network = Network(words, _initial(counts))
+    network = _vocabulary(docs)
     for number in range(rounds):
-        start = network
+        start = replace(network, counts=None)
 
         def local(batches: Iterable[pa.RecordBatch], start: Network = start, number: int = number) -> Iterator[pa.RecordBatch]:
             params = [p.copy() for p in start.params]
             sums = [np.full_like(p, 1e-4) for p in params]
-            masked, held, waiting = 0, [], 0
+            seen, held, waiting = 0, [], 0
             for batch in batches:
                 for text in batch.column("text"):
-                    classes = start.classes(text.as_py())
-                    position = np.arange(SIDE + (number * MASK_EVERY // 2) % MASK_EVERY, len(classes) - SIDE, MASK_EVERY)
+                    tokens = tokens_of(text.as_py())
+                    position = np.arange(SIDE + (number * MASK_EVERY // 2) % MASK_EVERY, len(tokens) + SIDE, MASK_EVERY)
                     if not len(position):
                         continue
-                    held.append(_windows(classes, position))
+                    held.append(start.windows(start.rows(tokens), position))
                     waiting += len(position)
                     if waiting >= BATCH:
                         near, target = (np.concatenate(x) for x in zip(*held, strict=True))
                         for at in range(0, waiting, BATCH):
                             _sgd_step(params, sums, near[at : at + BATCH], target[at : at + BATCH])
-                        masked, held, waiting = masked + waiting, [], 0
+                        seen, held, waiting = seen + waiting, [], 0
             if waiting:
                 _sgd_step(params, sums, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                masked += waiting
-            if masked:
+                seen += waiting
+            if seen:
                 flat = np.concatenate([p.ravel() for p in params]).astype(np.float64)
-                arrays = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * masked), pa.array(np.full(len(flat), float(masked)))]
+                arrays = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))]
                 yield pa.RecordBatch.from_arrays(arrays, ["at", "weighted", "weight"])
 
         sent = docs.select("text").mapInArrow(local, "at int, weighted double, weight double")
@@ -164,25 +197,70 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
     return network
 
 
+def _rate(n: int, tokens: int) -> float:
+    """``log p(word | class)`` of a word that occurs ``n`` times in a class of ``tokens``; all unseen words share one more token."""
+    return log(max(n, 1) / (tokens + 1))
+
+
+def _key(text: str) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)
+
+
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` with ``n_tokens``, ``log_likelihood`` (the sum over all tokens) and ``per_token``.
 
-    Null and empty texts have no tokens, 0.0 and a null ``per_token``. Whole texts count.
+    A token's likelihood is that of its class by the network, times its word's share of
+    the class's tokens. Tasks hold the shares of the ``HELD`` most frequent words; those of
+    the others are joined, by word, and summed for each text. Null and empty texts have no
+    tokens, 0.0 and a null ``per_token``. Whole texts count.
     """
+    assert network.counts is not None
+    counts, bare, sc = network.counts, replace(network, counts=None), docs.sparkSession.sparkContext
+    top = counts.orderBy(F.col("n").desc(), "word").limit(HELD).toArrow().to_pylist()
+    first = CLASSES - SHARED
+    rates = {r["word"]: _rate(r["n"], bare.shared[_shared_class(r["word"]) - first]) if bare.shares_class(r["word"]) else 0.0 for r in top}
+    shared = sc.broadcast((bare, rates))
+
+    def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[1]
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                found = Counter(w for w in tokens_of(text.as_py()) if w not in known)
+                if found:
+                    key = _key(text.as_py())
+                    rows.extend((*key, word, n) for word, n in found.items())
+            if rows:
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["_k1", "_k2", "word", "times"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = shared.value
         for batch in batches:
-            n, total = [], []
+            n, total, keys, others = [], [], [], []
             for text in batch.column("text"):
-                classes = network.classes(text.as_py())
-                n.append(len(classes) - 2 * SIDE)
-                total.append(network.log_likelihood(classes))
-            arrays = [pa.array(n, pa.int64()), pa.array(total, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "n_tokens", "log_likelihood"])
+                tokens = tokens_of(text.as_py())
+                held = [known[w] for w in tokens if w in known]
+                n.append(len(tokens))
+                total.append(model.log_likelihood(model.rows(tokens)) + sum(held))
+                keys.append(_key(text.as_py() or ""))
+                others.append(len(tokens) - len(held))
+            arrays = [pa.array(n, pa.int64()), pa.array(total, pa.float64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(others, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "n_tokens", "log_likelihood", "_k1", "_k2", "_others"])
+
+    of_class = F.element_at(F.array(*(F.lit(t) for t in network.shared)), (F.crc32(F.col("word").cast("binary")) % SHARED + 1).cast("int"))
+    rated = docs.select("text").mapInArrow(rare, "_k1 long, _k2 long, word string, times long").join(counts, "word", "left")
+    rate = F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) / (of_class + 1))
+    sums = rated.groupBy("_k1", "_k2").agg(F.sum(F.col("times") * rate).alias("_sum"), F.sum("times").alias("_times"))
 
     kept = docs.drop("n_tokens", "log_likelihood", "per_token")
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
-    scored = kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    longs = [T.StructField(c, T.LongType()) for c in ("_k1", "_k2", "_others")]
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), *longs]
+    scored = kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields])).join(sums, ["_k1", "_k2"], "left")
+    # equal texts meet in one sum, so each takes its own tokens' part
+    more = F.coalesce(F.col("_sum") * F.col("_others") / F.col("_times"), F.lit(0.0))
+    scored = scored.select(*kept.columns, "n_tokens", (F.col("log_likelihood") + more).alias("log_likelihood"))
     return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 

@@ -296,6 +296,30 @@ def test_masked_lm_prefers_the_corpus(spark, docs, none):
     assert masked_lm.score(none, masked_lm.train(none)).count() == 0
 
 
+@pytest.mark.parametrize("held", [masked_lm.HELD, 100])
+def test_masked_lm_rates_every_word(spark, none, monkeypatch, held):
+    """The score of a text is its classes' likelihood and each word's share of its class, also for words not seen."""
+    monkeypatch.setattr(masked_lm, "HELD", held)
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(r.choices(words, weights=[1 / (i + 1) for i in range(3000)], k=300)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    network = masked_lm.train(df)
+    counts = Counter(w for t in texts for w in t.split())
+    own = {w for w, row in network.words.items() if row < masked_lm.CLASSES - masked_lm.SHARED}
+    tokens = Counter()
+    for w, n in counts.items():
+        if w not in own:
+            tokens[zlib.crc32(w.encode()) % masked_lm.SHARED] += n
+    test = [texts[0], texts[0], "w2999 never seen", "w1 w5 w700", None]
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.score(spark.createDataFrame(list(enumerate(test)), "doc_id long, text string"), network).collect()}
+    for i, text in enumerate(test):
+        split = (text or "").split()
+        want = network.log_likelihood(network.rows(split))
+        want += sum(np.log(max(counts[w], 1) / (tokens[zlib.crc32(w.encode()) % masked_lm.SHARED] + 1)) for w in split if w not in own)
+        assert got[i] == pytest.approx(want, rel=1e-6)
+
+
 def test_folds(spark):
     got = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
