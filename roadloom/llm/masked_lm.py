@@ -21,8 +21,8 @@ from roadloom.llm.common import checkpointed, table
 CLASSES, SHARED = 128, 32
 #: Tokens seen on each side, sizes of embedding and hidden layer.
 SIDE, EMBED, HIDDEN = 2, 8, 16
-#: Rounds of training over all documents; in each, one in ``MASK_EVERY`` tokens is masked.
-ROUNDS, MASK_EVERY, RATE, BATCH = 2, 8, 0.02, 2048
+#: Rounds of training up to ``PARTITIONS`` partitions, and one more for each doubling; every token is masked in one of them.
+ROUNDS, PARTITIONS, RATE, BATCH = 2, 32, 0.02, 2048
 #: Words whose rates tasks hold while scoring; the others' are joined. The number decides the cost, not the scores.
 HELD = 50_000
 SEED = 1
@@ -78,6 +78,12 @@ def _shared_class(word: str) -> int:
     return CLASSES - SHARED + crc32(word.encode("utf-8", "surrogatepass")) % SHARED
 
 
+def masked(text: str | None, tokens: int, number: int, rounds: int) -> np.ndarray:
+    """Positions masked in a round: one in ``rounds``, each position once over all of them, from a hash of the text."""
+    first = (crc32((text or "").encode("utf-8", "surrogatepass"), SEED) + number) % rounds
+    return np.arange(SIDE + first, tokens + SIDE, rounds)
+
+
 def _forward(params: tuple[np.ndarray, ...], near: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
     embed, w1, b1, w2, b2 = params
     x = embed[near].reshape(len(near), -1)
@@ -148,14 +154,17 @@ def _vocabulary(docs: DataFrame) -> Network:
     return Network(words, np.array(class_of), _initial(numbers, len(class_of)), tokens, counts)
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
+def train(docs: DataFrame, rounds: int | None = None) -> Network:
     """Trains on all of ``docs(text)``: local steps in each partition, then the mean of the weights.
 
-    The words with classes of their own are the most frequent of the whole corpus. In each round
+    The words with classes of their own are the most frequent of the whole corpus. Every
+    token is masked in one of the rounds, whose number grows with the partitions. In each round
     a partition starts from the shared weights, takes a step for every ``BATCH``
     masked tokens of its documents, and sends its weights, which are averaged
     by the number of masked tokens. Null and empty texts and an empty table train nothing.
     """
+    if rounds is None:
+        rounds = ROUNDS + max(0, (docs.rdd.getNumPartitions() - 1) // PARTITIONS).bit_length()
     network = _vocabulary(docs)
     for number in range(rounds):
         start = replace(network, counts=None)
@@ -167,7 +176,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
             for batch in batches:
                 for text in batch.column("text"):
                     tokens = tokens_of(text.as_py())
-                    position = np.arange(SIDE + (number * MASK_EVERY // 2) % MASK_EVERY, len(tokens) + SIDE, MASK_EVERY)
+                    position = masked(text.as_py(), len(tokens), number, rounds)
                     if not len(position):
                         continue
                     held.append(start.windows(start.rows(tokens), position))

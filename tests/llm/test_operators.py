@@ -320,6 +320,14 @@ def test_masked_lm_rates_every_word(spark, none, monkeypatch, held):
         assert got[i] == pytest.approx(want, rel=1e-6)
 
 
+@pytest.mark.parametrize("rounds", [2, 3, 5])
+def test_every_token_is_masked_once(rounds):
+    for text in ["", "a", "a b c", LONG[:300]]:
+        n = len(text.split())
+        found = [p for k in range(rounds) for p in masked_lm.masked(text, n, k, rounds).tolist()]
+        assert sorted(found) == list(range(masked_lm.SIDE, n + masked_lm.SIDE))
+
+
 def test_folds(spark):
     got = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
