@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -17,9 +19,11 @@ from pyspark.sql import types as T
 from roadloom.llm.common import rows_of, table
 from roadloom.llm.tokens import VOCABULARY, chunk_words, pieces_of, text_chunks, word_ids
 
-BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 10 << 20, 256 << 10, 512
-MOST_WORD_BUCKETS = 4096
-_KNOWN = 150_000
+BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 4 << 20, 256 << 10, 512
+#: Buckets of words: one for every ``BLOCKS_A_BUCKET`` blocks, so that a block's lists stay few and long.
+LEAST_BUCKETS, MOST_BUCKETS, BLOCKS_A_BUCKET = 64, 1024, 16
+#: Entries after which tasks start their tables of chunks and of words anew.
+_CHUNKS, _WORDS = 50_000, 500_000
 
 
 def _bundles(docs: DataFrame, blocks: int) -> DataFrame:
@@ -33,7 +37,7 @@ def _bundles(docs: DataFrame, blocks: int) -> DataFrame:
                 if size >= BUNDLE_BYTES or i == len(texts) - 1:
                     run = pa.record_batch([pa.array(ids[at : i + 1], pa.int64()), pa.array(texts[at : i + 1], pa.large_string())], ["doc_id", "text"])
                     out = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(out, run.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    with pa.ipc.new_stream(out, run.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
                         w.write_batch(run)
                     bundle.append(out.getvalue().to_pybytes())
                     block.append(xxhash.xxh64_intdigest(bundle[-1]) % blocks)
@@ -59,40 +63,49 @@ class _ChunkIds(dict):
         self.ids, self.path = ids, path
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= _KNOWN:
+        if len(self) >= _CHUNKS:
             self.clear()
         self[chunk] = out = b"".join([self.ids[w] for w in chunk_words(chunk, self.path)])
         return out
 
 
+def _words_by_bucket(bundles: pa.ChunkedArray, path: str, buckets: int) -> dict[int, list[str]]:
+    """A block's distinct words, in order, for each bucket that has any."""
+    chunks: set[str] = set()
+    for _, text in _documents(bundles):
+        chunks.update(text_chunks(text, path))
+    words, lists = set(), defaultdict(list)
+    while chunks:
+        words.update(chunk_words(chunks.pop(), path))
+    for word in sorted(words):
+        lists[crc32(word.encode()) % buckets].append(word)
+    return lists
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, n_tokens, ids)``; ``ids`` holds little-endian unsigned 32-bit integers.
 
     Documents go to blocks of about ``block_bytes`` of text. Each block gives its
     distinct words, in a compressed list for each bucket of words; the lists of a bucket
-    meet in one place, where each distinct word is encoded once; the ids go back to the
-    blocks that asked, where each document's words are replaced by ids in order
-    of position. Texts cross one shuffle and lists two, and a frequent word is there
-    once a block, however often it occurs.
+    meet in one place, where each distinct word is encoded once (again only after
+    ``_WORDS`` others); the ids go back to the blocks that asked, in the lists' order, and
+    each document's words are replaced by ids in order of position. Texts cross one
+    shuffle, words one and ids one; a frequent word is there once a block, however
+    often it occurs, and a block's lists are at most ``MOST_BUCKETS``.
 
     Null texts count as empty: no ids. Repeated rows and ids are kept; a text may
     be of any length; other columns play no part; an empty table gives no rows.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + size // block_bytes
-    blocks, buckets = _bundles(docs, n_blocks), min(MOST_WORD_BUCKETS, 64 + n_blocks)
+    blocks, buckets = _bundles(docs, n_blocks), min(MOST_BUCKETS, LEAST_BUCKETS + n_blocks // BLOCKS_A_BUCKET)
     # ids of a small vocabulary travel in two bytes
     narrow = np.dtype("<u2" if len(pieces_of(path)) <= 1 << 16 else "<u4")
 
     def words(group: pa.Table) -> pa.Table:
-        chunks: set[str] = set()
-        for _, text in _documents(group.column("bundle")):
-            chunks.update(text_chunks(text, path))
-        lists: dict[int, list[str]] = {}
-        for word in {w for c in chunks for w in chunk_words(c, path)}:
-            lists.setdefault(crc32(word.encode()) % buckets, []).append(word)
-        squeeze = zstandard.ZstdCompressor().compress
-        packed = [squeeze(json.dumps(sorted(x), ensure_ascii=False).encode()) for x in lists.values()]
+        lists = _words_by_bucket(group.column("bundle"), path, buckets)
+        squeeze = zstandard.ZstdCompressor(6).compress
+        packed = [squeeze(json.dumps(x, ensure_ascii=False).encode()) for x in lists.values()]
         block = pa.array(np.full(len(packed), group.column("block")[0].as_py(), dtype=np.int64))
         return pa.table({"block": block, "bucket": pa.array(list(lists), pa.int64()), "words": pa.array(packed, pa.binary())})
 
@@ -102,7 +115,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
         for block, bucket, lists in rows_of(batches, "block", "bucket", "words", size=64):
             lengths, ids = [], []
             for own, packed in zip(bucket, lists, strict=True):
-                if own != last:
+                if own != last or len(known) >= _WORDS:
                     last, known = own, {}
                 asked = json.loads(grow(packed))
                 for word in asked:
@@ -110,53 +123,64 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
                         known[word] = np.array(word_ids(word, path), dtype=narrow).tobytes()
                 lengths.append(squeeze(np.array([len(known[w]) for w in asked], dtype="<u4").tobytes()))
                 ids.append(squeeze(b"".join([known[w] for w in asked])))
-            arrays = [pa.array(block, pa.int64()), *(pa.array(x, pa.binary()) for x in (lists, lengths, ids))]
-            yield pa.RecordBatch.from_arrays(arrays, ["block", "words", "lengths", "ids"])
+            arrays = [pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in (lengths, ids))]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "lengths", "ids"])
 
     def joined(texts: pa.Table, answers: pa.Table) -> pa.Table:
         grow, ids = zstandard.ZstdDecompressor().decompress, {}
-        for packed in zip(*(answers.column(c) for c in ("words", "lengths", "ids")), strict=True):
-            asked, lengths, joint = (grow(x.as_py()) for x in packed)
-            ends = np.cumsum(np.frombuffer(lengths, dtype="<u4").astype(np.int64)).tolist()
-            for word, start, end in zip(json.loads(asked), [0, *ends], ends, strict=False):
+        lists = _words_by_bucket(texts.column("bundle"), path, buckets)
+        for bucket, lengths, joint in zip(*(answers.column(c) for c in ("bucket", "lengths", "ids")), strict=True):
+            ends = np.cumsum(np.frombuffer(grow(lengths.as_py()), dtype="<u4").astype(np.int64)).tolist()
+            joint = grow(joint.as_py())
+            for word, start, end in zip(lists.pop(bucket.as_py()), [0, *ends[:-1]], ends, strict=True):
                 ids[word] = joint[start:end]
         known, doc_ids, out = _ChunkIds(ids, path), [], []
         for doc_id, text in _documents(texts.column("bundle")):
-            joint = b"".join([known[c] for c in text_chunks(text, path)])
+            joint = b"".join(map(known.__getitem__, text_chunks(text, path)))
             doc_ids.append(doc_id)
             out.append(np.frombuffer(joint, narrow).astype("<u4").tobytes())
+        known.clear()
+        ids.clear()
         counts = pa.array([len(x) // 4 for x in out], pa.int64())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": counts, "ids": pa.array(out, pa.binary())})
 
     asked = blocks.groupBy("block").applyInArrow(words, "block long, bucket long, words binary")
     asked = asked.repartition("bucket").sortWithinPartitions("bucket")
-    answers = asked.mapInArrow(encoded, "block long, words binary, lengths binary, ids binary")
+    answers = asked.mapInArrow(encoded, "block long, bucket long, lengths binary, ids binary")
     both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
     return both.applyInArrow(joined, "doc_id long, n_tokens long, ids binary")
 
 
+@cache
+def piece_table(path: str) -> pa.Array:
+    """The piece of every id, in order of ids."""
+    return pa.array(pieces_of(path), pa.binary())
+
+
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``encoded`` with ``decoded``, the text of ``ids``; added tokens are spelt out.
 
-    A map-side join: every id meets its piece in the id-to-piece table, which is
-    as long as the vocabulary and so is held by each worker. Ids without a piece
-    give nothing; bytes that aren't UTF-8 give U+FFFD; null ids give null.
+    Ids are joined to the id-to-piece table by position in it, a whole document at a
+    time; the table is as long as the vocabulary, so every worker holds it and the join needs no
+    shuffle. Ids without a piece give nothing; bytes that aren't UTF-8 give U+FFFD;
+    null ids give null. An input column named ``decoded`` is replaced.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path)
+        pieces = piece_table(path)
 
-        def text(ids: bytes | None) -> str | None:
-            if ids is None:
+        def text(ids: pa.BinaryScalar) -> str | None:
+            if not ids.is_valid:
                 return None
-            numbers = np.frombuffer(ids, "<u4")
-            numbers = numbers[numbers < len(pieces)]
-            return b"".join(map(pieces.__getitem__, numbers.tolist())).decode("utf-8", "replace")
+            numbers = np.frombuffer(ids.as_buffer(), "<u4")
+            if not len(numbers):
+                return ""
+            return _joint(pieces.take(pa.array(numbers[numbers < len(pieces)])))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [text(ids) for ids in part.column("ids").to_pylist()]
+                texts = [text(ids) for ids in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")
@@ -164,7 +188,15 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def _joint(found: pa.Array) -> str:
+    """The pieces one after the other: an Arrow column's values lie so already."""
+    _, offsets, values = found.buffers()
+    ends = np.frombuffer(offsets, "<i4", count=len(found) + 1, offset=4 * found.offset)
+    return values.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes().decode("utf-8", "replace") if values else ""
+
+
 def op4_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and decoded text of every document, as digests."""
     both = decode(encode(table(spark, sf_dir, "documents")))
     return both.select(
         "doc_id",
