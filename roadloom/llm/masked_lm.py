@@ -5,210 +5,272 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from math import isqrt, log
+from functools import cached_property
+from math import log
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm.common import checkpointed, table
 
-#: Token classes: the most frequent words have their own, others share classes by hash; 0 pads.
-CLASSES, SHARED = 128, 32
-#: Tokens seen on each side, sizes of embedding and hidden layer.
-SIDE, EMBED, HIDDEN = 2, 8, 16
-#: Rounds of training up to ``PARTITIONS`` partitions, and one more for each doubling; every token is masked in one of them.
-ROUNDS, PARTITIONS, RATE, BATCH = 2, 32, 0.02, 2048
-#: Words whose rates tasks hold while scoring; the others' are joined. The number decides the cost, not the scores.
-HELD = 50_000
-SEED = 1
-_SPAN = 16384
+#: Classes of a token: 0 pads, the most frequent words have their own, all others share one by their form.
+OWN, FORMS = 63, 64
+TARGETS = 1 + OWN + FORMS
+#: Coarser classes of the neighbours: of the next ones 31 words and 32 forms, of those beyond 3 forms.
+NEAR_OWN, NEAR, FAR = 31, 64, 4
+CONTEXTS = NEAR * NEAR * FAR * FAR
+CELLS_A_BLOCK = CONTEXTS // NEAR * TARGETS
+#: Sizes of the embeddings and the hidden layer; steps, contexts a step, rate and decay (a pull as strong as so many tokens).
+NEAR_EMBED, FAR_EMBED, HIDDEN = 24, 8, 48
+STEPS, BATCH, RATE, DECAY, SEED = 500, 2048, 0.02, 20.0, 1
+#: Most words that tasks hold; the others are joined. The number decides the cost, not the scores.
+HELD = 200_000
+#: Counts of so many tasks are added up in one place.
+FAN = 64
+_SPAN = 1 << 20
 
 
-@dataclass(frozen=True)
-class Network:
-    """``log p(class | SIDE tokens before and after)`` by one hidden layer over the neighbours' embeddings.
+def tokens_of(text: str | None) -> list[str]:
+    """Lower-cased runs between white space."""
+    return (text or "").lower().split()
 
-    ``words`` have embedding rows of their own, the first of them also classes; ``class_of``
-    is each row's class. ``shared`` has the tokens of each class that words share, and
-    ``counts(word, n)`` those of every word of the corpus.
-    """
 
-    words: dict[str, int]
-    class_of: np.ndarray
-    params: tuple[np.ndarray, ...]
-    shared: tuple[int, ...]
-    counts: DataFrame | None = None
+def form_of(word: str) -> int:
+    """Words with the same last two characters share a form."""
+    return crc32(word[-2:].encode("utf-8", "surrogatepass")) % FORMS
 
-    def rows(self, tokens: list[str]) -> np.ndarray:
-        """Embedding row of each token, with padding around."""
-        found = list(map(self.words.get, tokens))
-        for i, c in enumerate(found):
-            if c is None:
-                found[i] = _shared_class(tokens[i])
-        return np.pad(np.array(found, dtype=np.int64), SIDE)
-
-    def windows(self, rows: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the neighbours and class of the token at each position."""
-        near = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-        return rows[position[:, None] + near], self.class_of[rows[position]]
-
-    def log_likelihood(self, rows: np.ndarray) -> float:
-        """The sum over all positions, a span at a time."""
-        total = 0.0
-        for at in range(SIDE, len(rows) - SIDE, _SPAN):
-            position = np.arange(at, min(at + _SPAN, len(rows) - SIDE))
-            total += float(_forward(self.params, *self.windows(rows, position))[0].sum())
-        return total
 
-    def shares_class(self, word: str) -> bool:
-        return not 0 < self.words.get(word, 0) < CLASSES - SHARED
+def _form(word: Column) -> Column:
+    return F.crc32(F.substring(word, -2, 2).cast("binary")) % FORMS
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """Lower-cased runs between white space."""
-    return (text or "").lower().split()
+class Words(dict):
+    """Index of every held word; other words give ``-1 - form``."""
+
+    def __missing__(self, word: str) -> int:
+        return -1 - form_of(word)
+
+
+def _code(target: int, near: int, far: int) -> int:
+    return target | near << 7 | far << 13
+
+
+_FORM_CODES = [_code(1 + OWN + f, 1 + NEAR_OWN + f % (NEAR - 1 - NEAR_OWN), 1 + f % (FAR - 1)) for f in range(FORMS)]
+
+
+@dataclass(frozen=True)
+class Network:
+    """``log p(word | two tokens before and two after)``: that of the word's class, by one hidden layer
+    over the neighbours' embeddings, and of the word's share in its class.
+
+    ``codes`` and ``rates`` hold, by index, the classes and the logarithm of the share of the held
+    words, and at their ends those of the forms (no share: it is the word's own). ``tokens``
+    has the corpus's tokens of each form, and ``counts(word, n)`` those of every word.
+    """
 
+    words: Words
+    codes: np.ndarray
+    rates: np.ndarray
+    tokens: tuple[int, ...]
+    params: tuple[np.ndarray, ...] | None = None
+    counts: DataFrame | None = None
 
-def _shared_class(word: str) -> int:
-    return CLASSES - SHARED + crc32(word.encode("utf-8", "surrogatepass")) % SHARED
+    def indexes(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+    def cells(self, indexes: np.ndarray) -> np.ndarray:
+        """For each position the number of its context and class."""
+        n, codes = len(indexes), np.pad(self.codes[indexes], 2)
+        near, far = codes >> 7 & NEAR - 1, codes >> 13
+        sides = (near[1 : n + 1] * NEAR + near[3 : n + 3]) * FAR + far[:n]
+        return (sides * FAR + far[4:]) * TARGETS + (codes[2 : n + 2] & TARGETS - 1)
+
+    @cached_property
+    def log_probabilities(self) -> np.ndarray:
+        """Of every class in every context, by ``cells``; worked out once in each process."""
+        assert self.params is not None
+        parts = [_forward(self.params, np.arange(at, at + 4096))[0] for at in range(0, CONTEXTS, 4096)]
+        return np.concatenate(parts).astype(np.float32).ravel()
+
+    def log_likelihood(self, indexes: np.ndarray) -> float:
+        """The sum over all positions of held words; of other words, the class's part alone."""
+        total = float(self.rates[indexes].sum())
+        cells = self.cells(indexes)
+        for at in range(0, len(cells), _SPAN):
+            total += float(self.log_probabilities[cells[at : at + _SPAN]].sum(dtype=np.float64))
+        return total
 
 
-def masked(text: str | None, tokens: int, number: int, rounds: int) -> np.ndarray:
-    """Positions masked in a round: one in ``rounds``, each position once over all of them, from a hash of the text."""
-    first = (crc32((text or "").encode("utf-8", "surrogatepass"), SEED) + number) % rounds
-    return np.arange(SIDE + first, tokens + SIDE, rounds)
+def _neighbours(context: np.ndarray) -> tuple[np.ndarray, ...]:
+    return context // (NEAR * FAR * FAR), context // (FAR * FAR) % NEAR, context // FAR % FAR, context % FAR
 
 
-def _forward(params: tuple[np.ndarray, ...], near: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-    embed, w1, b1, w2, b2 = params
-    x = embed[near].reshape(len(near), -1)
+def _forward(params: tuple[np.ndarray, ...] | list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Log-probabilities of the classes, the hidden layer and its input."""
+    *embeds, w1, b1, w2, b2 = params
+    x = np.concatenate([e[i] for e, i in zip(embeds, _neighbours(context), strict=True)], axis=1)
     h = np.tanh(x @ w1 + b1)
     z = h @ w2 + b2
+    # nothing predicts padding
+    z[:, 0] = -np.inf
     z -= z.max(axis=1, keepdims=True)
-    picked = z[np.arange(len(z)), target]
-    np.exp(z, out=z)
-    norm = z.sum(axis=1)
-    return picked - np.log(norm), x, h, z / norm[:, None]
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), h, x
 
 
-def _initial(counts: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
+def initial(totals: np.ndarray) -> list[np.ndarray]:
     """Seeded small weights; the output's offset starts at the classes' log share."""
     r = np.random.Generator(np.random.PCG64(SEED))
+    wide = 2 * NEAR_EMBED + 2 * FAR_EMBED
     draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    share = (counts + 1) / (counts + 1).sum()
-    embed = (r.standard_normal((rows, EMBED)) * 0.3).astype(np.float32)
-    return embed, draw(2 * SIDE * EMBED, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, CLASSES) * np.float32(0.1), np.log(share).astype(np.float32)
-
-
-def _sgd_step(params: list[np.ndarray], sums: list[np.ndarray], near: np.ndarray, target: np.ndarray) -> None:
-    """One step (Adagrad) on masked positions, in place."""
-    embed, w1, b1, w2, b2 = params
-    _, x, h, p = _forward(tuple(params), near, target)
-    p[np.arange(len(p)), target] -= 1
-    p /= len(p)
-    dh = (p @ w2.T) * (1 - h * h)
-    dx = (dh @ w1.T).reshape(*near.shape, EMBED)
-    d_embed = np.zeros_like(embed)
-    np.add.at(d_embed, near.ravel(), dx.reshape(-1, EMBED))
-    for value, total, slope in zip(params, sums, (d_embed, x.T @ dh, dh.sum(axis=0), h.T @ p, p.sum(axis=0)), strict=True):
-        total += slope * slope
-        value -= RATE * slope / (np.sqrt(total) + 1e-6)
-
-
-def _vocabulary(docs: DataFrame) -> Network:
-    """Counts of all words, and a network that isn't trained.
-
-    The number of embedding rows grows with the square root of the corpus's tokens.
-    """
-    own = CLASSES - SHARED - 1
+    embeds = [(r.standard_normal((n, e)) * 0.3).astype(np.float32) for n, e in ((NEAR, NEAR_EMBED),) * 2 + ((FAR, FAR_EMBED),) * 2]
+    share = (totals + 1) / (totals + 1).sum()
+    return [*embeds, draw(wide, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, TARGETS) * np.float32(0.1), np.log(share).astype(np.float32)]
+
+
+def slopes(params: list[np.ndarray], context: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Of the mean negative log-likelihood of tokens that ``counts`` has by context and class."""
+    logp, h, x = _forward(params, context)
+    dz = np.exp(logp) * counts.sum(axis=1, keepdims=True) - counts
+    dz /= counts.sum()
+    w1, w2 = params[4], params[6]
+    dh = (dz @ w2.T) * (1 - h * h)
+    dx, at, out = dh @ w1.T, 0, []
+    for embed, index in zip(params[:4], _neighbours(context), strict=True):
+        d = np.zeros_like(embed)
+        np.add.at(d, index, dx[:, at : at + embed.shape[1]])
+        out.append(d)
+        at += embed.shape[1]
+    return [*out, x.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(axis=0)]
+
+
+def fit(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Trains the network on the counts of every class in every context, in seeded order (Adam)."""
+    params = initial(counts.sum(axis=0))
+    first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
+    r, total, waiting = np.random.Generator(np.random.PCG64(SEED)), float(counts.sum()), np.zeros(0, dtype=np.int64)
+    for step in range(1, STEPS + 1):
+        if len(waiting) < min(BATCH, len(context)):
+            waiting = np.concatenate([waiting, r.permutation(len(context))])
+        own, waiting = waiting[:BATCH], waiting[BATCH:]
+        rate = RATE * (1 - step / (STEPS + 1))
+        for p, m, v, slope in zip(params, first, second, slopes(params, context[own], counts[own].astype(np.float32)), strict=True):
+            if p.ndim > 1:
+                slope = slope + np.float32(DECAY / total) * p
+            m += 0.1 * (slope - m)
+            v += 0.01 * (slope * slope - v)
+            p -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + np.float32(1e-8))
+    return tuple(params)
+
+
+def _rate(n: int, tokens: int) -> float:
+    """``log p(word | class)`` of a word that occurs ``n`` times in a class of ``tokens``; all unseen words share one more token."""
+    return log(max(n, 1) / (tokens + 1))
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)`` of every word of the corpus."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[str] = Counter()
             for text in batch.column("text"):
-                found.update((text.as_py() or "").lower().split())
+                found.update(tokens_of(text.as_py()))
             arrays = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["word", "n"])
 
     counts = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = checkpointed(counts)
-    shared = F.crc32(F.col("word").cast("binary")) % SHARED
-    sums = {r.c: r.n for r in counts.groupBy(shared.alias("c")).agg(F.sum("n").alias("n")).collect()}
-    more = max(0, isqrt(sum(sums.values())) // 4 - CLASSES)
-    top = counts.orderBy(F.col("n").desc(), "word").limit(own + more).collect()
-    numbers, words, class_of = np.zeros(CLASSES), {}, list(range(CLASSES))
-    for i, r in enumerate(top):
-        if i < own:
-            words[r.word], numbers[i + 1] = i + 1, r.n
-            sums[_shared_class(r.word) - CLASSES + SHARED] -= r.n
-        else:
-            words[r.word] = len(class_of)
-            class_of.append(_shared_class(r.word))
-    tokens = tuple(sums.get(c, 0) for c in range(SHARED))
-    numbers[CLASSES - SHARED :] = tokens
-    return Network(words, np.array(class_of), _initial(numbers, len(class_of)), tokens, counts)
-
-
-def train(docs: DataFrame, rounds: int | None = None) -> Network:
-    """Trains on all of ``docs(text)``: local steps in each partition, then the mean of the weights.
-
-    The words with classes of their own are the most frequent of the whole corpus. Every
-    token is masked in one of the rounds, whose number grows with the partitions. In each round
-    a partition starts from the shared weights, takes a step for every ``BATCH``
-    masked tokens of its documents, and sends its weights, which are averaged
-    by the number of masked tokens. Null and empty texts and an empty table train nothing.
+    return checkpointed(counts)
+
+
+def _vocabulary(counts: DataFrame, held: int) -> Network:
+    """The words that tasks hold: all above a count that at most ``held`` words reach."""
+    step = F.floor(F.log2("n") * 16)
+    steps = sorted(((r.step, r.words) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, words = None, 0
+    for at, more in steps:
+        words += more
+        if words > held:
+            break
+        least = at
+    frequent = counts.where(step >= least if least is not None else F.lit(False)).toArrow().to_pylist()
+    frequent.sort(key=lambda r: (-r["n"], r["word"]))
+    tokens = [0] * FORMS
+    for r in counts.groupBy(_form(F.col("word")).alias("form")).agg(F.sum("n").alias("n")).collect():
+        tokens[r.form] = r.n
+    forms = [form_of(r["word"]) for r in frequent]
+    for r, form in zip(frequent[:OWN], forms, strict=False):
+        tokens[form] -= r["n"]
+    codes, rates = [], []
+    for i, (r, form) in enumerate(zip(frequent, forms, strict=True)):
+        shared = _FORM_CODES[form]
+        near = 1 + i if i < NEAR_OWN else shared >> 7 & NEAR - 1
+        codes.append(_code(1 + i if i < OWN else 1 + OWN + form, near, shared >> 13))
+        rates.append(0.0 if i < OWN else _rate(r["n"], tokens[form]))
+    codes, rates = np.array([*codes, *_FORM_CODES[::-1]]), np.array([*rates, *[0.0] * FORMS])
+    return Network(Words((r["word"], i) for i, r in enumerate(frequent)), codes, rates, tuple(tokens), counts=counts)
+
+
+def _statistics(docs: DataFrame, network: Network) -> DataFrame:
+    """``(block, part, at, n)``: how often each class occurs in each context, over all tokens.
+
+    Every task counts its documents; the counts of ``FAN`` tasks at a time are added up until each block has one row.
     """
-    if rounds is None:
-        rounds = ROUNDS + max(0, (docs.rdd.getNumPartitions() - 1) // PARTITIONS).bit_length()
-    network = _vocabulary(docs)
-    for number in range(rounds):
-        start = replace(network, counts=None)
-
-        def local(batches: Iterable[pa.RecordBatch], start: Network = start, number: int = number) -> Iterator[pa.RecordBatch]:
-            params = [p.copy() for p in start.params]
-            sums = [np.full_like(p, 1e-4) for p in params]
-            seen, held, waiting = 0, [], 0
-            for batch in batches:
-                for text in batch.column("text"):
-                    tokens = tokens_of(text.as_py())
-                    position = masked(text.as_py(), len(tokens), number, rounds)
-                    if not len(position):
-                        continue
-                    held.append(start.windows(start.rows(tokens), position))
-                    waiting += len(position)
-                    if waiting >= BATCH:
-                        near, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                        for at in range(0, waiting, BATCH):
-                            _sgd_step(params, sums, near[at : at + BATCH], target[at : at + BATCH])
-                        seen, held, waiting = seen + waiting, [], 0
-            if waiting:
-                _sgd_step(params, sums, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                seen += waiting
-            if seen:
-                flat = np.concatenate([p.ravel() for p in params]).astype(np.float64)
-                arrays = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))]
-                yield pa.RecordBatch.from_arrays(arrays, ["at", "weighted", "weight"])
-
-        sent = docs.select("text").mapInArrow(local, "at int, weighted double, weight double")
-        mean = sent.groupBy("at").agg((F.sum("weighted") / F.sum("weight")).alias("w")).toArrow().sort_by("at")
-        if not mean.num_rows:
-            return network
-        flat, parts = mean.column("w").to_numpy().astype(np.float32), []
-        for p in network.params:
-            parts.append(flat[: p.size].reshape(p.shape))
-            flat = flat[p.size :]
-        network = replace(network, params=tuple(parts))
-    return network
-
-
-def _rate(n: int, tokens: int) -> float:
-    """``log p(word | class)`` of a word that occurs ``n`` times in a class of ``tokens``; all unseen words share one more token."""
-    return log(max(n, 1) / (tokens + 1))
+    bare = docs.sparkSession.sparkContext.broadcast(replace(network, counts=None))
+    schema = "block int, part long, at binary, n binary"
+
+    def rows(found: Iterable[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        squeeze, out = zstandard.ZstdCompressor().compress, []
+        for block, part, cells in found:
+            at = np.flatnonzero(cells)
+            if len(at):
+                out.append((block, part, squeeze(at.astype("<u4").tobytes()), squeeze(cells[at].astype("<i8").tobytes())))
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["block", "part", "at", "n"])
+
+    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, own = np.zeros(CONTEXTS * TARGETS, dtype=np.uint32), bare.value
+        for batch in batches:
+            for text in batch.column("text"):
+                np.add.at(total, own.cells(own.indexes(tokens_of(text.as_py()))), np.uint32(1))
+        part = TaskContext.get().partitionId()
+        yield rows((b, part, total[b * CELLS_A_BLOCK : (b + 1) * CELLS_A_BLOCK]) for b in range(NEAR))
+
+    def added(group: pa.Table) -> pa.Table:
+        grow, total = zstandard.ZstdDecompressor().decompress, np.zeros(CELLS_A_BLOCK, dtype=np.int64)
+        for at, n in zip(group.column("at"), group.column("n"), strict=True):
+            total[np.frombuffer(grow(at.as_py()), "<u4")] += np.frombuffer(grow(n.as_py()), "<i8")
+        return pa.Table.from_batches([rows([(group.column("block")[0].as_py(), group.column("part")[0].as_py(), total)])])
+
+    found = checkpointed(docs.select("text").mapInArrow(local, schema))
+    while found.agg(F.max("part")).first()[0]:
+        found = found.withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
+        found = checkpointed(found.groupBy("block", "part").applyInArrow(added, schema))
+    return found
+
+
+def train(docs: DataFrame, held: int = HELD) -> Network:
+    """Trains on all of ``docs(text)``.
+
+    Every token of the corpus is a target once, with its whole window: tasks count how often each class
+    occurs in each context, a table as large as ``CONTEXTS * TARGETS`` whatever the corpus's size, and
+    the network is fitted to these counts. So the weights don't depend on partitions or their order.
+    Null and empty texts add nothing; an empty table gives a network of even chances.
+    """
+    network = _vocabulary(_word_counts(docs), held)
+    grow, counts = zstandard.ZstdDecompressor().decompress, np.zeros((NEAR, CELLS_A_BLOCK), dtype=np.int64)
+    for r in _statistics(docs, network).collect():
+        counts[r.block, np.frombuffer(grow(bytes(r.at)), "<u4")] = np.frombuffer(grow(bytes(r.n)), "<i8")
+    counts = counts.reshape(CONTEXTS, TARGETS)
+    context = np.flatnonzero(counts.any(axis=1))
+    params = fit(context, counts[context]) if len(context) else tuple(initial(counts.sum(axis=0)))
+    return replace(network, params=params)
 
 
 def _key(text: str) -> tuple[int, int]:
@@ -220,46 +282,41 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` with ``n_tokens``, ``log_likelihood`` (the sum over all tokens) and ``per_token``.
 
     A token's likelihood is that of its class by the network, times its word's share of
-    the class's tokens. Tasks hold the shares of the ``HELD`` most frequent words; those of
+    the class's tokens. Tasks hold the shares of the most frequent words; those of
     the others are joined, by word, and summed for each text. Null and empty texts have no
-    tokens, 0.0 and a null ``per_token``. Whole texts count.
+    tokens, 0.0 and a null ``per_token``. Whole texts count. Input columns of these names are replaced.
     """
     assert network.counts is not None
-    counts, bare, sc = network.counts, replace(network, counts=None), docs.sparkSession.sparkContext
-    top = counts.orderBy(F.col("n").desc(), "word").limit(HELD).toArrow().to_pylist()
-    first = CLASSES - SHARED
-    rates = {r["word"]: _rate(r["n"], bare.shared[_shared_class(r["word"]) - first]) if bare.shares_class(r["word"]) else 0.0 for r in top}
-    shared = sc.broadcast((bare, rates))
+    shared = docs.sparkSession.sparkContext.broadcast(replace(network, counts=None))
 
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[1]
+        model = shared.value
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                found = Counter(w for w in tokens_of(text.as_py()) if w not in known)
+                tokens = tokens_of(text.as_py())
+                found = Counter(tokens[i] for i in np.flatnonzero(model.indexes(tokens) < 0).tolist())
                 if found:
                     key = _key(text.as_py())
                     rows.extend((*key, word, n) for word, n in found.items())
-            if rows:
-                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["_k1", "_k2", "word", "times"])
+            arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["_k1", "_k2", "word", "times"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
+        model = shared.value
         for batch in batches:
             n, total, keys, others = [], [], [], []
             for text in batch.column("text"):
-                tokens = tokens_of(text.as_py())
-                held = [known[w] for w in tokens if w in known]
-                n.append(len(tokens))
-                total.append(model.log_likelihood(model.rows(tokens)) + sum(held))
+                indexes = model.indexes(tokens_of(text.as_py()))
+                n.append(len(indexes))
+                total.append(model.log_likelihood(indexes))
                 keys.append(_key(text.as_py() or ""))
-                others.append(len(tokens) - len(held))
+                others.append(int((indexes < 0).sum()))
             arrays = [pa.array(n, pa.int64()), pa.array(total, pa.float64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(others, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "n_tokens", "log_likelihood", "_k1", "_k2", "_others"])
 
-    of_class = F.element_at(F.array(*(F.lit(t) for t in network.shared)), (F.crc32(F.col("word").cast("binary")) % SHARED + 1).cast("int"))
-    rated = docs.select("text").mapInArrow(rare, "_k1 long, _k2 long, word string, times long").join(counts, "word", "left")
+    of_class = F.element_at(F.array(*(F.lit(t).cast("long") for t in network.tokens)), (_form(F.col("word")) + 1).cast("int"))
+    rated = docs.select("text").mapInArrow(rare, "_k1 long, _k2 long, word string, times long").join(network.counts, "word", "left")
     rate = F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) / (of_class + 1))
     sums = rated.groupBy("_k1", "_k2").agg(F.sum(F.col("times") * rate).alias("_sum"), F.sum("times").alias("_times"))
 
@@ -274,5 +331,6 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def op1_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a network trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, train(docs)).drop("text")
