@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles, as an exact set-similarity join."""
+"""Near copies of texts: SimHash candidates by multi-index hashing, verified by the similarity of word shingles."""
 
 from __future__ import annotations
 
@@ -7,188 +7,187 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from roadloom.llm.common import checkpointed, sample_share
+from roadloom.llm.common import checkpointed, written
 from roadloom.llm.components import connected_components
+from roadloom.llm.simhash_dedup import near_links
 
 #: Two documents are near copies where their sets of five-word shingles have a Jaccard similarity of 4/5 or more.
-WORDS = 5
-#: Documents and shingles in the sample that orders shingles by frequency. The order decides the cost, not the links.
-SAMPLE, COMMON, SEED = 20_000, 200_000, 42
+WORDS, SEED = 5, 42
+#: Candidates differ in at most so many of the 64 bits of a SimHash of their words, and of a second one.
+RADIUS, SECOND_RADIUS = 8, 12
+#: Texts of one group are compared in blocks of so many, or of so many bytes.
+TEXTS_A_BLOCK, BYTES_A_BLOCK = 128, 8 << 20
+_KNOWN, _CHUNK = 300_000, 100_000
+_KEY = ["_none", "_doc", "_hash"]
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles.
+class _WordHashes(dict):
+    """XXH64 of words, kept for the next time; starts anew when full."""
 
-    A-Z become lower case; words are runs without ASCII white space. Fewer words
-    than a shingle: the whole sequence is one; no word (or null): none.
-    """
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, dtype="<i8")
-    digest, joined = xxhash.xxh64_intdigest, b" ".join
-    parts = zip(*(tokens[i:] for i in range(words))) if len(tokens) >= words else [tokens]
-    return np.unique(np.fromiter((digest(joined(s), SEED) for s in parts), dtype="<u8").view("<i8"))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KNOWN:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """Documents with equal sets share it."""
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """The hash of each word in order; A-Z become lower case, words are runs without ASCII white space."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(known.__getitem__, tokens), dtype="<u8", count=len(tokens))
 
 
-def prefix_length(size: int) -> int:
-    """Of two near copies, this many first shingles, in any order that all share, have one in common."""
-    return size - (4 * size + 4) // 5 + 1 if size else 0
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection that spreads every bit (the finaliser of SplitMix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of 4/5 or more, in whole numbers."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 9 * both >= 4 * (len(a) + len(b))
+def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of runs of ``size`` words; fewer words: the whole sequence is one; none: none."""
+    n = len(words)
+    if not n:
+        return np.empty(0, dtype="<u8")
+    runs = max(1, n - size + 1)
+    out = np.zeros(runs, dtype="<u8")
+    for i in range(min(size, n)):
+        out = _mixed(out + np.uint64(0x9E3779B97F4A7C15)) ^ words[i : i + runs]
+    return np.unique(_mixed(out))
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several sampled documents share, and how many do."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = docs.where(sample_share(F.col("text"), SEED) < share).select("text").distinct()
+def majority_bits(hashes: np.ndarray) -> int:
+    """SimHash: the bits that over half of the hashes have, as a signed long."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        octets = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()))], ["h"])
 
-    seen = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    top = seen.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    hashes, counts = (top.column(c).to_numpy() for c in ("h", "n"))
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+def signature(text: str | None, known: dict[bytes, int]) -> tuple[int, int, int]:
+    """Id of the set of shingles, and two SimHashes of the set of words."""
+    words = word_hashes(text, known)
+    own = np.unique(words)
+    set_id = xxhash.xxh64_intdigest(shingles(words).tobytes(), SEED)
+    return set_id - (set_id >> 63 << 64), majority_bits(own), majority_bits(_mixed(own))
 
 
-def _with_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(doc_id, set, size, prefix)`` of each row; rare shingles come first in the prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
-        for batch in batches:
-            ids, sizes, prefixes = [], [], []
-            for text in batch.column("text"):
-                own = shingles(text.as_py())
-                often = np.zeros(len(own), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    often = np.where(known[at] == own, counts[at], 0)
-                ids.append(set_id(own))
-                sizes.append(len(own))
-                prefixes.append(own[np.lexsort((own, often))[: prefix_length(len(own))]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "set", "size", "prefix"],
-            )
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, set long, size long, prefix array<long>")
-
-
-def with_set_id(docs: DataFrame, into: str) -> DataFrame:
-    """``docs`` with the id of each row's set of shingles."""
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of 4/5 or more, in whole numbers."""
+    small, large = sorted((len(a), len(b)))
+    if 5 * small < 4 * large:
+        return False
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (small + large)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [set_id(shingles(t.as_py())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, into])
 
-    kept = docs.drop(into)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(into, T.LongType())]))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with what tells its different ``(doc_id, text)`` apart."""
+    doc = F.col("doc_id").cast("long")
+    return docs.withColumns({"_none": doc.isNull(), "_doc": F.coalesce(doc, F.lit(0)), "_hash": F.xxhash64("text")})
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(set, hashes)`` of the sets in ``wanted(set)``, each once."""
+def signed(docs: DataFrame) -> DataFrame:
+    """``(_none, _doc, _hash, set, fp, fp2, bytes)`` of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
         for batch in batches:
-            hashes = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(hashes, pa.binary())], ["set", "hashes"])
-
-    texts = with_set_id(docs.select("text"), "set")
-    texts = texts.groupBy("set").agg(F.min("text").alias("text")).join(wanted, "set", "left_semi")
-    return checkpointed(texts.mapInArrow(run, "set long, hashes binary"))
-
+            found = [signature(t.as_py(), known) for t in batch.column("text")]
+            made = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), *made, batch.column("bytes")], [*_KEY, "set", "fp", "fp2", "bytes"])
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are near copies."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("ha"), batch.column("hb")
-            good = [
-                similar(np.frombuffer(a.as_buffer(), "<i8"), np.frombuffer(b.as_buffer(), "<i8"))
-                for a, b in zip(left, right, strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    slim = _keyed(docs).select(*_KEY, "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    return slim.mapInArrow(run, "_none boolean, _doc long, _hash long, set long, fp long, fp2 long, bytes long")
 
-    of_a = sets.select(F.col("set").alias("a"), F.col("hashes").alias("ha"))
-    of_b = sets.select(F.col("set").alias("b"), F.col("hashes").alias("hb"))
-    return checkpointed(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
 
+def candidate_groups(sets: DataFrame) -> DataFrame:
+    """``sets(set, fp, fp2, ...)`` of groups of two and more, with ``group``, and ``n`` and ``size`` of the group.
 
-def _may_be(na: Column, at_a: Column, nb: Column, at_b: Column) -> Column:
-    """Whether sets of these sizes that share a shingle at these places of their order can be near copies."""
-    most = F.least(at_a, at_b) + 1 + F.least(na - at_a - 1, nb - at_b - 1)
-    return 9 * most >= 4 * (na + nb)
+    Groups are what links between near fingerprints connect.
+    """
+    node = F.xxhash64("fp", "fp2")
+    nodes = checkpointed(sets.select(node.alias("id"), "fp", "fp2").dropDuplicates(["id"]))
+    links = near_links(nodes, nodes.count(), RADIUS, key="id", second=("fp2", SECOND_RADIUS))
+    labels = connected_components(links).select(F.col("id").alias("node"), "label")
+    of = sets.withColumn("node", node).join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label", "node")
+    several = of.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).where("n > 1")
+    return of.join(several, "group")
+
+
+def _verified(group: pa.Table) -> pa.Table:
+    """Links between the near copies of one pair of blocks; what links connect already isn't compared again."""
+    known, seen, rows = _WordHashes(), set(), []
+    for row in zip(*(group.column(c) for c in ("set", "block", "fp", "fp2", "text")), strict=True):
+        own = row[0].as_py()
+        if own not in seen:
+            seen.add(own)
+            rows.append((own, row[1].as_py(), row[2].as_py(), row[3].as_py(), shingles(word_hashes(row[4].as_py(), known))))
+    rows.sort(key=lambda r: r[0])
+    # bits of signed numbers would be those of their absolute values
+    block, fp, fp2 = (np.array([r[i] for r in rows], dtype=np.int64).view(np.uint64) for i in (1, 2, 3))
+    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    parent = list(range(len(rows)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for x in range(len(rows)):
+        near = (np.bitwise_count(fp[x + 1 :] ^ fp[x]) <= RADIUS) & (np.bitwise_count(fp2[x + 1 :] ^ fp2[x]) <= SECOND_RADIUS)
+        if across:
+            near &= block[x + 1 :] != block[x]
+        for y in (np.flatnonzero(near) + x + 1).tolist():
+            if top(x) != top(y) and similar(rows[x][4], rows[y][4]):
+                parent[top(y)] = top(x)
+                links.append((rows[x][0], rows[y][0]))
+    return pa.table([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def near_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(set, label)`` for every set of ``rows``: sets that links connect share a label.
+    """``(set, label)`` of the sets of ``rows`` (as ``signed`` gives them) that links connect with others.
 
-    Near copies have a shingle in common among their first ones in an order that puts
-    rare shingles first, so the sets that share such a shingle are all candidates that
-    there are. First each is compared with the smallest set id at its shingle, and what
-    is near is contracted; then pairs of different roots are compared. Every link is
-    verified on the whole sets.
+    Linked are sets whose fingerprints are near and whose similarity is 4/5 or more. One text of each set
+    in a candidate group is fetched; groups are cut into blocks of a bounded size, and every pair of blocks
+    is compared by itself.
     """
-    distinct = rows.select("set", "size", "prefix").dropDuplicates(["set"])
-    entries = distinct.select("set", "size", F.posexplode("prefix").alias("at", "h"))
-    same = Window.partitionBy("h")
-    met = entries.select("*", F.min(F.struct("set", "size", "at")).over(same).alias("head"), F.count("*").over(same).alias("n"))
-    met = checkpointed(met.where("n > 1").drop("n"))
-    sets = _sets_of(docs, met.select("set").distinct())
-
-    may = _may_be(F.col("size"), F.col("at"), F.col("head.size"), F.col("head.at"))
-    stars = met.where(may & (F.col("set") != F.col("head.set"))).select(F.col("head.set").alias("a"), F.col("set").alias("b"))
-    stars = _links(stars.distinct(), sets)
-    roots = connected_components(stars)
-    met = met.drop("head").join(roots, F.col("set") == F.col("id"), "left")
-    met = met.select("h", "set", "size", "at", F.coalesce("label", "set").alias("root"))
-    several = met.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    met = checkpointed(met.join(several, "h", "left_semi"))
-    x, y = met.alias("x"), met.alias("y")
-    pairs = x.join(
-        y,
-        (F.col("x.h") == F.col("y.h"))
-        & (F.col("x.set") < F.col("y.set"))
-        & (F.col("x.root") != F.col("y.root"))
-        & _may_be(F.col("x.size"), F.col("x.at"), F.col("y.size"), F.col("y.at")),
-    )
-    pairs = pairs.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    labels = connected_components(stars.union(_links(pairs, sets)))
-    every = rows.select("set").distinct()
-    return every.join(labels, F.col("set") == F.col("id"), "left").select("set", F.coalesce("label", "set").alias("label"))
+    rank = F.min(F.struct(*_KEY, "fp", "fp2", "bytes")).alias("r")
+    sets = checkpointed(rows.groupBy("set").agg(rank).select("set", *(F.col(f"r.{c}").alias(c) for c in (*_KEY, "fp", "fp2", "bytes"))))
+    blocks = (1 + F.greatest(F.floor(F.col("n") / TEXTS_A_BLOCK), F.floor(F.col("size") / BYTES_A_BLOCK))).cast("long")
+    several = candidate_groups(sets).select("set", "group", "fp", "fp2", *_KEY, blocks.alias("blocks"))
+    several = written(several.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks"))), "candidates")
+    texts = _keyed(docs.select("doc_id", "text")).join(several, _KEY).select("set", "group", "fp", "fp2", "block", "blocks", "text")
+    each = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    links = checkpointed(each.groupBy("group", "i", "j").applyInArrow(_verified, "a long, b long"))
+    return connected_components(links).select(F.col("id").alias("set"), "label")
+
+
+def _least(columns: list[str]) -> Column:
+    return F.min(F.struct(*columns)).alias("r")
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies stays: the one with the smallest doc_id, null ids last."""
-    rows = checkpointed(_with_sets(docs, _common(docs)))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set")
-    best = rows.groupBy("set").agg(F.min(rank).alias("rank"))
-    best = best.join(near_groups(docs, rows), "set").groupBy("label").agg(F.min("rank").alias("rank"))
-    best = best.select(
-        F.col("rank.set").alias("_set"), F.coalesce("rank.doc_id", F.lit(0)).alias("_doc"), F.col("rank.none").alias("_none")
-    )
-    doc = F.col("doc_id").cast("long")
-    full = with_set_id(docs, "_set").withColumns({"_doc": F.coalesce(doc, F.lit(0)), "_none": doc.isNull()})
-    key = ["_set", "_doc", "_none"]
-    return full.join(best, key, "left_semi").dropDuplicates(key).select(docs.columns)
+    """One row of each component of near copies stays: the one with the smallest doc_id, null ids last.
+
+    Rows are copies if they have the same set of shingles (so all without a word are), or through links
+    between similar sets. Of repeated rows that differ in other columns only, the smallest stays.
+    Columns named like the stage's own (a leading ``_``) aside, names don't matter; an empty table stays empty.
+    """
+    rows = checkpointed(signed(docs))
+    labels = near_groups(docs, rows)
+    firsts = rows.groupBy("set").agg(_least(_KEY)).join(labels, "set", "left").groupBy(F.coalesce("label", "set")).agg(_least(["r"]))
+    keep = firsts.select(*(F.col(f"r.r.{c}").alias(c) for c in _KEY))
+    keys = rows.groupBy(*_KEY).agg((F.count("*") > 1).alias("_again"))
+    kept = keep.withColumn("_kept", F.lit(True))
+    # what goes is far less than what stays, and small enough for Spark to broadcast more often
+    marks = keys.join(kept, _KEY, "left").where("_again OR _kept IS NULL").select(*_KEY, F.col("_kept").isNotNull().alias("_kept"))
+    marks = written(marks, "marks")
+    stays = _keyed(docs).join(marks, _KEY, "left_anti").select(docs.columns)
+    once = _keyed(docs).join(marks.where("_kept"), _KEY, "left_semi").groupBy(*_KEY).agg(_least(docs.columns))
+    return stays.union(once.select(*(F.col("r")[c].alias(c) for c in docs.columns)))

@@ -19,6 +19,8 @@ from roadloom.llm.components import connected_components
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints that may share a segment's value before pairs among them cost more than balls.
 HOT = 16384
+#: Comparisons of two fingerprints that cost as much as a row of a table.
+COMPARISONS_A_ROW = 32
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _CHUNK = 200_000
 
@@ -64,32 +66,40 @@ def segments_for(count: int, radius: int = RADIUS) -> list[tuple[int, int, int]]
 
     With radii that sum to ``radius - m + 1`` over m segments, two fingerprints
     within ``radius`` agree within the radius of at least one segment, whatever m
-    is. m is the one with the fewest probes and expected candidates.
+    is. m is the one with the fewest probes, table rows and expected comparisons.
     """
     best: tuple[float, list[tuple[int, int, int]]] | None = None
     for m in range(1, radius + 2):
         spare, widths = radius - m + 1, [64 // m + (i < 64 % m) for i in range(m)]
         radii = [spare // m + (i < spare % m) for i in range(m)]
-        cost = sum(
-            sum(comb(w, k) for k in range(r + 1)) * (1 + count / 2.0**w) for w, r in zip(widths, radii, strict=True)
-        )
+        cost = 0.0
+        for w, r in zip(widths, radii, strict=True):
+            probes, rows = (sum(comb(w, k) for k in range(x + 1)) for x in _halves(r))
+            cost += probes + rows + probes * rows * count / 2.0**w / COMPARISONS_A_ROW
         if best is None or cost < best[0]:
             best = cost, [(sum(widths[:i]), widths[i], radii[i]) for i in range(m)]
     assert best is not None
     return best[1]
 
 
+def _halves(radius: int) -> tuple[int, int]:
+    """Two values within ``radius`` have a third one within these of them."""
+    return (radius + 1) // 2, radius // 2
+
+
 def _part(fp: Column, shift: int, width: int) -> Column:
     """The segment's bits."""
     return F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1) if width < 64 else fp
 
 
 def _ball(width: int, radius: int) -> list[int]:
-    """All masks over ``width`` bits with at most ``radius`` ones."""
-    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
+    """All masks over ``width`` bits with at most ``radius`` ones, as signed longs."""
+    masks = (sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k))
+    return [m - (m >> 63 << 64) for m in masks]
 
 
-def _probes(seg: int, shift: int, width: int, radius: int) -> Column:
+def _around(seg: int, shift: int, width: int, radius: int) -> Column:
+    """Keys of the values within ``radius`` bits of the segment's own."""
     masks = F.array(*(F.lit(m).cast("long") for m in _ball(width, radius)))
     part = _part(F.col("fp"), shift, width)
     return F.transform(masks, lambda m: F.struct(F.lit(seg).alias("seg"), part.bitwiseXOR(m).alias("part")))
@@ -98,70 +108,76 @@ def _probes(seg: int, shift: int, width: int, radius: int) -> Column:
 def _links_by_balls(hot: DataFrame, radius: int) -> DataFrame:
     """Links ``(a, b)`` between the roots of ``hot(fp, root)``, without comparing pairs.
 
-    Two fingerprints are within an even ``radius`` if, and only if, some value is within
-    half of it from both. So each fingerprint goes to every value of its ball, and the
+    The same lookup with the whole fingerprint as the only segment: two are within an even
+    ``radius`` if, and only if, some value is within half of it from both. The
     roots that meet at a value are one group: at most as many as a ball has values.
     """
-    masks = F.array(*(F.lit(m - (m >> 63 << 64)).cast("long") for m in _ball(64, radius // 2)))
+    masks = F.array(*(F.lit(m).cast("long") for m in _ball(64, radius // 2)))
     at = hot.select("root", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
     met = at.groupBy("at").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1)
     met = met.select(F.array_sort("roots").alias("roots")).distinct()
     return met.select(F.col("roots")[0].alias("a"), F.explode("roots").alias("b")).where("a <> b").distinct()
 
 
-def near_links(fps: DataFrame, count: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Links ``(a, b)`` that connect just what all pairs of distinct ``fp`` within ``radius`` bits connect.
+def near_links(
+    nodes: DataFrame, count: int, radius: int = RADIUS, hot: int = HOT, key: str = "fp", second: tuple[str, int] | None = None
+) -> DataFrame:
+    """Links ``(a, b)`` between values of ``key`` that connect just what all pairs of near ``nodes`` connect.
 
-    Each segment's values form a hash table. First the fingerprints that share a
+    Two of ``nodes(key, fp, ...)``, whose ``key`` is distinct, are near if ``fp`` differs in at most ``radius``
+    bits and, with ``second``, that column in at most its number of bits too.
+
+    Each segment's values form a hash table. First the nodes that share a
     segment's value are compared with the smallest of them; what is near it is
-    contracted, and needs no links but one to its root. Then each fingerprint looks
-    up its ball around every segment's value, and the complete distance of every
+    contracted, and needs no links but one to its root. Then small balls around
+    every segment's value are looked up in the table (a radius is shared between the two
+    sides, so a ball of 2 bits meets as two of 1), and the complete distance of every
     match with another root is verified; between two roots one link stays.
 
-    Between values that more than ``hot`` fingerprints share, pairs aren't compared:
-    those fingerprints are linked among each other through ``_links_by_balls``, in time
+    Between values that more than ``hot`` nodes share, pairs aren't compared:
+    those nodes are linked among each other through ``_links_by_balls``, in time
     that grows with their number, and are looked up only in smaller tables (for an odd
-    ``radius`` all pairs are compared).
+    ``radius``, and with ``second``, all pairs are compared).
     """
-    hot = count if radius % 2 else hot
+    held = list(dict.fromkeys([key, "fp", *([second[0]] if second else [])]))
+
+    def near(x: str, y: str) -> Column:
+        both = F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= radius
+        return both & (F.bit_count(F.col(x + second[0]).bitwiseXOR(F.col(y + second[0]))) <= second[1]) if second else both
+
+    hot = count if radius % 2 or second else hot
     parts = segments_for(count, radius)
-    keys = [F.struct(F.lit(i).alias("seg"), _part(F.col("fp"), s, w).alias("part")) for i, (s, w, _) in enumerate(parts)]
-    entries = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.seg", "key.part")
-    heads = entries.groupBy("seg", "part").agg(F.min("fp").alias("head"), F.count("*").alias("n"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= radius
-    seen = entries.join(heads, ["seg", "part"]).groupBy("fp").agg(
-        F.collect_set(F.when(near & (F.col("head") != F.col("fp")), F.col("head"))).alias("heads"),
+    keys = F.array(*(F.struct(F.lit(i).alias("seg"), _part(F.col("fp"), s, w).alias("part")) for i, (s, w, _) in enumerate(parts)))
+    entries = nodes.select(*held, F.explode(keys).alias("at")).select(*held, "at.seg", "at.part")
+    heads = entries.groupBy("seg", "part").agg(F.min(F.struct(*held)).alias("head"), F.count("*").alias("n"))
+    seen = entries.join(heads, ["seg", "part"]).groupBy(*held).agg(
+        F.collect_set(F.when(near("", "head.") & (F.col(f"head.{key}") != F.col(key)), F.col(f"head.{key}"))).alias("heads"),
         F.collect_set(F.when(F.col("n") > hot, F.col("seg"))).alias("hot"),
     )
     seen = checkpointed(seen)
-    roots = connected_components(seen.select(F.col("fp").alias("a"), F.explode("heads").alias("b")))
-    nodes = seen.join(roots, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("label", "fp").alias("root"), "hot")
-    nodes = checkpointed(nodes)
+    roots = connected_components(seen.select(F.col(key).alias("a"), F.explode("heads").alias("b")))
+    rooted = seen.join(roots, F.col(key) == F.col("id"), "left") if key != "id" else seen.join(roots.withColumnRenamed("id", "_id"), F.col(key) == F.col("_id"), "left")
+    rooted = checkpointed(rooted.select(*held, F.coalesce("label", key).alias("root"), "hot"))
+
+    def spread(side: str, radii: list[int]) -> DataFrame:
+        ball = F.concat(*(_around(i, s, w, r) for (i, (s, w, _)), r in zip(enumerate(parts), radii, strict=True)))
+        rows = rooted.select(*(F.col(c).alias(f"{side}_{c}") for c in (*held, "root")), "hot", F.explode(ball).alias("at"))
+        return rows.select(*(f"{side}_{c}" for c in (*held, "root")), "at.seg", "at.part", F.array_contains("hot", F.col("at.seg")).alias("is_hot"))
 
-    ball = F.concat(*(_probes(i, *p) for i, p in enumerate(parts)))
-    is_hot = F.array_contains("hot", F.col("key.seg")).alias("is_hot")
-    probes = nodes.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), "hot", F.explode(ball).alias("key"))
-    probes = probes.select("a", "root_a", "key.seg", "key.part", is_hot)
-    tables = nodes.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), "hot", F.explode(F.array(*keys)).alias("key"))
-    tables = tables.select("b", "root_b", "key.seg", "key.part", is_hot)
+    probes, tables = (spread(side, [_halves(r)[i] for _, _, r in parts]) for i, side in enumerate("ab"))
 
     def matches(probes: DataFrame, tables: DataFrame) -> DataFrame:
-        found = probes.join(
-            tables,
-            (probes.seg == tables.seg)
-            & (probes.part == tables.part)
-            & (F.col("a") < F.col("b"))
-            & (F.col("root_a") != F.col("root_b"))
-            & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius),
-        )
-        return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-
-    found = matches(probes, tables.where("NOT is_hot"))
-    crowd = nodes.where("size(hot) > 0").select("fp", "root")
-    if not crowd.isEmpty():
-        found = found.union(matches(probes.where("NOT is_hot"), tables.where("is_hot")))
+        met = (probes.seg == tables.seg) & (probes.part == tables.part) & (F.col(f"a_{key}") < F.col(f"b_{key}"))
+        found = probes.join(tables, met & (F.col("a_root") != F.col("b_root")) & near("a_", "b_"))
+        return found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+
+    crowd = rooted.where("size(hot) > 0").select("fp", "root")
+    if crowd.isEmpty():
+        found = matches(probes.drop("is_hot"), tables.drop("is_hot"))
+    else:
+        found = matches(probes, tables.where("NOT is_hot")).union(matches(probes.where("NOT is_hot"), tables.where("is_hot")))
         found = found.union(_links_by_balls(crowd, radius))
-    stars = nodes.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    stars = rooted.where(F.col(key) != F.col("root")).select(F.col(key).alias("a"), F.col("root").alias("b"))
     return found.distinct().union(stars)
 
 
@@ -191,18 +207,7 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: the one with the smallest doc_id, null ids last."""
-    rows = checkpointed(fingerprints(docs.select("doc_id", "text")).drop("text"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    best = rows.groupBy("fp").agg(F.min(rank).alias("rank"))
-    best = best.join(_groups(rows, RADIUS), "fp").groupBy("label").agg(F.min("rank").alias("rank"))
-    best = best.select(F.col("rank.doc_id").alias("best_id"), F.col("rank.fp").alias("best_fp"))
-    full = fingerprints(docs, into="_fp")
-    kept = full.join(best, (full["_fp"] == best.best_fp) & full["doc_id"].eqNullSafe(best.best_id), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).select(docs.columns)

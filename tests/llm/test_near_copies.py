@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from roadloom.llm import near_copies
 
 STAGE = dict(corpus_pipeline.STAGES)["near_duplicates"]
@@ -15,9 +17,24 @@ def plain_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def plain_kept(rows):
+def plain_bits(hashes):
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def plain_near(a, b):
+    """Whether the two SimHashes of the texts' words are near."""
+    return all((x ^ y).bit_count() <= r for x, y, r in zip(a, b, (near_copies.RADIUS, near_copies.SECOND_RADIUS), strict=True))
+
+
+def plain_prints(text):
+    own = set(near_copies.word_hashes(text, near_copies._WordHashes()).tolist())
+    return plain_bits(own), plain_bits([int(x) for x in near_copies._mixed(np.array(sorted(own), dtype="<u8"))])
+
+
+def plain_kept(rows, every_pair):
     """Doc ids that stay, of ``(doc_id, text)``: the smallest of each component, nulls last."""
     sets = sorted({plain_set(t) for _, t in rows}, key=len)
+    prints = {plain_set(t): plain_prints(t) for _, t in rows}
     parent = {s: s for s in sets}
 
     def top(s):
@@ -29,7 +46,7 @@ def plain_kept(rows):
         for b in sets[i + 1 :]:
             if 5 * len(a) < 4 * len(b):
                 break
-            if 5 * len(a & b) >= 4 * len(a | b):
+            if 5 * len(a & b) >= 4 * len(a | b) and (every_pair or plain_near(prints[a], prints[b])):
                 parent[top(a)] = top(b)
     best = {}
     for doc_id, text in rows:
@@ -66,29 +83,52 @@ def kept(spark, rows):
     return Counter(r.doc_id for r in STAGE(spark, docs, "").collect())
 
 
-def test_same_as_all_pairs(spark):
+@pytest.mark.parametrize("block", [near_copies.TEXTS_A_BLOCK, 7])
+def test_same_as_all_pairs(spark, monkeypatch, block):
+    """The same links as a comparison of all pairs, with one block a group and with several."""
+    monkeypatch.setattr(near_copies, "TEXTS_A_BLOCK", block)
     rows = planted()
-    assert kept(spark, rows) == plain_kept(rows)
+    assert kept(spark, rows) == plain_kept(rows, every_pair=False)
 
 
-def test_shared_shingles_change_only_the_order(spark, monkeypatch):
-    rows = planted()
-    monkeypatch.setattr(near_copies, "COMMON", 3)
-    assert kept(spark, rows) == plain_kept(rows)
-
-
-def test_same_as_all_pairs_on_documents(spark, sf):
+def test_near_copies_found_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert Counter(r.doc_id for r in STAGE(spark, docs, sf).collect()) == plain_kept(rows)
+    got, all_ = Counter(r.doc_id for r in STAGE(spark, docs, sf).collect()), plain_kept(rows, every_pair=True)
+    assert got == plain_kept(rows, every_pair=False)
+    gone = len(rows) - all_.total()
+    assert gone > 0 and len(rows) - got.total() >= 0.95 * gone
+    assert not all_ - got
+
+
+def test_of_repeated_rows_the_smallest_stays(spark):
+    rows = [(1, "some words that occur twice", s) for s in ("b", "a", None)] + [(2, "others", "c"), (2, "others", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, STAGE(spark, docs, "").collect())) == [(1, "some words that occur twice", None), (2, "others", "c")]
 
 
-def test_prefixes_of_near_copies_meet():
+def test_shingles_and_bits_by_their_definition():
+    known = near_copies._WordHashes()
     r = random.Random(1)
-    for _ in range(2000):
-        n = r.randrange(1, 60)
-        a = set(r.sample(range(10**6), n))
-        b = set(list(a)[r.randrange(0, n // 4 + 1) :]) | {10**6 + i for i in range(r.randrange(0, n // 4 + 1))}
-        a, b = np.array(sorted(a)), np.array(sorted(b))
-        if near_copies.similar(a, b):
-            assert set(a[: near_copies.prefix_length(len(a))]) & set(b[: near_copies.prefix_length(len(b))])
+    for _ in range(50):
+        a, b = ([r.choice("abc") for _ in range(r.randrange(0, 40))] for _ in range(2))
+        sets = [plain_set(" ".join(x)) for x in (a, b)]
+        own = [near_copies.shingles(near_copies.word_hashes(" ".join(x), known)) for x in (a, b)]
+        assert [len(x) for x in own] == [len(x) for x in sets]
+        assert len(np.intersect1d(*own)) == len(sets[0] & sets[1])
+        if sets[0] and sets[1]:
+            assert near_copies.similar(*own) == (5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1]))
+    h = np.array([r.getrandbits(64) for _ in range(99)], dtype="<u8")
+    assert near_copies.majority_bits(h) % 2**64 == plain_bits(h.tolist())
+
+
+def test_copies_of_a_very_long_text(spark):
+    r = random.Random(5)
+    long = [r.choice("abcdefgh") + str(r.randrange(5000)) for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:150_000], "zz", *long[150_000:]])), (3, " ".join(long[:200_000]))]
+    assert kept(spark, rows) == Counter([1, 3])
+
+
+def test_first_of_many_copies_of_one_text(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same five words here").alias("text"))
+    assert [r.doc_id for r in STAGE(spark, docs, "").collect()] == [0]
