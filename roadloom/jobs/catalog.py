@@ -12,9 +12,9 @@ from roadloom.functions import geo, text
 from roadloom.functions.requests import choose_start, routable_requests, settled_only
 from roadloom.jobs import routing
 from roadloom.operators import graph, polyline, report, search, snap, tracking, validate
-from roadloom.session import cut, table
+from roadloom.session import cut, shared_folder, table
 from roadloom.sources import fixtures as fx
-from roadloom.sources.graph_file import load_graph_tables, write_graph_tables
+from roadloom.sources.graph_file import load_graph_tables, read_graph_file, write_graph_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,11 +180,7 @@ def snap_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "j2_snap_endpoints",
-    fx.with_tables("size", "nodes", "points", "snapped")
-    + """, p AS (SELECT count(*) AS parts FROM part)
-SELECT CAST(o_orderkey AS BIGINT) AS request_id, s.node_id AS start_node, t.node_id AS dest_node
-FROM (SELECT o_orderkey, o_orderkey % parts AS s_id, (o_orderkey * 7 + 3) % parts AS t_id FROM orders, p WHERE o_orderkey < 200)
-  JOIN snapped s ON s.point_id = s_id JOIN snapped t ON t.point_id = t_id""",
+    fx.with_tables("size", "nodes", "beside", "snapped", "requests", "snapped_requests") + "SELECT * FROM found",
 )
 def snap_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     done = snap.snap_endpoints(fx.position_requests(spark, sf), fx.nodes(spark, sf), fx.GRID)
@@ -230,7 +226,7 @@ layers AS (
 SELECT request_id, layer, count(*) AS edges, CAST(sum(dist) AS BIGINT) AS dist FROM layers GROUP BY 1, 2""",
 )
 def search_graph(spark: SparkSession, sf: str) -> DataFrame:
-    requests, edges, nodes = fx.route_requests(spark, sf), fx.edges(spark, sf), fx.nodes(spark, sf)
+    requests, (nodes, edges) = fx.route_requests(spark, sf), _graph(spark, sf)
     up = graph.up_cone(requests.select(F.col("start_node").alias("root")), edges, nodes)
     down = graph.down_cone(requests.select(F.col("dest_node").alias("root")), edges, nodes)
     own = graph.search_graph(requests, up, down).select("request_id", "layer", "dist")
@@ -241,35 +237,51 @@ def search_graph(spark: SparkSession, sf: str) -> DataFrame:
 _ROUTES = ("size", "road", "requests", "lengths")
 
 
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as tables at rest, which every round reads."""
+    return cut(fx.nodes(spark, sf)), cut(fx.edges(spark, sf))
+
+
 @query("g4_a2_shortest_paths", fx.with_tables(*_ROUTES) + "SELECT request_id, dist FROM lengths")
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     requests = fx.route_requests(spark, sf)
-    return graph.path_length(requests, routing.solve(requests, fx.nodes(spark, sf), fx.edges(spark, sf)))
+    return graph.path_length(requests, routing.solve(requests, *_graph(spark, sf)))
 
 
 @query("g4_meeting_paths", fx.with_tables(*_ROUTES) + "SELECT request_id, dist FROM lengths")
 def meeting_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.meeting_paths(fx.route_requests(spark, sf), fx.edges(spark, sf), fx.nodes(spark, sf))
+    nodes, edges = _graph(spark, sf)
+    return graph.meeting_paths(fx.route_requests(spark, sf), edges, nodes)
+
+
+@query("g4_general_graph")
+def general_graph(spark: SparkSession, sf: str) -> DataFrame:
+    requests, edges = fx.route_requests(spark, sf), cut(fx.general_edges(spark, sf))
+    return graph.path_length(requests, graph.shortest_paths(requests, _no_cones(edges), edges))
+
+
+def _no_cones(edges: DataFrame) -> DataFrame:
+    """Where every node is core."""
+    return edges.where("FALSE").select(F.col("edge_id").alias("request_id"), "src", "dst", "dist", "edge_id")
 
 
 @query(
-    "g4_general_graph",
-    fx.with_tables("size", "requests", recursive=True)
-    + """, e AS (SELECT CAST(o_custkey AS BIGINT) AS src, (CAST(o_orderkey AS BIGINT) * 31 + 7) % n AS dst, min(1 + o_orderkey % 997) AS w FROM orders, size GROUP BY 1, 2),
-r AS (SELECT * FROM requests WHERE request_id < 10),
-walk AS (
-  SELECT request_id, start_node AS node, CAST(0 AS BIGINT) AS dist, 0 AS hop FROM r
-  UNION ALL
-  SELECT * FROM (
-    SELECT request_id, dst AS node, min(dist + w) AS dist, hop + 1 AS hop FROM walk JOIN e ON src = node WHERE hop < 40 GROUP BY request_id, dst, hop)),
-best AS (SELECT request_id, node, min(dist) AS dist FROM walk GROUP BY 1, 2)
-SELECT r.request_id, CAST(dist AS BIGINT) AS dist FROM r JOIN best b ON b.request_id = r.request_id AND node = dest_node""",
+    "g4_tied_paths",
+    fx.with_tables("size", "grid")
+    + """, steps AS (
+  SELECT *, unnest(generate_series(0, abs(ty - sy) + abs(tx - sx))) AS seq FROM rides),
+moved AS (SELECT *, abs(ty - sy) AS rows_, least(seq, abs(ty - sy)) AS down, greatest(seq - abs(ty - sy), 0) AS along FROM steps),
+placed AS (SELECT *, sx + sign(tx - sx) * along AS x, sy + sign(ty - sy) * down AS y FROM moved)
+SELECT request_id, seq, CAST(y * w + x AS BIGINT) AS node_id, seq * 7 AS dist,
+  CAST(CASE WHEN seq = 0 THEN NULL WHEN seq <= rows_ AND ty > sy THEN 2097152 + (y - 1) * w + x WHEN seq <= rows_ THEN 3145728 + (y + 1) * w + x
+    WHEN tx > sx THEN y * w + x - 1 ELSE 1048576 + y * w + x + 1 END AS BIGINT) AS edge_id
+FROM placed""",
 )
-def general_graph(spark: SparkSession, sf: str) -> DataFrame:
-    # ten requests are the query's own input: every node is core, so each one reaches the whole graph
-    requests = fx.route_requests(spark, sf).where("request_id < 10")
-    labels = graph.shortest_paths_by_rounds(requests, None, fx.general_edges(spark, sf))
-    return graph.path_length(requests, labels)
+def tied_paths(spark: SparkSession, sf: str) -> DataFrame:
+    requests, edges = fx.grid_requests(spark, sf), cut(fx.grid_edges(spark, sf))
+    labels = cut(graph.shortest_paths(requests, _no_cones(edges), edges))
+    dist = labels.select("request_id", F.col("node").alias("node_id"), "dist")
+    return graph.backtrack(requests, labels).join(dist, ["request_id", "node_id"]).select("request_id", "seq", "node_id", "dist", "edge_id")
 
 
 @query(
@@ -277,8 +289,8 @@ def general_graph(spark: SparkSession, sf: str) -> DataFrame:
     fx.with_tables(*_ROUTES) + "SELECT request_id, dist, start_node AS first, dest_node AS last, euclid FROM lengths",
 )
 def backtrack(spark: SparkSession, sf: str) -> DataFrame:
-    requests, edges = fx.route_requests(spark, sf), fx.edges(spark, sf)
-    path = cut(graph.backtrack(requests, routing.solve(requests, fx.nodes(spark, sf), edges)))
+    requests, (nodes, edges) = fx.route_requests(spark, sf), _graph(spark, sf)
+    path = cut(graph.backtrack(requests, routing.solve(requests, nodes, edges)))
     steps = graph.edge_lookup(path.where("edge_id IS NOT NULL"), fx.edge_details(spark, sf)).join(edges.select("edge_id", "dist"), "edge_id")
     sums = steps.groupBy("request_id").agg(F.sum("dist").alias("dist"), F.sum("euclid").alias("euclid"))
     ends = path.groupBy("request_id").agg(F.min_by("node_id", "seq").alias("first"), F.max_by("node_id", "seq").alias("last"))
@@ -294,21 +306,16 @@ def backtrack(spark: SparkSession, sf: str) -> DataFrame:
 FROM lengths""",
 )
 def unpack(spark: SparkSession, sf: str) -> DataFrame:
-    requests, edges = fx.route_requests(spark, sf), fx.edges(spark, sf)
-    path = cut(graph.backtrack(requests, routing.solve(requests, fx.nodes(spark, sf), edges)))
+    requests, (nodes, edges) = fx.route_requests(spark, sf), _graph(spark, sf)
+    path = cut(graph.backtrack(requests, routing.solve(requests, nodes, edges)))
     return graph.unpack_shortcuts(path, edges, fx.edge_details(spark, sf)).select("request_id", "seq", "node_id")
 
 
 @query(
     "g7_a1_a3_j3_o1_w4_find_routes",
-    fx.with_tables("size", "nodes", "points", "snapped", "road")
-    + """, p AS (SELECT count(*) AS parts FROM part),
-requests AS (
-  SELECT CAST(o_orderkey AS BIGINT) AS request_id, s.node_id AS start_node, t.node_id AS dest_node
-  FROM (SELECT o_orderkey, o_orderkey % parts AS s_id, (o_orderkey * 7 + 3) % parts AS t_id FROM orders, p WHERE o_orderkey < 200)
-  JOIN snapped s ON s.point_id = s_id JOIN snapped t ON t.point_id = t_id),
-"""
-    + fx.SQL["lengths"]
+    fx.with_tables("size", "nodes", "beside", "snapped", "road", "requests", "snapped_requests")
+    + ", "
+    + fx.SQL["lengths"].replace("FROM requests JOIN", "FROM found JOIN")
     + """, timed AS (SELECT *, dist * 9 // 325 AS s, euclid AS m FROM lengths)
 SELECT request_id, dist, euclid, CAST(s AS INTEGER) AS travel_time_s, abs(dest_node - start_node) + 1 AS points, f.lat_e7 AS first_lat, l.lat_e7 AS last_lat,
   'Distance: ' || (m + 50) // 100 // 10 || '.' || (m + 50) // 100 % 10 || ' km Time: ' ||
@@ -317,7 +324,7 @@ SELECT request_id, dist, euclid, CAST(s AS INTEGER) AS travel_time_s, abs(dest_n
 FROM timed JOIN nodes f ON f.node_id = start_node JOIN nodes l ON l.node_id = dest_node""",
 )
 def find_routes(spark: SparkSession, sf: str) -> DataFrame:
-    done = routing.find_routes(fx.position_requests(spark, sf), fx.nodes(spark, sf), fx.edges(spark, sf), fx.edge_details(spark, sf), fx.GRID)
+    done = routing.find_routes(cut(fx.position_requests(spark, sf)), *_graph(spark, sf), cut(fx.edge_details(spark, sf)), fx.GRID)
     return done.select(
         "request_id", "dist", "euclid", "travel_time_s", F.size("way").cast("bigint").alias("points"), F.element_at("way", 1)["lat_e7"].alias("first_lat"), F.element_at("way", -1)["lat_e7"].alias("last_lat"), "summary"
     )
@@ -342,12 +349,35 @@ def validate_broken(spark: SparkSession, sf: str) -> DataFrame:
     fx.with_tables("size", "road", "hierarchy", "edges") + "SELECT * FROM edges",
 )
 def graph_tables(spark: SparkSession, sf: str) -> DataFrame:
-    cut(spark.range(0))
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/graph-{uuid4().hex}"
+    folder = f"{shared_folder(spark)}/graph-{uuid4().hex}"
     write_graph_tables({"nodes": fx.nodes(spark, sf), "edges": fx.edges(spark, sf), "edge_details": fx.edge_details(spark, sf)}, folder)
     return load_graph_tables(spark, folder)["edges"]
 
 
+@query(
+    "s1_h1_graph_file",
+    fx.with_tables("size", "road", "hierarchy", "edges", "numbered") + "SELECT edge_id, owner, direction, src, dst, dist FROM numbered",
+)
+def graph_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/{uuid4().hex}.graph"
+    fx.write_graph_file(spark, sf, path)
+    return read_graph_file(spark, path)[2]
+
+
+@query(
+    "g8_validate_ranges",
+    """WITH r AS (SELECT CAST(o_orderkey AS BIGINT) AS owner, o_orderkey * 2 AS a, o_orderkey * 2 + o_orderkey % 3 - 1 AS b, o_orderkey * 2 + 2 + (o_orderkey % 5 = 4)::INT AS e FROM orders)
+SELECT 'range_backward' AS rule, owner AS id FROM r WHERE a > b OR b > e
+UNION ALL SELECT 'range_overlap', r.owner FROM r JOIN r s ON s.owner = r.owner + 1 WHERE s.a < r.e
+UNION ALL SELECT 'last_offset', CAST(max(e) AS BIGINT) FROM r HAVING max(e) <> 7""",
+)
+def validate_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("bigint")
+    end = key * 2 + 2 + (key % 5 == 4).cast("bigint")
+    ranges = table(spark, sf, "orders").select(key.alias("owner"), (key * 2).alias("out_start"), (key * 2 + key % 3 - 1).alias("in_start"), end.alias("end"))
+    return validate.validate_ranges(ranges, fx.BLOCK, 7)
+
+
 _MATCHES = (
     fx.with_tables("items", "queries")
     + """, words AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(q), ' +'), lambda w: length(w) >= 3)) AS ws FROM queries WHERE length(q) > 3),
@@ -424,13 +454,46 @@ def latest_request(spark: SparkSession, sf: str) -> DataFrame:
     return tracking.latest_request(live).select("session_id", "event_id", "ts_ms")
 
 
-@query("h2_polyline_levels")
+def _level_tables() -> str:
+    """The rule level by level: each fold carries the last point kept, over the points that the finer levels left."""
+    out = ["""ends AS (SELECT *, (lon + 180) / 360 * 256 AS x, (0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 AS y,
+    row_number() OVER (PARTITION BY device_id ORDER BY ts_ms, event_id) - 1 AS seq FROM fixes),
+left0 AS (SELECT device_id AS route_id, seq, x, y FROM ends)"""]
+    for k, before in enumerate((polyline.NEVER, *polyline.LEVELS[:-1])):
+        far = lambda x, y: f"sqrt((i.x - {x}) * (i.x - {x}) + (i.y - {y}) * (i.y - {y})) * {2.0 ** (before - 1)!r} >= 16"  # noqa: B023, E731
+        keep = f"(i.rn = i.n OR {far('f.lx', 'f.ly')} OR {far('i.nx', 'i.ny')})"
+        out.append(
+            f"""play{k} AS (
+  SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, row_number() OVER w AS rn, count(*) OVER (PARTITION BY route_id) AS n
+  FROM left{k} WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+fold{k} AS (
+  SELECT route_id, rn, seq, x, y, x AS lx, y AS ly, TRUE AS keep FROM play{k} WHERE rn = 1
+  UNION ALL
+  SELECT i.route_id, i.rn, i.seq, i.x, i.y, CASE WHEN {keep} THEN i.x ELSE f.lx END, CASE WHEN {keep} THEN i.y ELSE f.ly END, {keep}
+  FROM fold{k} f JOIN play{k} i ON i.route_id = f.route_id AND i.rn = f.rn + 1),
+left{k + 1} AS (SELECT route_id, seq, x, y FROM fold{k} WHERE keep)"""
+        )
+    kept = " UNION ALL ".join(f"SELECT route_id, seq, {z} AS z FROM left{k + 1}" for k, z in enumerate(polyline.LEVELS))
+    out.append(
+        f"""lasts AS (SELECT route_id, max(seq) AS final FROM left0 GROUP BY 1),
+zooms AS (SELECT route_id, seq, min(z) AS z FROM ({kept}) GROUP BY 1, 2),
+levels_of AS (
+  SELECT p.route_id, CAST(p.seq AS INTEGER) AS seq, CAST(CASE WHEN p.seq IN (0, final) THEN 0 ELSE coalesce(z, {polyline.NEVER}) END AS INTEGER) AS min_zoom
+  FROM left0 p JOIN lasts USING (route_id) LEFT JOIN zooms USING (route_id, seq))"""
+    )
+    return ",\n".join(out)
+
+
+_LEVELS = fx.with_tables("fixes", recursive=True) + ", " + _level_tables()
+
+
+@query("h2_polyline_levels", _LEVELS + " SELECT * FROM levels_of")
 def polyline_levels(spark: SparkSession, sf: str) -> DataFrame:
     levels = polyline.polyline_levels(fx.route_points(spark, sf))
     return levels.select("route_id", "seq", "min_zoom")
 
 
-@query("p11_simplify_routes")
+@query("p11_simplify_routes", _LEVELS + " SELECT * FROM levels_of WHERE min_zoom <= 8")
 def simplify(spark: SparkSession, sf: str) -> DataFrame:
     return polyline.simplify_routes(polyline.polyline_levels(fx.route_points(spark, sf)), 8).select("route_id", "seq", "min_zoom")
 
@@ -494,18 +557,27 @@ def routes_in_viewport(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("viewport_id", "zoom", "route_id", "first", "last", "hit")
 
 
-@query(
-    "w6_route_runs",
+_RUNS = (
     _HITS
     + """, m AS (SELECT *, max(last) OVER (PARTITION BY viewport_id, route_id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits),
-f AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR first > reach THEN 1 ELSE 0 END) OVER (PARTITION BY viewport_id, route_id ORDER BY first, last) AS BIGINT) AS run FROM m)
-SELECT viewport_id, zoom, route_id, run, min(first) AS first, max(last) AS last FROM f GROUP BY viewport_id, zoom, route_id, run""",
+f AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR first > reach THEN 1 ELSE 0 END) OVER (PARTITION BY viewport_id, route_id ORDER BY first, last) AS BIGINT) AS run FROM m),
+runs AS (SELECT viewport_id, zoom, route_id, run, min(first) AS first, max(last) AS last FROM f GROUP BY viewport_id, zoom, route_id, run)"""
 )
+
+
+@query("w6_route_runs", _RUNS + " SELECT * FROM runs")
 def route_runs(spark: SparkSession, sf: str) -> DataFrame:
     return polyline.route_runs(polyline.routes_in_viewport(polyline.bounding_boxes(_pixels(spark, sf)), fx.viewports(spark, sf)))
 
 
-@query("w6_drawn_points")
+@query(
+    "w6_drawn_points",
+    _RUNS
+    + ", "
+    + _level_tables()
+    + """ SELECT viewport_id, r.route_id, run, CAST(seq AS BIGINT) AS seq FROM runs r JOIN levels_of l ON l.route_id = r.route_id AND seq BETWEEN first AND last
+WHERE min_zoom <= zoom OR seq IN (first, last)""",
+)
 def drawn_points(spark: SparkSession, sf: str) -> DataFrame:
     levels = cut(polyline.polyline_levels(fx.route_points(spark, sf)))
     runs = polyline.route_runs(polyline.routes_in_viewport(polyline.bounding_boxes(levels), fx.viewports(spark, sf)))

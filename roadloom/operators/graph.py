@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from heapq import heappop, heappush
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,35 +31,37 @@ def core_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("direction = 'out'").join(core, "owner", "left_semi")
 
 
-def _cone(roots: DataFrame, edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
-    peer = "dst" if direction == "out" else "src"
+def cones(starts: DataFrame, dests: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(direction, root, edge_id, src, dst, dist)``: the up-cones of ``starts(root)`` and the down-cones of ``dests(root)``.
+
+    Both grow in the same rounds. Nodes of the core aren't expanded, edges into the core are
+    there, and a root in the core gives nothing. An edge is there once for a root. A round is a
+    join on the owner; the rounds are as many as the hierarchy has levels.
+    """
     low = nodes.where("NOT is_core").select("node_id")
-    own = edges.where(F.col("direction") == direction).join(low, F.col("owner") == F.col("node_id"), "left_semi")
-    own = own.select("owner", "edge_id", "src", "dst", "dist")
-    frontier = roots.select(F.col("root").cast("bigint").alias("root")).where("root IS NOT NULL").distinct()
-    frontier = cut(frontier.join(low, F.col("root") == F.col("node_id"), "left_semi").withColumn("node", F.col("root")))
-    seen = frontier
+    peer = F.when(F.col("direction") == "out", F.col("dst")).otherwise(F.col("src")).alias("peer")
+    own = edges.join(low, F.col("owner") == F.col("node_id"), "left_semi")
+    own = cut(own.select("direction", F.col("owner").alias("node"), peer, "edge_id", "src", "dst", "dist"))
+    inner = low.withColumnRenamed("node_id", "node")
+    both = [r.select(F.lit(d).alias("direction"), F.col("root").cast("bigint").alias("root")) for d, r in (("out", starts), ("in", dests))]
+    frontier = both[0].unionByName(both[1]).where("root IS NOT NULL").distinct().withColumn("node", F.col("root"))
+    frontier = seen = cut(frontier.join(inner, "node", "left_semi").select("direction", "root", "node"))
     while not frontier.isEmpty():
-        reached = frontier.join(own, F.col("node") == F.col("owner")).select("root", F.col(peer).alias("node")).distinct()
-        fresh = reached.join(seen, ["root", "node"], "left_anti")
-        frontier = cut(fresh.join(low, F.col("node") == F.col("node_id"), "left_semi"))
+        reached = frontier.join(own, ["direction", "node"]).select("direction", "root", F.col("peer").alias("node")).distinct()
+        fresh = reached.join(inner, "node", "left_semi").select("direction", "root", "node")
+        frontier = cut(fresh.join(seen, ["direction", "root", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
-    return seen.join(own, F.col("node") == F.col("owner")).select("root", "edge_id", "src", "dst", "dist")
+    return seen.join(own, ["direction", "node"]).select("direction", "root", "edge_id", "src", "dst", "dist")
 
 
 def up_cone(roots: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(root, edge_id, src, dst, dist)``: for each distinct root all edges over out lists.
-
-    Nodes of the core aren't expanded, edges into the core are there, and a
-    root in the core gives nothing. An edge is there once for a root. A round is a
-    join on the owner; the rounds are as many as the hierarchy has levels.
-    """
-    return _cone(roots, edges, nodes, "out")
+    """``(root, edge_id, src, dst, dist)``: for each distinct root all edges over out lists."""
+    return cones(roots, roots.where("FALSE"), edges, nodes).drop("direction")
 
 
 def down_cone(roots: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The same over in lists: edges that lead to each root."""
-    return _cone(roots, edges, nodes, "in")
+    return cones(roots.where("FALSE"), roots, edges, nodes).drop("direction")
 
 
 def search_graph(requests: DataFrame, up: DataFrame, down: DataFrame) -> DataFrame:
@@ -70,62 +76,87 @@ def search_graph(requests: DataFrame, up: DataFrame, down: DataFrame) -> DataFra
     return parts[0].unionByName(parts[1])
 
 
-def search_labels(start: int, dest: int, own: list[tuple], core: dict[int, list[tuple]]) -> list[tuple]:
-    """Labels ``(node, dist, pred_edge, pred_node)`` of one request, settled in order of distance up to the destination.
+@dataclass(frozen=True)
+class Core:
+    """The core's edges, as columns; a dictionary by source is made where it is used, once in each process."""
+
+    src: np.ndarray
+    dst: np.ndarray
+    dist: np.ndarray
+    edge_id: np.ndarray
 
-    ``own`` holds ``(src, dst, dist, edge_id)``; ``core`` the same by source.
+    @cached_property
+    def by_source(self) -> dict[int, list[tuple[int, int, int]]]:
+        return by_source(zip(*(x.tolist() for x in (self.src, self.dst, self.dist, self.edge_id)), strict=True))
+
+
+def by_source(edges: Iterable[tuple[int, int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for src, *edge in edges:
+        out.setdefault(src, []).append(tuple(edge))
+    return out
+
+
+def search_path(start: int, dest: int, own: dict[int, list[tuple]], core: dict[int, list[tuple]]) -> list[tuple]:
+    """Labels ``(node, dist, pred_edge, pred_node)`` of the nodes on the shortest path, from the destination back; none without a path.
+
+    ``own`` and ``core`` hold ``(dst, dist, edge_id)`` by source. Of equal distances the smaller last edge counts.
     """
-    out: dict[int, list[tuple]] = {}
-    for src, *edge in sorted(own):
-        out.setdefault(src, []).append(edge)
-    best, heap, settled = {start: (0, None, None)}, [(0, start)], []
-    done: set[int] = set()
+    best: dict[int, tuple] = {start: (0, None, None)}
+    heap, done = [(0, start)], set()
     while heap:
         dist, node = heappop(heap)
         if node in done:
             continue
         done.add(node)
-        settled.append((node, *best[node]))
         if node == dest:
             break
-        for edges in (out.get(node, ()), core.get(node, ())):
+        for edges in (own.get(node, ()), core.get(node, ())):
             for far, w, edge in edges:
-                if far not in best or dist + w < best[far][0]:
-                    best[far] = (dist + w, edge, node)
-                    heappush(heap, (dist + w, far))
-    return settled
+                old, there = best.get(far), dist + w
+                if old is None or there < old[0]:
+                    best[far] = (there, edge, node)
+                    heappush(heap, (there, far))
+                elif there == old[0] and w > 0 and edge < old[1]:
+                    best[far] = (there, edge, node)
+    path, at = [], dest if dest in done else None
+    while at is not None:
+        path.append((at, *best[at]))
+        at = best[at][2]
+    return path
 
 
 def shortest_paths(requests: DataFrame, cones: DataFrame, core: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
-    """``(request_id, node, dist, pred_edge, pred_node)``: labels of the nodes on the way from each start.
+    """``(request_id, node, dist, pred_edge, pred_node)``: labels of the nodes on the way of each request.
 
-    A request's cones are small, so each request is searched by itself where its
-    cone edges meet, over them and the core, which every task holds if it has up to
-    ``core_limit`` edges. A larger core is not sent: ``shortest_paths_by_rounds`` then gives the same distances.
+    Of equal distances the smaller last edge counts, so a path is the same whatever the order of rows
+    (edges of weight 0 aside, among which only distances are sure). A request's cones are small, so each
+    request is searched by itself, over them and the core, which every task holds if it
+    has up to ``core_limit`` edges. A larger core is not sent: ``shortest_paths_by_rounds`` gives the same paths.
     """
-    small = core.select("src", "dst", "dist", "edge_id").limit(core_limit + 1).collect()
-    if len(small) > core_limit:
+    edge = ["src", "dst", "dist", "edge_id"]
+    if core.limit(core_limit + 1).count() > core_limit:
         return shortest_paths_by_rounds(requests, cones, core)
-    by_source: dict[int, list[tuple]] = {}
-    for src, *edge in sorted(map(tuple, small)):
-        by_source.setdefault(src, []).append(tuple(edge))
-    shared = requests.sparkSession.sparkContext.broadcast(by_source)
+    held = core.select(*(F.col(c).cast("bigint").alias(c) for c in edge)).toArrow()
+    shared = requests.sparkSession.sparkContext.broadcast(Core(*(held.column(c).to_numpy() for c in edge)))
+    names, schema = ["request_id", "node", "dist", "pred_edge", "pred_node"], "request_id bigint, node bigint, dist bigint, pred_edge bigint, pred_node bigint"
 
-    def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        edges = list(zip(*(own[c].tolist() for c in ("src", "dst", "dist", "edge_id")), strict=True))
-        for number, start, dest in zip(asked["own_id"].tolist(), asked["start_node"].tolist(), asked["dest_node"].tolist(), strict=True):
-            rows += [(number, *label) for label in search_labels(start, dest, edges, shared.value)]
-        return pd.DataFrame(rows, columns=["request_id", "node", "dist", "pred_edge", "pred_node"]).astype({"pred_edge": "Int64", "pred_node": "Int64"})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around = shared.value.by_source
+        for batch in batches:
+            rows = []
+            for number, start, dest, *own in zip(*(batch.column(c).to_pylist() for c in ("request_id", "start_node", "dest_node", *edge)), strict=True):
+                near = by_source(zip(*own, strict=True)) if own[0] else {}
+                rows += [(number, *label) for label in search_path(start, dest, near, around)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names)
 
-    # of another name, as the cones come from the same requests
-    asked = requests.select(F.col("request_id").alias("own_id"), "start_node", "dest_node").groupBy("own_id")
-    schema = "request_id bigint, node bigint, dist bigint, pred_edge bigint, pred_node bigint"
-    return asked.cogroup(cones.select("request_id", "src", "dst", "dist", "edge_id").groupBy("request_id")).applyInPandas(run, schema)
+    own = cones.groupBy(F.col("request_id").alias("own_id")).agg(F.collect_list(F.struct(*edge)).alias("own"))
+    asked = requests.select("request_id", "start_node", "dest_node").join(own, F.col("request_id") == F.col("own_id"), "left")
+    return asked.select("request_id", "start_node", "dest_node", *(F.col(f"own.{c}").alias(c) for c in edge)).mapInArrow(run, schema)
 
 
 def shortest_paths_by_rounds(requests: DataFrame, cones: DataFrame | None, core: DataFrame) -> DataFrame:
-    """The same labels by joins, for graphs whose core is too large to send, or that are all core.
+    """The same paths by joins, for graphs whose core is too large to send, among more labels.
 
     Rounds of relaxation over each request's cone edges and the core. Of equal
     distances the smaller last edge stays, so results don't depend on order. Labels not
@@ -138,22 +169,25 @@ def shortest_paths_by_rounds(requests: DataFrame, cones: DataFrame | None, core:
     dest = requests.select("request_id", F.col("dest_node").alias("node"))
     core = core.select("src", "dst", F.col("dist").alias("w"), "edge_id")
     own = None if cones is None else cones.select("request_id", "src", "dst", F.col("dist").alias("w"), "edge_id")
-    best = frontier = cut(start)
+    best = cut(start)
+    frontier = best.withColumn("nearer", F.lit(True))
     while True:
         goal = best.join(dest, ["request_id", "node"], "left_semi").select("request_id", F.col("dist").alias("goal"))
-        live = frontier.join(goal, "request_id", "left").where("goal IS NULL OR dist < goal").drop("goal")
+        live = frontier.where("nearer").join(goal, "request_id", "left").where("goal IS NULL OR dist < goal").drop("goal")
         live = live.select("request_id", F.col("node").alias("src"), "dist")
         found = live.join(core, "src")
         if own is not None:
             found = found.unionByName(live.join(own, ["request_id", "src"]).select(found.columns))
-        step = F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("edge_id").alias("pred_edge"), F.col("src").alias("pred_node"))
+        step = F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("edge_id").alias("pred_edge"), F.col("src").alias("pred_node"), "w")
         new = found.groupBy("request_id", F.col("dst").alias("node")).agg(F.min(step).alias("s"))
-        new = new.select("request_id", "node", "s.dist", "s.pred_edge", "s.pred_node")
-        old = best.select("request_id", "node", F.col("dist").alias("old"))
-        frontier = cut(new.join(old, ["request_id", "node"], "left").where("old IS NULL OR dist < old").select(label))
+        new = new.select("request_id", "node", "s.dist", "s.pred_edge", "s.pred_node", "s.w")
+        old = best.select("request_id", "node", F.col("dist").alias("old"), F.col("pred_edge").alias("old_edge"))
+        nearer = F.expr("old IS NULL OR dist < old")
+        changed = new.join(old, ["request_id", "node"], "left").where(nearer | F.expr("dist = old AND w > 0 AND pred_edge < old_edge"))
+        frontier = cut(changed.select(*label, nearer.alias("nearer")))
         if frontier.isEmpty():
             return best
-        best = cut(best.join(frontier, ["request_id", "node"], "left_anti").unionByName(frontier))
+        best = cut(best.join(frontier, ["request_id", "node"], "left_anti").unionByName(frontier.select(label)))
 
 
 def path_length(requests: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,47 +16,96 @@ from pyspark.sql import types as T
 from roadloom.functions.geo import TILE, mercator_px
 
 LEVELS, NEVER, NEAR_PX, LEAF_SPAN = (20, 16, 14, 12, 8, 4, 0), 32, 16.0, 4
+_SCALES = [2.0 ** (before - 1) for before in (NEVER, *LEVELS)]
+#: Zoom levels of the tiles in which boxes and views meet.
+TILE_LEVELS = tuple(range(0, 17, 2))
 
 
-def zoom_levels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The smallest zoom at which each point of a polyline shows, from pixels at zoom 0.
+class LevelStream:
+    """Zoom levels of one polyline's points as they come in order; holds one point a level.
 
     Both ends show always. Level by level, from fine to coarse, the points that are
     left keep going if the last one kept or the next one left is 16 pixels away or
-    more at the finer level.
+    more at the finer level. A point's level is known once it drops out, so points leave in another order.
     """
-    n = len(x)
-    level = np.full(n, NEVER, dtype=np.int32)
-    if n == 0:
-        return level
-    level[0] = level[-1] = 0
-    xs, ys, left, before = x.tolist(), y.tolist(), list(range(n)), NEVER
-    for own in LEVELS:
-        # the points still in play, ends included
-        scale, last, stays = 2.0 ** (before - 1), left[0], [left[0]]
-        for cur, nxt in zip(left[1:-1], left[2:], strict=True):
-            a = sqrt((xs[cur] - xs[last]) ** 2 + (ys[cur] - ys[last]) ** 2) * scale
-            if a >= NEAR_PX or sqrt((xs[cur] - xs[nxt]) ** 2 + (ys[cur] - ys[nxt]) ** 2) * scale >= NEAR_PX:
-                level[cur], last = own, cur
-                stays.append(cur)
-        left, before = [*stays, left[-1]] if n > 1 else stays, own
+
+    def __init__(self) -> None:
+        self.last: list[tuple | None] = [None] * len(LEVELS)
+        self.waiting: list[tuple | None] = [None] * len(LEVELS)
+        self.done: list[tuple] = []
+
+    def add(self, point: tuple) -> None:
+        """Takes ``(x, y, ...)``; ``done`` gets ``(point, level)``."""
+        if self.last[0] is None:
+            self.last = [point] * len(LEVELS)
+            self.done.append((point, 0))
+        else:
+            self._arrive(0, point, NEVER)
+
+    def end(self) -> list[tuple]:
+        """The points that haven't been taken from ``done``, the polyline's last one with them."""
+        final = self.waiting[0]
+        if final is not None:
+            for k in range(1, len(LEVELS)):
+                self._arrive(k, *final)
+            self.done.append((final[0], 0))
+        return self.done
+
+    def _arrive(self, k: int, point: tuple, level: int) -> None:
+        if self.waiting[k] is not None:
+            held, before = self.waiting[k]
+            last, scale = self.last[k], _SCALES[k]
+            near = sqrt((held[0] - last[0]) ** 2 + (held[1] - last[1]) ** 2) * scale < NEAR_PX
+            if near and sqrt((held[0] - point[0]) ** 2 + (held[1] - point[1]) ** 2) * scale < NEAR_PX:
+                self.done.append((held, before))
+            else:
+                self.last[k] = held
+                if k + 1 < len(LEVELS):
+                    self._arrive(k + 1, held, LEVELS[k])
+                else:
+                    self.done.append((held, LEVELS[k]))
+        self.waiting[k] = (point, level)
+
+
+def zoom_levels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest zoom at which each point of a polyline shows, from pixels at zoom 0."""
+    stream, level = LevelStream(), np.full(len(x), NEVER, dtype=np.int32)
+    for point in zip(x.tolist(), y.tolist(), range(len(x)), strict=True):
+        stream.add(point)
+    for point, own in stream.end():
+        level[point[2]] = own
     return level
 
 
 def polyline_levels(points: DataFrame) -> DataFrame:
     """``(route_id, seq, x, y, min_zoom)`` of ``points(route_id, seq, lat, lon)``.
 
-    Routes are spread over tasks; within one, each decision needs the one before.
+    Routes are spread over tasks, and stream through them in order: no route is held as a whole.
     """
     x, y = mercator_px(F.col("lon"), F.col("lat"))
     px = points.select("route_id", "seq", x.alias("x"), y.alias("y"))
+    schema = T.StructType([*px.schema.fields, T.StructField("min_zoom", T.IntegerType())])
 
-    def run(route: pd.DataFrame) -> pd.DataFrame:
-        route = route.sort_values("seq")
-        return route.assign(min_zoom=zoom_levels(route["x"].to_numpy(), route["y"].to_numpy()))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, stream, types = None, LevelStream(), None
 
-    schema = T.StructType([*px.schema.fields, T.StructField("min_zoom", T.IntegerType())])
-    return px.groupBy("route_id").applyInPandas(run, schema)
+        def made(done: list[tuple]) -> pa.RecordBatch:
+            rows = [(p[2], p[3], p[0], p[1], level) for p, level in done]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["route_id", "seq", "x", "y", "min_zoom"])
+
+        for b in batches:
+            types = [*b.schema.types, pa.int32()]
+            for route, seq, px_x, px_y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if route != own:
+                    left, own, stream = stream.end(), route, LevelStream()
+                    stream.done = left
+                stream.add((px_x, px_y, route, seq))
+            yield made(stream.done)
+        if types is not None:
+            yield made(stream.end())
+
+    return px.repartition("route_id").sortWithinPartitions("route_id", "seq").mapInArrow(run, schema)
 
 
 def simplify_routes(levels: DataFrame, zoom: Column | int) -> DataFrame:
@@ -119,24 +169,38 @@ def view_boxes(viewports: DataFrame) -> DataFrame:
     return viewports.select("viewport_id", "zoom", x0.alias("v_left"), x1.alias("v_right"), y0.alias("v_bottom"), y1.alias("v_top"))
 
 
-def _tiles(left: str, right: str, bottom: str, top: str, zoom: int) -> Column:
-    scale = float(1 << zoom) / TILE
+def _tile_level(left: str, right: str, bottom: str, top: str) -> Column:
+    """The finest level at which the box isn't larger than a tile, so that it touches four at most."""
+    span = F.greatest(F.col(right) - F.col(left), F.col(top) - F.col(bottom))
+    step = TILE_LEVELS[1] - TILE_LEVELS[0]
+    fit = F.floor(F.log2(TILE / span) / step) * step
+    return F.when(span <= 0, TILE_LEVELS[-1]).otherwise(F.greatest(F.lit(0), F.least(fit, F.lit(TILE_LEVELS[-1])))).cast("int")
+
+
+def _tiles(left: str, right: str, bottom: str, top: str, level: str) -> Column:
+    scale = F.pow(F.lit(2.0), F.col(level)) / TILE
     axis = lambda a, b: F.sequence(F.floor(F.col(a) * scale), F.floor(F.col(b) * scale))
     return F.explode(F.flatten(F.transform(axis(left, right), lambda i: F.transform(axis(bottom, top), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
 
 
-def routes_in_viewport(boxes: DataFrame, viewports: DataFrame, tile_zoom: int = 10) -> DataFrame:
+def routes_in_viewport(boxes: DataFrame, viewports: DataFrame) -> DataFrame:
     """``(viewport_id, zoom, route_id, leaf_id, first, last, hit)``: stretches whose box meets the view; touching counts.
 
-    Boxes meet views in the tiles that both cover. ``hit`` is INCLUSIVE where the box lies in the view, else PARTIAL.
+    Boxes and views meet in tiles, at the coarser of the two levels at which either is no larger than a
+    tile: so both lie in a few tiles there, however large a view is. ``hit`` is INCLUSIVE where the box lies in the view, else PARTIAL.
     """
-    views = view_boxes(viewports)
-    vt = views.select("*", _tiles("v_left", "v_right", "v_bottom", "v_top", tile_zoom).alias("tile"))
-    bt = boxes.select("*", _tiles("left", "right", "bottom", "top", tile_zoom).alias("tile"))
+    v, b = ("v_left", "v_right", "v_bottom", "v_top"), ("left", "right", "bottom", "top")
+    views = view_boxes(viewports).withColumn("v_own", _tile_level(*v))
+    # at most as many values as there are levels
+    levels = sorted(r.v_own for r in views.select("v_own").distinct().collect() if r.v_own is not None)
+    up_to = lambda own, levels: F.filter(F.array_union(F.array(*(F.lit(x) for x in levels)).cast("array<int>"), F.array(own)), lambda x: x <= F.col(own))
+    vt = views.withColumn("level", F.explode(up_to("v_own", TILE_LEVELS))).select("*", _tiles(*v, "level").alias("tile"))
+    bt = boxes.withColumn("own", _tile_level(*b))
+    bt = bt.withColumn("level", F.explode(up_to("own", levels))).select("*", _tiles(*b, "level").alias("tile"))
     meets = "NOT (right < v_left OR left > v_right OR top < v_bottom OR bottom > v_top)"
     inside = "right <= v_right AND left >= v_left AND top <= v_top AND bottom >= v_bottom"
     hit = F.when(F.expr(inside), "INCLUSIVE").otherwise("PARTIAL").alias("hit")
-    rows = vt.join(bt, "tile").where(meets)
+    rows = vt.join(bt, ["level", "tile"]).where("level = least(own, v_own)").where(meets)
     return rows.select("viewport_id", "zoom", "route_id", "leaf_id", "first", "last", hit).distinct()
 
 

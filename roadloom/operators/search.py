@@ -41,22 +41,23 @@ def _grams(text):
 
 def trigram_index(items: DataFrame) -> DataFrame:
     """``(gram, item_id)``: the different trigrams of each item's strings, in lower case."""
-    text = items.select("item_id", F.explode("strs").alias("s")).select("item_id", F.lower("s").alias("s"))
-    return text.where(F.length("s") >= 3).select("item_id", F.explode(_grams(F.col("s"))).alias("gram")).distinct()
+    grams = F.array_distinct(F.flatten(F.transform("strs", lambda s: _grams(F.lower(s)))))
+    return items.select("item_id", F.explode(grams).alias("gram")).where(F.length("gram") == 3)
 
 
 def match_items(queries: DataFrame, items: DataFrame) -> DataFrame:
     """``(query_id, item_id)``: items that hold all the query's words, each as a part of one of its strings, in any case.
 
-    Each word looks its rarest trigram up in the index and what comes back is
-    verified; an item matches that verified for as many words as the query has.
+    Of the index only the trigrams of the words asked for are made and counted. Each word looks its rarest
+    trigram up and what comes back is verified; an item matches that verified for as many words as the query has.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(query_words(F.lower("q")))).alias("word"))
     counts = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    index = cut(trigram_index(items))
-    frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
     grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(_grams(F.col("word")))).alias("gram"))
-    rarest = grams.join(frequency, "gram").groupBy("word").agg(F.min(F.struct("df", "gram")).alias("r"))
+    grams = cut(grams)
+    index = cut(trigram_index(items).join(grams.select("gram").distinct(), "gram", "left_semi"))
+    frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = grams.join(frequency, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r"))
     found = rarest.select("word", F.col("r.gram").alias("gram")).join(index, "gram").select("word", "item_id")
     texts = items.select("item_id", F.transform("strs", lambda s: F.lower(s)).alias("low"))
     found = found.join(texts, "item_id").where(F.exists("low", lambda s: F.contains(s, F.col("word")))).select("word", "item_id")

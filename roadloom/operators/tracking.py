@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,25 +47,18 @@ def sound_fixes(fixes: DataFrame) -> DataFrame:
 def filter_gps(fixes: DataFrame, improve_only: bool = False) -> DataFrame:
     """The fixes that the keep rule keeps, for each device in order of ``(ts_ms, event_id)``.
 
-    A fix 10 s or more after the one before it is always kept and starts anew, so
-    long tracks are cut there and the pieces are folded in parallel, in order, with
-    the memory of one fix.
+    One shuffle by device; within a task, devices follow on each other in order and are folded as they
+    stream by, with the memory of one batch and the last kept fix, however long a track is.
     """
-    order = Window.partitionBy("device_id").orderBy("ts_ms", "event_id")
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(order)
-    cut_here = F.when(gap >= QUIET_MS, 1).otherwise(0)
-    rows = sound_fixes(fixes).withColumn("_cut", cut_here)
-    rows = rows.withColumn("_piece", F.sum("_cut").over(order)).drop("_cut")
-    dealt = rows.repartition("device_id", "_piece").sortWithinPartitions("device_id", "_piece", "ts_ms", "event_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    dealt = sound_fixes(fixes).repartition("device_id").sortWithinPartitions("device_id", "ts_ms", "event_id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for b in batches:
-            keys = zip(b["device_id"].tolist(), b["_piece"].tolist(), strict=True)
-            keep = fold(zip(keys, b["ts_ms"].tolist(), b["accuracy"].tolist(), strict=True), improve_only, state)
-            yield b[pd.Series(keep, index=b.index, dtype=bool)]
+            rows = zip(*(b.column(c).to_pylist() for c in ("device_id", "ts_ms", "accuracy")), strict=True)
+            yield b.filter(pa.array(fold(rows, improve_only, state), pa.bool_()))
 
-    return dealt.mapInPandas(run, dealt.schema).drop("_piece")
+    return dealt.mapInArrow(run, dealt.schema)
 
 
 def changes_only(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

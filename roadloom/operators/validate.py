@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import split_node_id
+from roadloom.functions.geo import BLOCK_BITS, split_node_id
 
 
 def validate_graph(nodes: DataFrame, edges: DataFrame, details: DataFrame, block_size: int | None = None, block_count: int | None = None) -> DataFrame:
     """``(rule, id)``: a row for each node or edge that breaks a rule; none for a sound graph.
 
-    Core nodes own no in list; edge ids are 0..count-1 where blocks are
+    Core nodes own no in list; edge ids are distinct, and 0..count-1 where blocks are
     given, as are block numbers and slots; both ends of an edge exist; every edge has details; a shortcut's
     halves exist and lead over its middle node, and their lengths add up.
     """
@@ -36,6 +36,9 @@ def validate_graph(nodes: DataFrame, edges: DataFrame, details: DataFrame, block
     broken("half_missing", chain.where("s1 IS NULL OR s2 IS NULL"), "edge_id")
     broken("halves_apart", chain.where("s1 <> s OR t1 <> shortcut_node OR s2 <> shortcut_node OR t2 <> t"), "edge_id")
     broken("halves_length", chain.where("w1 + w2 <> dist"), "edge_id")
+    if block_count is not None or block_size is not None:
+        numbers = edges.agg(F.count("*").alias("count"))
+        broken("edge_number", edges.join(numbers, (F.col("edge_id") < 0) | (F.col("edge_id") >= F.col("count"))), "edge_id")
     if block_count is not None:
         broken("block_number", nodes.where(split_node_id(F.col("node_id"))[0] >= block_count), "node_id")
     if block_size is not None:
@@ -44,3 +47,20 @@ def validate_graph(nodes: DataFrame, edges: DataFrame, details: DataFrame, block
     for more in rows[1:]:
         out = out.unionByName(more)
     return out
+
+
+def validate_ranges(ranges: DataFrame, block_size: int, edge_count: int) -> DataFrame:
+    """``(rule, id)`` for a graph file's index ``ranges(owner, out_start, in_start, end)``.
+
+    A node's out list starts no later than its in list, that no later than it ends, and the next
+    node's no earlier than that; the last range ends at ``edge_count`` (the id is where it does end).
+    """
+    block, slot = split_node_id(F.col("owner"))
+    follower = F.when(slot == block_size - 1, (block + 1) * (1 << BLOCK_BITS)).otherwise(F.col("owner") + 1)
+    nodes = ranges.select(F.col("owner").alias("follower"), F.col("out_start").alias("then"))
+    overlap = ranges.withColumn("follower", follower).join(nodes, "follower").where(F.col("then") < F.col("end"))
+    backward = ranges.where("out_start > in_start OR in_start > end")
+    last = ranges.agg(F.max("end").alias("last")).where(F.col("last") != edge_count)
+    named = [("range_backward", backward, "owner"), ("range_overlap", overlap, "owner"), ("last_offset", last, "last")]
+    rows = [df.select(F.lit(rule).alias("rule"), F.col(c).cast("bigint").alias("id")) for rule, df, c in named]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

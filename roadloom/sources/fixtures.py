@@ -5,16 +5,21 @@ Each table has a function here and the same rows in DuckDB SQL, in ``SQL``.
 
 from __future__ import annotations
 
-from math import floor, log2
+from math import floor, isqrt, log2
 
+import numpy as np
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import Grid, grid_cell
 from roadloom.session import table
+from roadloom.sources.graph_file import MAGIC, NODE_RANGE, PAGE, VERSION
 
 GRID = Grid(60_000_000, 470_000_000, 1_000_000, 1_000_000, 91, 81)
 EDGE_ID_STEP = 1 << 20
+#: Nodes of a block in the graph file.
+BLOCK = NODE_RANGE
 
 
 def node_count(spark: SparkSession, sf_dir: str) -> int:
@@ -116,15 +121,44 @@ def general_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _dest(start: Column, key: Column, n: int) -> Column:
+    """Mostly up to 61 nodes along the road, one way or the other; of every thousandth order anywhere."""
+    off = 1 + key % 61
+    ahead = ((key % 2 == 1) & (start + off < n)) | (start < off)
+    return F.when(key % 1000 == 0, (key * 7919 + 13) % n).when(ahead, start + off).otherwise(start - off)
+
+
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every order."""
     n, key = node_count(spark, sf_dir), F.col("o_orderkey").cast("bigint")
-    return table(spark, sf_dir, "orders").where(key < 200).select(
-        key.alias("request_id"),
-        F.col("o_custkey").cast("bigint").alias("start_node"),
-        ((key * 7919 + 13) % n).alias("dest_node"),
+    start = F.col("o_custkey").cast("bigint")
+    return table(spark, sf_dir, "orders").select(key.alias("request_id"), start.alias("start_node"), _dest(start, key, n).alias("dest_node"))
+
+
+def grid_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Width and height of the grid that the first customers fill."""
+    n = node_count(spark, sf_dir)
+    return isqrt(n), n // isqrt(n)
+
+
+def grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets of a grid, both ways and all of length 7, so that most paths have many of the same length; every node is core."""
+    (w, h), i = grid_size(spark, sf_dir), F.col("c_custkey").cast("bigint")
+    x, y = i % w, F.floor(i / w)
+    ways = [(x < w - 1, i + 1), (x > 0, i - 1), (y < h - 1, i + w), (y > 0, i - w)]
+    peers = F.array(*(F.struct(F.lit(d).cast("bigint").alias("d"), F.when(there, to).alias("dst")) for d, (there, to) in enumerate(ways)))
+    each = table(spark, sf_dir, "customer").where(i < w * h).select(i.alias("src"), F.explode(peers).alias("p")).where("p.dst IS NOT NULL")
+    return each.select(
+        (F.col("p.d") * EDGE_ID_STEP + F.col("src")).alias("edge_id"), F.col("src").alias("owner"), F.lit("out").alias("direction"), "src", "p.dst", F.lit(7).cast("bigint").alias("dist")
     )
 
 
+def grid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (w, h), key = grid_size(spark, sf_dir), F.col("o_orderkey").cast("bigint")
+    start, dest = F.col("o_custkey").cast("bigint") % (w * h), (key * 7919 + 13) % (w * h)
+    return table(spark, sf_dir, "orders").select(key.alias("request_id"), start.alias("start_node"), dest.alias("dest_node"))
+
+
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey").cast("bigint")
     return table(spark, sf_dir, "part").select(
@@ -135,15 +169,13 @@ def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(request_id, start, end)``: query points as the two ends of the route requests."""
-    parts, key = table(spark, sf_dir, "part").count(), F.col("o_orderkey").cast("bigint")
-    points = query_points(spark, sf_dir).select("point_id", F.struct("lat_e7", "lon_e7").alias("at"))
-    ids = table(spark, sf_dir, "orders").where(key < 200).select(
-        key.alias("request_id"), (key % parts).alias("s"), ((key * 7 + 3) % parts).alias("e")
-    )
-    starts = points.select(F.col("point_id").alias("s"), F.col("at").alias("start"))
-    ends = points.select(F.col("point_id").alias("e"), F.col("at").alias("end"))
-    return ids.join(starts, "s", "left").join(ends, "e", "left").select("request_id", "start", "end")
+    """``(request_id, start, end)``: positions beside the nodes of the route requests."""
+    shift = lambda c, by: (F.col(c) + F.col("node_id") % by * 100).cast("int").alias(c)
+    at = nodes(spark, sf_dir).select("node_id", F.struct(shift("lat_e7", 7), shift("lon_e7", 5)).alias("at"))
+    starts = at.select(F.col("node_id").alias("start_node"), F.col("at").alias("start"))
+    ends = at.select(F.col("node_id").alias("dest_node"), F.col("at").alias("end"))
+    asked = route_requests(spark, sf_dir)
+    return asked.join(starts, "start_node").join(ends, "dest_node").select("request_id", "start", "end")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,10 +274,60 @@ def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(route, run, ms)``: six runs of each route; of route 3 one is missing."""
+    """``(route, run, ms)``: a run for every order, six for most routes and seven for some."""
     key = F.col("o_orderkey").cast("bigint")
-    rows = table(spark, sf_dir, "orders").where((key < 60) & (key != 20))
-    return rows.select(F.floor(key / 6).alias("route"), (key % 6).alias("run"), (key * 31 % 500).alias("ms"))
+    return table(spark, sf_dir, "orders").select(F.floor(key * 10 / 61).alias("route"), key.alias("run"), (key * 31 % 500).alias("ms"))
+
+
+def numbered_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes and edges numbered as in a graph file: core nodes in blocks of their own, edges in order of owner and list.
+
+    The number of the first core block comes third.
+    """
+    n = node_count(spark, sf_dir)
+    level = top_level(n)
+    low = n - 1 - (n - 1) // (1 << level)
+    core_block = -(-low // BLOCK)
+
+    def number(c: str) -> Column:
+        node, step = F.col(c), 1 << level
+        before = F.floor(node / step)
+        return F.when(node % step == 0, core_block * BLOCK + before).otherwise(node - before - 1)
+
+    at = nodes(spark, sf_dir).select(number("node_id").alias("node_id"), "lon_e7", "lat_e7")
+    own = edges(spark, sf_dir).select("edge_id", *(number(c).alias(c) for c in ("owner", "src", "dst")), "direction", "dist")
+    order = Window.orderBy("owner", F.col("direction").desc(), "edge_id")
+    return at, own.withColumn("edge_id", (F.row_number().over(order) - 1).cast("bigint")), core_block
+
+
+def write_graph_file(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The numbered graph as one small file, put together on the driver: input for the reader's query and tests."""
+    at, own, core_block = numbered_graph(spark, sf_dir)
+    at, own = at.toPandas(), own.toPandas().sort_values("edge_id")
+    blocks = int(at["node_id"].max()) // BLOCK + 1
+    coords = np.zeros((blocks, 1 + BLOCK, 2), dtype=">i4")
+    block, slot = at["node_id"] // BLOCK, at["node_id"] % BLOCK
+    coords[:, 0, 0] = -1
+    coords[:, 0, 1] = np.bincount(block, minlength=blocks)
+    coords[block, slot + 1] = at[["lon_e7", "lat_e7"]]
+    # every node's out list ends where its in list starts, and that where the next node's out list does
+    lists = np.zeros(2 * blocks * BLOCK, dtype=np.int64)
+    np.add.at(lists, own["owner"] * 2 + (own["direction"] == "in"), 1)
+    ends = np.concatenate([[0], np.cumsum(lists)])
+    index = np.zeros((blocks, 2 + 2 * BLOCK), dtype=">i4")
+    for b in range(blocks):
+        index[b, 1:] = ends[2 * b * BLOCK : 2 * (b + 1) * BLOCK + 1]
+    peer = own["dst"].where(own["owner"] == own["src"], own["src"])
+    records = np.stack([peer, own["dist"]], axis=1).astype(">i4")
+    details = np.tile(np.array([0, -1, -1, -1], dtype=">i4"), (len(own), 1))
+    g = GRID
+    head = np.array([*MAGIC, VERSION, g.base_lon, g.base_lat, g.cell_width, g.cell_height, g.width, g.height, BLOCK, blocks, core_block, len(own)], dtype=">i4")
+    out = bytearray()
+    for section in (head, coords, index, records, details):
+        out += b"\0" * (-len(out) % PAGE) + section.tobytes()
+    files, to = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with files.open_output_stream(to) as f:
+        f.write(bytes(out))
 
 
 #: The same tables in DuckDB, as common table expressions; each needs those named before it.
@@ -275,9 +357,26 @@ hierarchy AS (
       SELECT (k * 1048576 + a) * 2 + d AS edge_id, k, top, a, b, CASE d WHEN 0 THEN a ELSE b END AS src,
         CASE d WHEN 0 THEN b ELSE a END AS dst, CASE d WHEN 0 THEN d0 ELSE d1 END AS dist FROM hierarchy)))""",
     "requests": """requests AS (
-  SELECT CAST(o_orderkey AS BIGINT) AS request_id, CAST(o_custkey AS BIGINT) AS start_node,
-    (CAST(o_orderkey AS BIGINT) * 7919 + 13) % n AS dest_node
-  FROM orders, size WHERE o_orderkey < 200)""",
+  SELECT request_id, start_node, CASE WHEN request_id % 1000 = 0 THEN (request_id * 7919 + 13) % n
+      WHEN (request_id % 2 = 1 AND start_node + off < n) OR start_node < off THEN start_node + off ELSE start_node - off END AS dest_node
+  FROM (SELECT CAST(o_orderkey AS BIGINT) AS request_id, CAST(o_custkey AS BIGINT) AS start_node, 1 + CAST(o_orderkey AS BIGINT) % 61 AS off FROM orders), size)""",
+    "beside": """points AS (
+  SELECT node_id AS point_id, CAST(lat_e7 + node_id % 7 * 100 AS INTEGER) AS lat_e7, CAST(lon_e7 + node_id % 5 * 100 AS INTEGER) AS lon_e7 FROM nodes)""",
+    "snapped_requests": """asked AS (SELECT * FROM requests),
+found AS (
+  SELECT request_id, s.node_id AS start_node, t.node_id AS dest_node FROM asked JOIN snapped s ON s.point_id = start_node JOIN snapped t ON t.point_id = dest_node)""",
+    "grid": """grid AS (SELECT w, n // w AS h FROM (SELECT n, CAST(floor(sqrt(n)) AS BIGINT) AS w FROM size)),
+rides AS (
+  SELECT request_id, s % w AS sx, s // w AS sy, t % w AS tx, t // w AS ty, w FROM (
+    SELECT CAST(o_orderkey AS BIGINT) AS request_id, CAST(o_custkey AS BIGINT) % (w * h) AS s, (CAST(o_orderkey AS BIGINT) * 7919 + 13) % (w * h) AS t, w FROM orders, grid))""",
+    "numbered": """low AS (SELECT *, 1 << top AS step, n - 1 - (n - 1) // (1 << top) AS below FROM size),
+numbered AS (
+  SELECT row_number() OVER (ORDER BY owner, direction DESC, edge_id) - 1 AS edge_id, owner, direction, src, dst, dist FROM (
+    SELECT edge_id, direction, dist,
+      CASE WHEN owner % step = 0 THEN (below + 1023) // 1024 * 1024 + owner // step ELSE owner - owner // step - 1 END AS owner,
+      CASE WHEN src % step = 0 THEN (below + 1023) // 1024 * 1024 + src // step ELSE src - src // step - 1 END AS src,
+      CASE WHEN dst % step = 0 THEN (below + 1023) // 1024 * 1024 + dst // step ELSE dst - dst // step - 1 END AS dst
+    FROM edges, low))""",
     "lengths": """prefix AS (
   SELECT i + 1 AS node, CAST(sum(d0) OVER w AS BIGINT) AS p0, CAST(sum(d1) OVER w AS BIGINT) AS p1, CAST(sum(euclid) OVER w AS BIGINT) AS pe
   FROM road WINDOW w AS (ORDER BY i) UNION ALL SELECT 0, 0, 0, 0),
@@ -329,8 +428,7 @@ kept AS (SELECT n.* EXCLUDE (rn) FROM numbered n JOIN folded f USING (event_id)
   FROM (SELECT fixes.*, event_id % n AS s_id, (event_id * 31 + 7) % n AS t_id FROM fixes, size) f
     JOIN events e ON e.event_id = f.event_id JOIN nodes s ON s.node_id = s_id JOIN nodes t ON t.node_id = t_id)""",
     "runs": """runs AS (
-  SELECT CAST(o_orderkey AS BIGINT) // 6 AS route, CAST(o_orderkey AS BIGINT) % 6 AS run, CAST(o_orderkey AS BIGINT) * 31 % 500 AS ms
-  FROM orders WHERE o_orderkey < 60 AND o_orderkey <> 20)""",
+  SELECT CAST(o_orderkey AS BIGINT) * 10 // 61 AS route, CAST(o_orderkey AS BIGINT) AS run, CAST(o_orderkey AS BIGINT) * 31 % 500 AS ms FROM orders)""",
 }
 
 

@@ -152,11 +152,14 @@ def read_graph_file(spark: SparkSession, path: str) -> tuple[GraphMeta, DataFram
     return meta, nodes, edges, details
 
 
-def write_graph_tables(tables: dict[str, DataFrame], folder: str, parts: int = 8) -> None:
-    """Writes nodes by cell, edges by owner and details by id, so that later joins read sorted files."""
+def write_graph_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Writes nodes by cell, edges by owner and details by id, so that later joins read sorted files.
+
+    How many files there are follows from the session's shuffle settings and the tables' size.
+    """
     keys = {"nodes": "cell_id", "edges": "owner", "edge_details": "edge_id"}
     for name, df in tables.items():
-        df.repartition(parts, keys[name]).sortWithinPartitions(keys[name]).write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.repartition(keys[name]).sortWithinPartitions(keys[name]).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def load_graph_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -18,12 +18,21 @@ FIX = "event_id bigint, device_id bigint, ts_ms bigint, accuracy double, lat dou
 _OUT = "event_id bigint, device_id bigint, ts_ms bigint, accuracy double, lat_e7 int, lon_e7 int, moved boolean"
 
 
-def read_gps_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Fixes from Parquet files as they come; those without a position, device, time or accuracy are ignored."""
-    reader = spark.readStream.schema(FIX)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder).dropna()
+def read_gps_stream(spark: SparkSession, source: str | DataFrame, files_per_trigger: int | None = None) -> DataFrame:
+    """Fixes as they come, from a folder of Parquet files or from any stream, such as one of Kafka.
+
+    A stream has a column ``value`` with a fix in JSON, or the columns of ``FIX`` under their names. Fixes without
+    a position, device, time or accuracy are ignored, as is JSON that can't be read.
+    """
+    if isinstance(source, str):
+        reader = spark.readStream.schema(FIX)
+        if files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+        return reader.parquet(source).dropna()
+    names = [c.split()[0] for c in FIX.split(", ")]
+    if not set(names) <= set(source.columns):
+        source = source.select(F.from_json(F.col("value").cast("string"), FIX).alias("fix")).select("fix.*")
+    return source.select(*(F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in FIX.split(", "))).dropna()
 
 
 def filter_gps_stream(fixes: DataFrame, improve_only: bool = False, idle_ms: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo, text
-from roadloom.operators import graph, search, snap, tracking, validate
+from roadloom.operators import graph, polyline, search, snap, tracking, validate
 from roadloom.operators.polyline import leaf_ranges, zoom_levels
 from roadloom.sources.graph_file import FIELDS, MAGIC, read_graph_file
 
@@ -179,3 +179,38 @@ def test_graph_file(spark, tmp_path):
     for bad in ({"magic": (1, 2)}, {"version": 2}):
         with pytest.raises(ValueError):
             read_graph_file(spark, _file(tmp_path, **bad))
+
+
+def test_views_of_any_size_meet_their_boxes(spark):
+    """All pairs in plain Python, for boxes and views from a point to the whole world."""
+    r = random.Random(9)
+    box = lambda: (x := r.random() * 255, x + r.choice([0, 1e-4, 0.01, 1, 90]) * r.random(), y := r.random() * 255, y + r.choice([0, 1e-4, 0.01, 1, 90]) * r.random())
+    boxes = [(i, 0, 0, 1, *box()) for i in range(150)]
+    views = [(k, 5, *sorted(r.random() * 170 - 85 for _ in range(2)), *sorted(r.random() * 360 - 180 for _ in range(2))) for k in range(20)]
+    views += [(90, 5, -85.0, 85.0, -180.0, 180.0), (91, 5, 1.0, 1.0, 2.0, 2.0), (92, 5, 10.0, 10.001, 20.0, 20.001)]
+    b = spark.createDataFrame(boxes, "route_id long, leaf_id long, first long, last long, left double, right double, bottom double, top double")
+    v = spark.createDataFrame(views, "viewport_id long, zoom int, lat_bottom double, lat_top double, lon_left double, lon_right double")
+    want = set()
+    for w in polyline.view_boxes(v).collect():
+        for i, _, _, _, x0, x1, y0, y1 in boxes:
+            if not (x1 < w.v_left or x0 > w.v_right or y1 < w.v_bottom or y0 > w.v_top):
+                want.add((w.viewport_id, i, "INCLUSIVE" if x1 <= w.v_right and x0 >= w.v_left and y1 <= w.v_top and y0 >= w.v_bottom else "PARTIAL"))
+    got = polyline.routes_in_viewport(b, v).collect()
+    assert len(got) == len(want) and {(x.viewport_id, x.route_id, x.hit) for x in got} == want
+
+
+def test_routes_stream_through_in_order(spark):
+    """Routes over several batches, of one point and of many, have the levels of a whole route."""
+    r = random.Random(4)
+    rows = [(route, i, 48 + r.random() * 10**-route, 9 + r.random() * 10**-route) for route, n in ((1, 700), (2, 1), (3, 2), (4, 900)) for i in range(n)]
+    points = spark.createDataFrame(rows, "route_id long, seq int, lat double, lon double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = polyline.polyline_levels(points).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows)
+    for route in (1, 2, 3, 4):
+        own = sorted((x.seq, x.x, x.y, x.min_zoom) for x in got if x.route_id == route)
+        assert [x[3] for x in own] == _plain_levels([(x[1], x[2]) for x in own])
