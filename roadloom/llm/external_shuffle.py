@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm.common import new_folder, table
 
 SHARDS, BUCKET_BYTES, SEED = 16, 32 << 20, 2
-_POSITION, _BUCKET = "_position", "_bucket"
+_POSITION, _BUCKET, _ORDER = "_position", "_bucket", "_order"
+_ROWS = 2048
 
 
 def text_bytes(text: Column) -> Column:
@@ -35,46 +39,52 @@ def shuffle_to_shards(
     """Writes ``docs(doc_id, text, ...)`` to ``folder`` in shuffled shards, and returns them with ``shard`` and ``slot``.
 
     Pass one scatters the rows: doc_id picks the shard, and a seeded hash of id
-    and text one of its buckets, of about ``bucket_bytes`` of text. Pass two
-    shuffles each bucket in memory (Fisher-Yates, seeded by the bucket) and writes
-    it as one file of its shard. ``slot`` counts on over a shard's buckets, from 0 and
-    without gaps. Rows start from a fixed order, so the same input gives the same shards
-    again, on any cluster and after a lost executor. Nulls, empty texts and
-    repeated rows are rows like any other; input columns shard and slot are replaced.
+    and text one of its buckets, of about ``bucket_bytes`` of text; every bucket is one partition
+    of one shuffle. Pass two shuffles each bucket in memory (Fisher-Yates, seeded by
+    the bucket) and writes it as one file of its shard, in the shuffled order. ``slot``
+    counts on over a shard's buckets, from 0 and without gaps. Rows start from a fixed order, so
+    the same input gives the same shards again, on any cluster and after a lost
+    executor. Nulls, empty texts and repeated rows are rows like any other (equal rows share
+    a bucket); input columns shard and slot are replaced; an empty table gives no rows.
     """
-    docs = docs.drop("shard", "slot", _BUCKET, _POSITION)
+    docs = docs.drop("shard", "slot", _BUCKET, _POSITION, _ORDER)
     total = docs.agg(F.sum(text_bytes(F.col("text")))).first()[0] or 0
     buckets = 1 + total // (shards * bucket_bytes)
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(buckets))
     placed = docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn(_BUCKET, bucket)
+    placed = placed.withColumn(_ORDER, F.xxhash64(*docs.columns))
+    dealt = placed.repartitionById(shards * buckets, (F.col("shard") * buckets + F.col(_BUCKET)).cast("int"))
     names = docs.columns
 
-    def fisher_yates(group: pa.Table) -> pa.Table:
-        shard, own = group.column("shard")[0].as_py(), group.column(_BUCKET)[0].as_py()
-        keys = list(zip(*(group.column(n).to_pylist() for n in ("doc_id", "text")), strict=True))
-        order = sorted(range(len(keys)), key=lambda i: [(x is not None, x) for x in keys[i]])
+    def fisher_yates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is None or not rows.num_rows:
+            return
+        order = pc.sort_indices(rows, [("doc_id", "ascending"), (_ORDER, "ascending")]).to_numpy()
         # permutation() is a Fisher-Yates shuffle
-        drawn = np.random.Generator(np.random.PCG64([seed, shard, own])).permutation(len(order))
-        shuffled = group.take(pa.array(np.array(order)[drawn]))
-        return shuffled.append_column(_POSITION, pa.array(np.arange(len(order))))
-
-    schema = T.StructType([*placed.schema.fields, T.StructField(_POSITION, T.LongType())])
-    shuffled = placed.groupBy("shard", _BUCKET).applyInArrow(fisher_yates, schema)
-    shuffled.write.partitionBy("shard").parquet(folder)
+        seeds = [seed, rows.column("shard")[0].as_py(), rows.column(_BUCKET)[0].as_py()]
+        order = order[np.random.Generator(np.random.PCG64(seeds)).permutation(len(order))]
+        rows = rows.drop_columns([_ORDER])
+        for at in range(0, len(order), _ROWS):
+            part = rows.take(pa.array(order[at : at + _ROWS])).combine_chunks()
+            position = pa.array(np.arange(at, at + part.num_rows, dtype=np.int64))
+            yield from part.append_column(_POSITION, position).to_batches()
+
+    schema = T.StructType([*placed.drop(_ORDER).schema.fields, T.StructField(_POSITION, T.LongType())])
+    shuffled = dealt.mapInArrow(fisher_yates, schema).sortWithinPartitions("shard", _BUCKET, _POSITION)
+    shuffled.write.partitionBy("shard", _BUCKET).parquet(folder)
     written = docs.sparkSession.read.schema(shuffled.schema).parquet(folder)
-    # a row for each bucket; text size over bucket_bytes bounds their number
-    sizes = sorted(tuple(r) for r in written.groupBy("shard", _BUCKET).count().collect())
-    starts, at, last = [], 0, None
-    for shard, own, n in sizes:
-        at = at if shard == last else 0
-        starts.append((int(shard), int(own), at))
-        at, last = at + n, shard
-    starts = docs.sparkSession.createDataFrame(starts, f"shard int, {_BUCKET} long, _start long")
+    # a row for each bucket, counted from the files' own numbers of rows
+    sizes = written.groupBy("shard", _BUCKET).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("shard", _BUCKET, F.coalesce(before, F.lit(0)).alias("_start"))
     slot = (F.col("_start") + F.col(_POSITION)).alias("slot")
-    return written.join(F.broadcast(starts), ["shard", _BUCKET]).select(*names, "shard", slot)
+    return written.join(starts, ["shard", _BUCKET]).select(*names, "shard", slot)
 
 
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by law ``key``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sharded = shuffle_to_shards(docs, new_folder(spark, "shards"))
     return sharded.select(
