@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.llm.common import held_out, sample_share, table
+from roadloom.llm.common import held_out, rows_of, sample_share, table
 
 #: About how many documents of each language the filters are built from.
 SAMPLE_A_LANGUAGE = 1500
@@ -107,9 +107,9 @@ def train(docs: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> Filters:
     index = {lang: i for i, lang in enumerate(languages)}
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for langs, texts in rows_of(batches, "lang", "text", size=256):
             found: dict[int, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for lang, text in zip(langs, texts, strict=True):
                 found.setdefault(index[lang], []).extend(gram_hashes(text))
             for i, parts in found.items():
                 grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
@@ -157,6 +157,7 @@ def identify(docs: DataFrame, filters: Filters, into: tuple[str, str] = ("lang_p
 
 
 def op5_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the folds that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), train(docs))
     return found.select(
