@@ -12,34 +12,38 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import rows_of, table
 from roadloom.llm.tokens import VOCABULARY, text_ids
 
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 128, 2048
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 16, 2048
 END = np.array([1], dtype="<u4").tobytes()
 EXAMPLES_A_BUCKET = 512
 _PIECE = "doc_id long, start long, length long, loss long, doc_tokens long, ids binary"
 
 
-def tokenized_pieces(docs: DataFrame, path: str = VOCABULARY, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str = VOCABULARY, max_tokens: int = MAX_TOKENS, prompt: str | None = None) -> DataFrame:
     """Every document's ids and a closing id 1, cut into pieces of ``max_tokens`` ids and a rest.
 
-    All ids bear loss but a document's first, which nothing precedes. Null and
-    empty texts give one piece that holds the closing id alone.
+    With ``prompt``, the column of that name holds a text that comes first, and whose ids bear no
+    loss: instruction data. All other ids bear loss but a document's first, which nothing precedes. Null and
+    empty texts without a prompt give one piece that holds the closing id alone.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, texts in rows_of(batches, "doc_id", "text", size=256):
+        for doc_ids, texts, prompts in rows_of(batches, "doc_id", "text", "prompt", size=256):
             rows = []
-            for doc_id, text in zip(doc_ids, texts, strict=True):
-                ids = text_ids(text, path).tobytes() + END
-                total = len(ids) // 4
+            for doc_id, text, before in zip(doc_ids, texts, prompts, strict=True):
+                asked = text_ids(before, path).tobytes()
+                ids = asked + text_ids(text, path).tobytes() + END
+                total, free = len(ids) // 4, max(1, len(asked) // 4)
                 for start in range(0, total, max_tokens):
                     part = ids[4 * start : 4 * (start + max_tokens)]
-                    rows.append((doc_id, start, len(part) // 4, len(part) // 4 - (start == 0), total, part))
+                    n = len(part) // 4
+                    rows.append((doc_id, start, n, n - min(n, max(0, free - start)), total, part))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             types = [pa.int64()] * 5 + [pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "loss", "doc_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECE)
+    first = F.col(prompt) if prompt else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", first.alias("prompt")).mapInArrow(run, _PIECE)
 
 
 def pack_vectors(sizes: np.ndarray, limits: np.ndarray, cut: bool) -> list[list[tuple[int, int, int]]]:
@@ -96,17 +100,17 @@ def packed(
 ) -> DataFrame:
     """Packs ``pieces`` into sequences; returns them with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt to ``buckets`` by a hash of their content, and each bucket is
-    packed by itself, so at most one sequence a bucket stays open. Without ``cut``
-    pieces stay whole, as instruction data wants. Repeated rows are packed as often
-    as they occur; an empty table gives no rows.
+    Pieces are dealt to ``buckets`` by a hash of their content and of the task that made them,
+    so that repeated rows spread too, and each bucket is packed by itself, so at most
+    one sequence a bucket stays open. Without ``cut`` pieces stay whole, as instruction
+    data wants. Repeated rows are packed as often as they occur; an empty table gives no rows.
     """
     limits = np.array([max_tokens, max_segments, max_loss])
 
     def run(group: pa.Table) -> pa.Table:
         order = sorted(zip(*(group.column(n).to_pylist() for n in ("doc_id", "start", "length", "ids", "doc_tokens", "loss", "bucket")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, *r[1:4]))
         sizes = np.array([(r[2], 1, r[5]) for r in order])
-        full = sizes[:, 0] == max_tokens
+        full = (sizes[:, 0] == max_tokens) & (sizes[:, 2] <= max_loss)
         rest = np.flatnonzero(~full)
         bins = [[(int(i), 0, max_tokens)] for i in np.flatnonzero(full)]
         bins += [[(int(rest[i]), s, n) for i, s, n in held] for held in pack_vectors(sizes[rest], limits, cut)]
@@ -121,7 +125,7 @@ def packed(
         types = [pa.int64()] * 6 + [pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    bucket = F.pmod(F.xxhash64(F.lit(8), "doc_id", "start", F.crc32("ids")), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(F.lit(8), "doc_id", "start", F.crc32("ids"), F.spark_partition_id()), F.lit(buckets))
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return pieces.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, schema)
 
@@ -136,6 +140,7 @@ def _digest(pieces: DataFrame) -> DataFrame:
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its place in a sequence."""
     return _digest(pack_documents(table(spark, sf_dir, "documents")))
 
 
