@@ -108,6 +108,7 @@ def fingerprint_wav(media: DataFrame) -> DataFrame:
 
 
 def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a WAV file: digests of what is stored and read back, and the fingerprints as an array."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = fingerprint_wav(store_wav(docs).drop("text"))
     return media.select(
@@ -119,4 +120,5 @@ def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.size("pairs").cast("string"), F.lower(F.hex(F.xxhash64("pairs")))).alias("feature"),
+        "pairs",
     )
