@@ -21,6 +21,8 @@ WORDS, SEED, RADIUS = 4, 42, 4
 HOT = 16384
 #: Comparisons of two fingerprints that cost as much as a row of a table.
 COMPARISONS_A_ROW = 32
+#: Nodes whose keys one task makes.
+NODES_A_TASK = 10_000
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _CHUNK = 200_000
 
@@ -157,7 +159,9 @@ def near_links(
     seen = checkpointed(seen)
     roots = connected_components(seen.select(F.col(key).alias("a"), F.explode("heads").alias("b")))
     rooted = seen.join(roots, F.col(key) == F.col("id"), "left") if key != "id" else seen.join(roots.withColumnRenamed("id", "_id"), F.col(key) == F.col("_id"), "left")
-    rooted = checkpointed(rooted.select(*held, F.coalesce("label", key).alias("root"), "hot"))
+    rooted = rooted.select(*held, F.coalesce("label", key).alias("root"), "hot")
+    # each row gives dozens of keys, which a partition of the usual bytes would make by itself
+    rooted = checkpointed(rooted.repartition(1 + count // NODES_A_TASK))
 
     def spread(side: str, radii: list[int]) -> DataFrame:
         ball = F.concat(*(_around(i, s, w, r) for (i, (s, w, _)), r in zip(enumerate(parts), radii, strict=True)))
