@@ -60,6 +60,7 @@ def render(turns: DataFrame) -> DataFrame:
 
 
 def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that no longer one begins with, rendered."""
     turns = table(spark, sf_dir, "conversations")
     kept = maximal(turns)
     own = turns.join(kept.select("conv_id"), "conv_id", "left_semi")

@@ -16,16 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a local session gets a temporary one."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
-    if root:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(root)
-        return root.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+        if not root and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
+    return (root or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

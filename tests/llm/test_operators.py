@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from roadloom.llm import bpe_words, chat_snapshots, external_shuffle, language_bitmask, masked_lm, media_wav, packing, segment_topk, simhash_dedup, toxicity_pu
+from roadloom.llm import bpe_words, chat_snapshots, components, external_shuffle, language_bitmask, media_wav, packing, segment_topk, simhash_dedup, toxicity_pu
 from roadloom.llm.common import held_out
 from roadloom.llm.tokens import VOCABULARY, tokenizer
 
@@ -201,22 +201,48 @@ def test_media_peaks_follow_a_tone():
     assert len(media_wav.peak_pairs(b"\x80" * 512)) == 0
 
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("block", [segment_topk.CANDIDATES_A_BLOCK, 40])
+def test_top_k_against_brute_force(spark, monkeypatch, block):
+    """Ties, repeated ids and rows, and several blocks on both sides: every row but the query's own is a candidate."""
+    monkeypatch.setattr(segment_topk, "CANDIDATES_A_BLOCK", block)
+    monkeypatch.setattr(segment_topk, "QUERIES_A_BLOCK", max(2, block // 20))
     r = np.random.default_rng(4)
     vs = [(i, [float(x) for x in r.normal(size=8)]) for i in range(150)] + [(i, [0.5] * 8) for i in range(150, 200)]
-    odd = [(500, None), (550, []), (600, [1.0, None] + [0.0] * 6), (650, [float("nan")] * 8), (700, [float("inf")] * 8), (None, [1.0] * 8), (750, [1.0, 2.0]), (0, vs[0][1])]
-    df = spark.createDataFrame(vs + odd, "vec_id long, embedding array<double>")
+    vs += [(0, vs[0][1]), (0, [2.0] * 8), (7, [3.0] * 8), (7, [3.0] * 8)]
+    odd = [(500, None), (550, []), (600, [1.0, None] + [0.0] * 6), (650, [float("nan")] * 8), (700, [float("inf")] * 8), (None, [1.0] * 8), (750, [1.0, 2.0])]
+    df = spark.createDataFrame(vs + odd, "vec_id long, embedding array<double>").repartition(3)
     v = segment_topk.integer_vectors(df)
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in segment_topk.top_k(v, v.where("vec_id % 50 = 0")).collect()}
-    whole = {i: [int(np.floor(256 * x)) for x in e] for i, e in vs}
-    want = set()
-    for q in (0, 50, 100, 150):
-        best = sorted(((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q))[:5]
-        want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
+    got = Counter((x.query_id, x["rank"], x.vec_id, x.score) for x in segment_topk.top_k(v, v.where("vec_id % 50 = 0")).collect())
+    whole = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in vs]
+    want = Counter()
+    for row, (q, own) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, other)), c) for n, (c, other) in enumerate(whole) if n != row)[:5]
+            want.update((q, n + 1, c, -s) for n, (s, c) in enumerate(best))
     assert got == want
+    few = segment_topk.integer_vectors(df.where("vec_id IN (0, 3) AND size(embedding) = 8"))
+    assert Counter(x.query_id for x in segment_topk.top_k(few, few.where("vec_id = 0")).collect()) == {0: 9}
     assert segment_topk.top_k(v.where("FALSE"), v.where("FALSE")).count() == 0
 
 
+@pytest.mark.parametrize("hub", [components.HUB, 3])
+def test_components_with_hubs(spark, hub):
+    r = random.Random(6)
+    links = [(i, 5000 - i % 3) for i in range(100)] + [(i, i + 1) for i in range(200, 260)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(70)] + [(7, 7), (50, 4998)]
+    parent = {x: x for p in links for x in p}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {x.id: x.label for x in components.connected_components(df, hub).collect()}
+    assert got == {x: top(x) for a, b in links if a != b for x in (a, b)}
+
+
 def test_snapshots_collapse(spark):
     turns = [(c, t, role, text) for c, texts in {1: "ab", 2: "abc", 3: "abc", 4: "b", 5: "abd", 6: "a"}.items() for t, text in enumerate(texts) for role in ["u"]]
     turns += [(7, 0, None, None), (8, 0, None, ""), (8, 1, "u", "x"), (None, 0, "u", "a"), (9, 0, "u", "q"), (9, 0, "u", "q")]
