@@ -22,8 +22,8 @@ from roadloom.llm.tokens import VOCABULARY, chunk_words, pieces_of, text_chunks,
 BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 4 << 20, 256 << 10, 512
 #: Buckets of words: one for every ``BLOCKS_A_BUCKET`` blocks, so that a block's lists stay few and long.
 LEAST_BUCKETS, MOST_BUCKETS, BLOCKS_A_BUCKET = 64, 1024, 16
-#: Entries after which tasks start their tables of chunks and of words anew.
-_CHUNKS, _WORDS = 50_000, 500_000
+#: Words after which a task starts its table of them anew.
+_WORDS = 500_000
 
 
 def _bundles(docs: DataFrame, blocks: int) -> DataFrame:
@@ -55,28 +55,24 @@ def _documents(bundles: pa.ChunkedArray) -> Iterator[tuple[int, str]]:
             yield doc_id, text or ""
 
 
-class _ChunkIds(dict):
-    """Ids of chunks from their words' ids; the words are the block's own, so all are known."""
+def _chunks(bundles: pa.ChunkedArray, path: str, docs: list[tuple[int, list[str]]] | None = None) -> dict[str, list[str]]:
+    """The words of each different chunk of a block; ``docs`` gets each document's chunks in order."""
+    known: dict[str, list[str]] = {}
+    for doc_id, text in _documents(bundles):
+        chunks = text_chunks(text, path)
+        if docs is not None:
+            docs.append((doc_id, chunks))
+        for chunk in set(chunks).difference(known):
+            known[chunk] = chunk_words(chunk, path)
+    return known
 
-    def __init__(self, ids: dict[str, bytes], path: str):
-        super().__init__()
-        self.ids, self.path = ids, path
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= _CHUNKS:
-            self.clear()
-        self[chunk] = out = b"".join([self.ids[w] for w in chunk_words(chunk, self.path)])
-        return out
-
-
-def _words_by_bucket(bundles: pa.ChunkedArray, path: str, buckets: int) -> dict[int, list[str]]:
+def _by_bucket(known: dict[str, list[str]], buckets: int) -> dict[int, list[str]]:
     """A block's distinct words, in order, for each bucket that has any."""
-    chunks: set[str] = set()
-    for _, text in _documents(bundles):
-        chunks.update(text_chunks(text, path))
-    words, lists = set(), defaultdict(list)
-    while chunks:
-        words.update(chunk_words(chunks.pop(), path))
+    words: set[str] = set()
+    for own in known.values():
+        words.update(own)
+    lists = defaultdict(list)
     for word in sorted(words):
         lists[crc32(word.encode()) % buckets].append(word)
     return lists
@@ -103,7 +99,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
     narrow = np.dtype("<u2" if len(pieces_of(path)) <= 1 << 16 else "<u4")
 
     def words(group: pa.Table) -> pa.Table:
-        lists = _words_by_bucket(group.column("bundle"), path, buckets)
+        lists = _by_bucket(_chunks(group.column("bundle"), path), buckets)
         squeeze = zstandard.ZstdCompressor(6).compress
         packed = [squeeze(json.dumps(x, ensure_ascii=False).encode()) for x in lists.values()]
         block = pa.array(np.full(len(packed), group.column("block")[0].as_py(), dtype=np.int64))
@@ -128,19 +124,22 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
 
     def joined(texts: pa.Table, answers: pa.Table) -> pa.Table:
         grow, ids = zstandard.ZstdDecompressor().decompress, {}
-        lists = _words_by_bucket(texts.column("bundle"), path, buckets)
+        docs: list[tuple[int, list[str]]] = []
+        known = _chunks(texts.column("bundle"), path, docs)
+        lists = _by_bucket(known, buckets)
         for bucket, lengths, joint in zip(*(answers.column(c) for c in ("bucket", "lengths", "ids")), strict=True):
             ends = np.cumsum(np.frombuffer(grow(lengths.as_py()), dtype="<u4").astype(np.int64)).tolist()
             joint = grow(joint.as_py())
             for word, start, end in zip(lists.pop(bucket.as_py()), [0, *ends[:-1]], ends, strict=True):
                 ids[word] = joint[start:end]
-        known, doc_ids, out = _ChunkIds(ids, path), [], []
-        for doc_id, text in _documents(texts.column("bundle")):
-            joint = b"".join(map(known.__getitem__, text_chunks(text, path)))
-            doc_ids.append(doc_id)
-            out.append(np.frombuffer(joint, narrow).astype("<u4").tobytes())
+        own = {chunk: b"".join([ids[w] for w in words]) for chunk, words in known.items()}
         known.clear()
         ids.clear()
+        doc_ids, out = [d for d, _ in docs], []
+        for _, chunks in docs:
+            joint = b"".join(map(own.__getitem__, chunks))
+            out.append(np.frombuffer(joint, narrow).astype("<u4").tobytes())
+            chunks.clear()
         counts = pa.array([len(x) // 4 for x in out], pa.int64())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": counts, "ids": pa.array(out, pa.binary())})
 
