@@ -113,9 +113,9 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     nodes = checkpointed(sets.select(node.alias("id"), "fp", "fp2").dropDuplicates(["id"]))
     links = near_links(nodes, nodes.count(), RADIUS, key="id", second=("fp2", SECOND_RADIUS))
     labels = connected_components(links).select(F.col("id").alias("node"), "label")
-    of = sets.withColumn("node", node).join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label", "node")
+    of = checkpointed(sets.withColumn("node", node).join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label", "node"))
     several = of.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).where("n > 1")
-    return of.join(several, "group")
+    return of.join(written(several, "groups"), "group")
 
 
 def _verified(group: pa.Table) -> pa.Table:

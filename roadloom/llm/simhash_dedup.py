@@ -17,12 +17,10 @@ from roadloom.llm.common import checkpointed, table
 from roadloom.llm.components import connected_components
 
 WORDS, SEED, RADIUS = 4, 42, 4
-#: Fingerprints that may share a segment's value before pairs among them cost more than balls.
+#: Rows of one table entry that are compared in one place; entries with more are cut into blocks.
 HOT = 16384
-#: Comparisons of two fingerprints that cost as much as a row of a table.
-COMPARISONS_A_ROW = 32
-#: Nodes whose keys one task makes.
-NODES_A_TASK = 10_000
+#: Comparisons of two fingerprints that cost as much as a row of a table, rows a task, and comparisons held at once.
+COMPARISONS_A_ROW, ROWS_A_TASK, HELD = 512, 100_000, 1 << 20
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _CHUNK = 200_000
 
@@ -68,7 +66,7 @@ def segments_for(count: int, radius: int = RADIUS) -> list[tuple[int, int, int]]
 
     With radii that sum to ``radius - m + 1`` over m segments, two fingerprints
     within ``radius`` agree within the radius of at least one segment, whatever m
-    is. m is the one with the fewest probes, table rows and expected comparisons.
+    is. m is the one with the fewest table rows and expected comparisons.
     """
     best: tuple[float, list[tuple[int, int, int]]] | None = None
     for m in range(1, radius + 2):
@@ -76,8 +74,8 @@ def segments_for(count: int, radius: int = RADIUS) -> list[tuple[int, int, int]]
         radii = [spare // m + (i < spare % m) for i in range(m)]
         cost = 0.0
         for w, r in zip(widths, radii, strict=True):
-            probes, rows = (sum(comb(w, k) for k in range(x + 1)) for x in _halves(r))
-            cost += probes + rows + probes * rows * count / 2.0**w / COMPARISONS_A_ROW
+            wide, narrow = (sum(comb(w, k) for k in range(x + 1)) for x in _halves(r))
+            cost += wide + wide * narrow * count / 2.0**w / COMPARISONS_A_ROW
         if best is None or cost < best[0]:
             best = cost, [(sum(widths[:i]), widths[i], radii[i]) for i in range(m)]
     assert best is not None
@@ -89,36 +87,55 @@ def _halves(radius: int) -> tuple[int, int]:
     return (radius + 1) // 2, radius // 2
 
 
-def _part(fp: Column, shift: int, width: int) -> Column:
-    """The segment's bits."""
-    return F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1) if width < 64 else fp
-
-
 def _ball(width: int, radius: int) -> list[int]:
-    """All masks over ``width`` bits with at most ``radius`` ones, as signed longs."""
+    """All masks over ``width`` bits with at most ``radius`` ones, as signed longs, those with fewer first."""
     masks = (sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k))
     return [m - (m >> 63 << 64) for m in masks]
 
 
-def _around(seg: int, shift: int, width: int, radius: int) -> Column:
-    """Keys of the values within ``radius`` bits of the segment's own."""
-    masks = F.array(*(F.lit(m).cast("long") for m in _ball(width, radius)))
-    part = _part(F.col("fp"), shift, width)
-    return F.transform(masks, lambda m: F.struct(F.lit(seg).alias("seg"), part.bitwiseXOR(m).alias("part")))
+def _entries(seg: int, shift: int, width: int, radius: int) -> Column:
+    """The table entries of a fingerprint in one segment: the values around its own, and whether they are on the narrow side too."""
+    wide, narrow = (_ball(width, r) for r in _halves(radius))
+    part = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << width) - 1) if width < 64 else F.col("fp")
+    # widths are under 40 bits where there are several segments
+    part = part.bitwiseXOR(seg << 40)
+    masks = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(i < len(narrow)).alias("n")) for i, m in enumerate(wide)))
+    return F.transform(masks, lambda x: F.struct(part.bitwiseXOR(x.m).alias("slot"), x.n.alias("narrow")))
 
 
-def _links_by_balls(hot: DataFrame, radius: int) -> DataFrame:
-    """Links ``(a, b)`` between the roots of ``hot(fp, root)``, without comparing pairs.
+def forest(prints: list[np.ndarray], radii: list[int], narrow: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the near pairs connect, of which at least one is ``narrow``: no more than rows.
 
-    The same lookup with the whole fingerprint as the only segment: two are within an even
-    ``radius`` if, and only if, some value is within half of it from both. The
-    roots that meet at a value are one group: at most as many as a ball has values.
+    Near are two whose every fingerprint differs in at most its radius of bits.
     """
-    masks = F.array(*(F.lit(m).cast("long") for m in _ball(64, radius // 2)))
-    at = hot.select("root", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
-    met = at.groupBy("at").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1)
-    met = met.select(F.array_sort("roots").alias("roots")).distinct()
-    return met.select(F.col("roots")[0].alias("a"), F.explode("roots").alias("b")).where("a <> b").distinct()
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(prints[0][x, None] ^ prints[0][y]) <= radii[0]
+        for p, r in zip(prints[1:], radii[1:], strict=True):
+            if out.any():
+                out &= np.bitwise_count(p[x, None] ^ p[y]) <= r
+        return out
+
+    n, every, found = len(narrow), np.arange(len(narrow)), []
+    rows = np.flatnonzero(narrow)
+    step = max(1, HELD // n)
+    for at in range(0, len(rows), step):
+        own = rows[at : at + step]
+        met = near(own, every)
+        met[np.arange(len(own)), own] = False
+        if met.any():
+            found += [own[met.any(axis=1)], np.flatnonzero(met.any(axis=0))]
+    links: list[tuple[int, int]] = []
+    left = np.unique(np.concatenate(found)) if found else every[:0]
+    while len(left):
+        open_, left = [int(left[0])], left[1:]
+        while open_ and len(left):
+            x = open_.pop()
+            met = near(np.array([x]), left)[0]
+            links += [(x, int(y)) for y in left[met]]
+            open_ += left[met].tolist()
+            left = left[~met]
+    return links
 
 
 def near_links(
@@ -129,60 +146,61 @@ def near_links(
     Two of ``nodes(key, fp, ...)``, whose ``key`` is distinct, are near if ``fp`` differs in at most ``radius``
     bits and, with ``second``, that column in at most its number of bits too.
 
-    Each segment's values form a hash table. First the nodes that share a
-    segment's value are compared with the smallest of them; what is near it is
-    contracted, and needs no links but one to its root. Then small balls around
-    every segment's value are looked up in the table (a radius is shared between the two
-    sides, so a ball of 2 bits meets as two of 1), and the complete distance of every
-    match with another root is verified; between two roots one link stays.
-
-    Between values that more than ``hot`` nodes share, pairs aren't compared:
-    those nodes are linked among each other through ``_links_by_balls``, in time
-    that grows with their number, and are looked up only in smaller tables (for an odd
-    ``radius``, and with ``second``, all pairs are compared).
+    Each segment is a table: a node enters it under the values of a small Hamming ball around its own (a
+    segment's radius is shared between the two that meet, so 2 bits need balls of 1). Where nodes meet
+    under a value, the complete distances are verified, and the links of a spanning forest go on: at
+    most one for each row, however many pairs are near. Values that more than ``hot`` rows share are cut
+    into blocks, and every pair of blocks meets in a place of its own.
     """
-    held = list(dict.fromkeys([key, "fp", *([second[0]] if second else [])]))
-
-    def near(x: str, y: str) -> Column:
-        both = F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= radius
-        return both & (F.bit_count(F.col(x + second[0]).bitwiseXOR(F.col(y + second[0]))) <= second[1]) if second else both
-
-    hot = count if radius % 2 or second else hot
+    names = ["fp", *([second[0]] if second else [])]
+    radii, held = [radius, *([second[1]] if second else [])], list(dict.fromkeys([key, *names]))
     parts = segments_for(count, radius)
-    keys = F.array(*(F.struct(F.lit(i).alias("seg"), _part(F.col("fp"), s, w).alias("part")) for i, (s, w, _) in enumerate(parts)))
-    entries = nodes.select(*held, F.explode(keys).alias("at")).select(*held, "at.seg", "at.part")
-    heads = entries.groupBy("seg", "part").agg(F.min(F.struct(*held)).alias("head"), F.count("*").alias("n"))
-    seen = entries.join(heads, ["seg", "part"]).groupBy(*held).agg(
-        F.collect_set(F.when(near("", "head.") & (F.col(f"head.{key}") != F.col(key)), F.col(f"head.{key}"))).alias("heads"),
-        F.collect_set(F.when(F.col("n") > hot, F.col("seg"))).alias("hot"),
-    )
-    seen = checkpointed(seen)
-    roots = connected_components(seen.select(F.col(key).alias("a"), F.explode("heads").alias("b")))
-    rooted = seen.join(roots, F.col(key) == F.col("id"), "left") if key != "id" else seen.join(roots.withColumnRenamed("id", "_id"), F.col(key) == F.col("_id"), "left")
-    rooted = rooted.select(*held, F.coalesce("label", key).alias("root"), "hot")
-    # each row gives dozens of keys, which a partition of the usual bytes would make by itself
-    rooted = checkpointed(rooted.repartition(1 + count // NODES_A_TASK))
-
-    def spread(side: str, radii: list[int]) -> DataFrame:
-        ball = F.concat(*(_around(i, s, w, r) for (i, (s, w, _)), r in zip(enumerate(parts), radii, strict=True)))
-        rows = rooted.select(*(F.col(c).alias(f"{side}_{c}") for c in (*held, "root")), "hot", F.explode(ball).alias("at"))
-        return rows.select(*(f"{side}_{c}" for c in (*held, "root")), "at.seg", "at.part", F.array_contains("hot", F.col("at.seg")).alias("is_hot"))
-
-    probes, tables = (spread(side, [_halves(r)[i] for _, _, r in parts]) for i, side in enumerate("ab"))
-
-    def matches(probes: DataFrame, tables: DataFrame) -> DataFrame:
-        met = (probes.seg == tables.seg) & (probes.part == tables.part) & (F.col(f"a_{key}") < F.col(f"b_{key}"))
-        found = probes.join(tables, met & (F.col("a_root") != F.col("b_root")) & near("a_", "b_"))
-        return found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-
-    crowd = rooted.where("size(hot) > 0").select("fp", "root")
-    if crowd.isEmpty():
-        found = matches(probes.drop("is_hot"), tables.drop("is_hot"))
-    else:
-        found = matches(probes, tables.where("NOT is_hot")).union(matches(probes.where("NOT is_hot"), tables.where("is_hot")))
-        found = found.union(_links_by_balls(crowd, radius))
-    stars = rooted.where(F.col(key) != F.col("root")).select(F.col(key).alias("a"), F.col("root").alias("b"))
-    return found.distinct().union(stars)
+    entries = F.explode(F.concat(*(_entries(i, *p) for i, p in enumerate(parts)))).alias("at")
+    rows = nodes.select(*held, entries).select(*held, "at.slot", "at.narrow")
+    size = sum(len(_ball(w, _halves(r)[0])) for _, w, r in parts)
+    crowded = checkpointed(rows.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("slot", F.ceil(F.col("n") / hot).cast("long").alias("blocks")))
+    at = ["slot"]
+    if not crowded.isEmpty():
+        blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+        rows = rows.join(crowded, "slot", "left").withColumn("block", F.pmod(F.xxhash64(key), blocks))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        at = ["slot", "i", "j"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+            out: list[tuple[int, int]] = []
+            for first, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if end - first > 1:
+                    prints = [rows[c][first:end].view(np.uint64) for c in names]
+                    ids = rows[key][first:end]
+                    out += [(int(ids[x]), int(ids[y])) for x, y in forest(prints, radii, rows["narrow"][first:end])]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        columns = [*held, *at, "narrow"]
+        waiting = {c: [] for c in columns}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            changed = np.zeros(batch.num_rows, dtype=bool)
+            for c in at:
+                changed[1:] |= own[c][1:] != own[c][:-1]
+                changed[0] |= bool(waiting[c]) and waiting[c][-1][-1] != own[c][0]
+            cuts = np.flatnonzero(changed)
+            for c in columns:
+                waiting[c].append(own[c])
+            if len(cuts):
+                rows = {c: np.concatenate(waiting[c]) for c in columns}
+                cuts += len(rows["narrow"]) - batch.num_rows
+                yield links(rows, np.concatenate([[0], cuts]))
+                waiting = {c: [rows[c][cuts[-1] :]] for c in columns}
+        if waiting["narrow"]:
+            rows = {c: np.concatenate(waiting[c]) for c in columns}
+            yield links(rows, np.array([0, len(rows["narrow"])]))
+
+    dealt = rows.select(*held, *at, "narrow").repartition(1 + count * size // ROWS_A_TASK, *at).sortWithinPartitions(*at, key)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _groups(rows: DataFrame, radius: int) -> DataFrame:
