@@ -107,12 +107,14 @@ def query_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "f1_f2_f3_coordinates",
     fx.with_tables("fixes")
-    + """SELECT event_id, lat_e7, lat_e7 // 10 AS lat_e6, lat_e7 // 10 * 10 AS snapped, lat_e7 // 10 * 10 AS back, lat_e7 / 1e7 AS deg
-FROM (SELECT event_id, CAST(floor(lat * 1e7 + 0.5) AS INTEGER) AS lat_e7 FROM fixes)""",
+    + """SELECT event_id, lat_e7, lat_e6, lat_e6 * 10 AS snapped, lat_e6 * 10 AS back, lat_e7 / 1e7 AS deg FROM (
+  SELECT *, CAST(trunc(lat_e7 / 10) AS INTEGER) AS lat_e6 FROM (
+    SELECT event_id, CAST(floor(CASE WHEN event_id % 2 = 1 THEN -lat ELSE lat END * 1e7 + 0.5) AS INTEGER) AS lat_e7 FROM fixes))""",
 )
 def coordinates(spark: SparkSession, sf: str) -> DataFrame:
     e7 = F.col("lat_e7")
-    at = fx.gps_fixes(spark, sf).select("event_id", geo.to_e7(F.col("lat")).alias("lat_e7"))
+    lat = F.when(F.col("event_id") % 2 == 1, -F.col("lat")).otherwise(F.col("lat"))
+    at = fx.gps_fixes(spark, sf).select("event_id", geo.to_e7(lat).alias("lat_e7"))
     return at.select(
         "event_id", "lat_e7", geo.e7_to_e6(e7).alias("lat_e6"), geo.snap_e6(e7).alias("snapped"), geo.e6_to_e7(geo.e7_to_e6(e7)).alias("back"), geo.e7_to_deg(e7).alias("deg")
     )
@@ -133,7 +135,9 @@ def positions_shown(spark: SparkSession, sf: str) -> DataFrame:
 xy AS (SELECT *, (lon + 180) / 360 * 4194304 AS x, (0.5 - ln((1 + s) / (1 - s)) / (4 * pi())) * 4194304 AS y FROM px)
 SELECT point_id, CAST(round(x * 1000) AS BIGINT) AS x, CAST(round(y * 1000) AS BIGINT) AS y, CAST(round(lat * 1000000) AS BIGINT) AS lat,
   CAST(round(lon * 1000000) AS BIGINT) AS lon, CAST(round((lon - 2048 * 360 / 4194304) * 1000000) AS BIGINT) AS lon_min,
-  CAST(round(degrees(atan(sinh((0.5 - (y - 2048) / 4194304) * 2 * pi()))) * 1000000) AS BIGINT) AS lat_max FROM xy""",
+  CAST(round(degrees(atan(sinh((0.5 - (y - 2048) / 4194304) * 2 * pi()))) * 1000000) AS BIGINT) AS lat_max,
+  CAST(round((lon + 2048 * 360 / 4194304) * 1000000) AS BIGINT) AS lon_max,
+  CAST(round(degrees(atan(sinh((0.5 - (y + 2048) / 4194304) * 2 * pi()))) * 1000000) AS BIGINT) AS lat_min FROM xy""",
 )
 def mercator(spark: SparkSession, sf: str) -> DataFrame:
     at = fx.query_points(spark, sf).select("point_id", geo.e7_to_deg(F.col("lat_e7")).alias("lat"), geo.e7_to_deg(F.col("lon_e7")).alias("lon"))
@@ -141,7 +145,7 @@ def mercator(spark: SparkSession, sf: str) -> DataFrame:
     lon, lat = geo.mercator_inverse(x, y, 14)
     view = geo.viewport_rect(F.col("lat"), F.col("lon"), F.lit(14))
     whole = lambda c, k: F.round(c * k).cast("bigint")
-    return at.select("point_id", whole(x, 1000).alias("x"), whole(y, 1000).alias("y"), whole(lat, 1_000_000).alias("lat"), whole(lon, 1_000_000).alias("lon"), whole(view["lon_min"], 1_000_000).alias("lon_min"), whole(view["lat_max"], 1_000_000).alias("lat_max"))
+    return at.select("point_id", whole(x, 1000).alias("x"), whole(y, 1000).alias("y"), whole(lat, 1_000_000).alias("lat"), whole(lon, 1_000_000).alias("lon"), whole(view["lon_min"], 1_000_000).alias("lon_min"), whole(view["lat_max"], 1_000_000).alias("lat_max"), whole(view["lon_max"], 1_000_000).alias("lon_max"), whole(view["lat_min"], 1_000_000).alias("lat_min"))
 
 
 @query(
@@ -175,7 +179,7 @@ def route_texts(spark: SparkSession, sf: str) -> DataFrame:
     fx.with_tables("size", "nodes", "points", "snapped") + "SELECT * FROM snapped",
 )
 def snap_points(spark: SparkSession, sf: str) -> DataFrame:
-    return snap.snap_points(fx.query_points(spark, sf), fx.nodes(spark, sf), fx.GRID).select("point_id", "node_id", "dist2")
+    return snap.snap_points(fx.query_points(spark, sf), fx.nodes(spark, sf)).select("point_id", "node_id", "dist2")
 
 
 @query(
@@ -183,7 +187,7 @@ def snap_points(spark: SparkSession, sf: str) -> DataFrame:
     fx.with_tables("size", "nodes", "beside", "snapped", "requests", "snapped_requests") + "SELECT * FROM found",
 )
 def snap_endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    done = snap.snap_endpoints(fx.position_requests(spark, sf), fx.nodes(spark, sf), fx.GRID)
+    done = snap.snap_endpoints(fx.position_requests(spark, sf), fx.nodes(spark, sf))
     return done.select("request_id", "start_node", "dest_node")
 
 
@@ -324,7 +328,7 @@ SELECT request_id, dist, euclid, CAST(s AS INTEGER) AS travel_time_s, abs(dest_n
 FROM timed JOIN nodes f ON f.node_id = start_node JOIN nodes l ON l.node_id = dest_node""",
 )
 def find_routes(spark: SparkSession, sf: str) -> DataFrame:
-    done = routing.find_routes(cut(fx.position_requests(spark, sf)), *_graph(spark, sf), cut(fx.edge_details(spark, sf)), fx.GRID)
+    done = routing.find_routes(cut(fx.position_requests(spark, sf)), *_graph(spark, sf), cut(fx.edge_details(spark, sf)))
     return done.select(
         "request_id", "dist", "euclid", "travel_time_s", F.size("way").cast("bigint").alias("points"), F.element_at("way", 1)["lat_e7"].alias("first_lat"), F.element_at("way", -1)["lat_e7"].alias("last_lat"), "summary"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from roadloom.functions.geo import Grid, to_e7
+from roadloom.functions.geo import to_e7
 from roadloom.functions.requests import choose_start
 from roadloom.jobs.routing import find_routes
 from roadloom.operators.tracking import keep_fix, latest_request
@@ -91,6 +91,6 @@ def reroute_stream(
     return filter_gps_stream(fixes).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def router(nodes: DataFrame, edges: DataFrame, details: DataFrame, grid: Grid) -> Callable[[DataFrame], DataFrame]:
+def router(nodes: DataFrame, edges: DataFrame, details: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """``find_routes`` over one graph."""
-    return lambda requests: find_routes(requests, nodes, edges, details, grid)
+    return lambda requests: find_routes(requests, nodes, edges, details)

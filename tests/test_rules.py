@@ -36,7 +36,7 @@ def test_e7_rounds_half_up(spark):
 
 def _snap(spark, points, nodes):
     df = spark.createDataFrame([(*n, False) for n in nodes], NODES).withColumn("cell_id", geo.grid_cell(F.col("lon_e7"), F.col("lat_e7"), GRID))
-    got = snap.snap_points(spark.createDataFrame(points, "point_id long, lat_e7 int, lon_e7 int"), df, GRID)
+    got = snap.snap_points(spark.createDataFrame(points, "point_id long, lat_e7 int, lon_e7 int"), df)
     return {r.point_id: (r.dist2, r.node_id) for r in got.collect()}
 
 

@@ -42,12 +42,12 @@ def test_routes_of_the_stream_are_the_batchs(spark, sf, tmp_path):
     nodes, edges, details = fx.nodes(spark, sf), fx.edges(spark, sf), fx.edge_details(spark, sf)
     end = F.struct(F.lit(470000000).alias("lat_e7"), F.lit(60000000).alias("lon_e7")).alias("end")
     sessions = spark.range(5).select(F.col("id").alias("session_id"), F.col("id").alias("device_id"), F.lit(True).alias("follow_gps"), F.lit(None).cast("struct<lat_e7:int,lon_e7:int>").alias("start"), end)
-    route = router(nodes, edges, details, fx.GRID)
+    route = router(nodes, edges, details)
     reroute_stream(read_gps_stream(spark, str(tmp_path / "in")), sessions, route, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(300)
     got = {(r.session_id, r.dist, len(r.way)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     last = tracking.latest_request(tracking.gps_positions(tracking.filter_gps(fixes)).withColumnRenamed("device_id", "session_id"))
     asked = last.where("session_id < 5").select(F.col("session_id").alias("request_id"), F.col("gps").alias("start"), end)
-    want = {(r.request_id, r.dist, len(r.way)) for r in find_routes(asked, nodes, edges, details, fx.GRID).collect()}
+    want = {(r.request_id, r.dist, len(r.way)) for r in find_routes(asked, nodes, edges, details).collect()}
     assert got == want and len(got) == 5
 
 
