@@ -19,7 +19,7 @@ WORDS, SEED = 5, 42
 #: Candidates differ in at most so many of the 64 bits of a SimHash of their words, and of a second one.
 RADIUS, SECOND_RADIUS = 8, 12
 #: Texts of one group are compared in blocks of so many, or of so many bytes.
-TEXTS_A_BLOCK, BYTES_A_BLOCK = 128, 8 << 20
+TEXTS_A_BLOCK, BYTES_A_BLOCK = 4096, 8 << 20
 _KNOWN, _CHUNK = 300_000, 100_000
 _KEY = ["_none", "_doc", "_hash"]
 
@@ -76,12 +76,28 @@ def signature(text: str | None, known: dict[bytes, int]) -> tuple[int, int, int]
     return set_id - (set_id >> 63 << 64), majority_bits(own), majority_bits(_mixed(own))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of 4/5 or more, in whole numbers."""
-    small, large = sorted((len(a), len(b)))
-    if 5 * small < 4 * large:
-        return False
-    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (small + large)
+class Overlaps:
+    """How many elements sets have in common, looked up by element."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        elements, owner = np.concatenate([*sets, np.empty(0, "<u8")]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(elements, kind="stable")
+        self.owner = owner[order]
+        first = np.append(True, elements[order][1:] != elements[order][:-1])[: len(order)]
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(first) - 1
+        self.numbers = np.split(number, np.cumsum(self.sizes)[:-1]) if sets else []
+        self.starts = np.append(np.flatnonzero(first), len(order))
+
+    def similar(self, x: int) -> np.ndarray:
+        """Of every set, whether its Jaccard similarity with set ``x`` is 4/5 or more, in whole numbers."""
+        own = self.numbers[x]
+        lengths = self.starts[own + 1] - self.starts[own]
+        # places of all owners of the set's elements, list after list
+        at = np.repeat(self.starts[own] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return 9 * both >= 4 * (self.sizes + self.sizes[x])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -119,33 +135,26 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
 
 
 def _verified(group: pa.Table) -> pa.Table:
-    """Links between the near copies of one pair of blocks; what links connect already isn't compared again."""
-    known, seen, rows = _WordHashes(), set(), []
-    for row in zip(*(group.column(c) for c in ("set", "block", "fp", "fp2", "text")), strict=True):
-        own = row[0].as_py()
-        if own not in seen:
-            seen.add(own)
-            rows.append((own, row[1].as_py(), row[2].as_py(), row[3].as_py(), shingles(word_hashes(row[4].as_py(), known))))
-    rows.sort(key=lambda r: r[0])
+    """Links that connect what the near copies of one pair of blocks connect: fewer than texts."""
+    known, rows = _WordHashes(), {}
+    for own, fp, fp2, text in zip(*(group.column(c) for c in ("set", "fp", "fp2", "text")), strict=True):
+        if own.as_py() not in rows:
+            rows[own.as_py()] = (fp.as_py(), fp2.as_py(), shingles(word_hashes(text.as_py(), known)))
+    ids = np.array(sorted(rows), dtype=np.int64)
     # bits of signed numbers would be those of their absolute values
-    block, fp, fp2 = (np.array([r[i] for r in rows], dtype=np.int64).view(np.uint64) for i in (1, 2, 3))
-    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-    parent = list(range(len(rows)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    links = []
-    for x in range(len(rows)):
-        near = (np.bitwise_count(fp[x + 1 :] ^ fp[x]) <= RADIUS) & (np.bitwise_count(fp2[x + 1 :] ^ fp2[x]) <= SECOND_RADIUS)
-        if across:
-            near &= block[x + 1 :] != block[x]
-        for y in (np.flatnonzero(near) + x + 1).tolist():
-            if top(x) != top(y) and similar(rows[x][4], rows[y][4]):
-                parent[top(y)] = top(x)
-                links.append((rows[x][0], rows[y][0]))
+    fp, fp2 = (np.array([rows[i][k] for i in ids.tolist()], dtype=np.int64).view(np.uint64) for k in (0, 1))
+    overlaps = Overlaps([rows.pop(i)[2] for i in ids.tolist()])
+    links, left = [], np.arange(len(ids))
+    while len(left):
+        open_, left = [int(left[0])], left[1:]
+        while open_ and len(left):
+            x = open_.pop()
+            near = (np.bitwise_count(fp[left] ^ fp[x]) <= RADIUS) & (np.bitwise_count(fp2[left] ^ fp2[x]) <= SECOND_RADIUS)
+            if near.any():
+                near &= overlaps.similar(x)[left]
+                links += [(int(ids[x]), int(y)) for y in ids[left[near]]]
+                open_ += left[near].tolist()
+                left = left[~near]
     return pa.table([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -161,7 +170,8 @@ def near_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
     blocks = (1 + F.greatest(F.floor(F.col("n") / TEXTS_A_BLOCK), F.floor(F.col("size") / BYTES_A_BLOCK))).cast("long")
     several = candidate_groups(sets).select("set", "group", "fp", "fp2", *_KEY, blocks.alias("blocks"))
     several = written(several.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks"))), "candidates")
-    texts = _keyed(docs.select("doc_id", "text")).join(several, _KEY).select("set", "group", "fp", "fp2", "block", "blocks", "text")
+    # merged whatever the size, so that a small table is no special case
+    texts = _keyed(docs.select("doc_id", "text")).join(several.hint("merge"), _KEY).select("set", "group", "fp", "fp2", "block", "blocks", "text")
     each = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     each = each.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
     links = checkpointed(each.groupBy("group", "i", "j").applyInArrow(_verified, "a long, b long"))
@@ -185,9 +195,11 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keep = firsts.select(*(F.col(f"r.r.{c}").alias(c) for c in _KEY))
     keys = rows.groupBy(*_KEY).agg((F.count("*") > 1).alias("_again"))
     kept = keep.withColumn("_kept", F.lit(True))
-    # what goes is far less than what stays, and small enough for Spark to broadcast more often
     marks = keys.join(kept, _KEY, "left").where("_again OR _kept IS NULL").select(*_KEY, F.col("_kept").isNotNull().alias("_kept"))
     marks = written(marks, "marks")
-    stays = _keyed(docs).join(marks, _KEY, "left_anti").select(docs.columns)
-    once = _keyed(docs).join(marks.where("_kept"), _KEY, "left_semi").groupBy(*_KEY).agg(_least(docs.columns))
-    return stays.union(once.select(*(F.col("r")[c].alias(c) for c in docs.columns)))
+    # merged whatever the size; rows that repeat are there in both, and few
+    found = _keyed(docs).join(marks.hint("merge"), _KEY, "left").where("_kept IS NULL OR _kept")
+    again = found.where("_kept").groupBy(*_KEY).agg(_least(docs.columns))
+    if marks.where("_kept").isEmpty():
+        return found.select(docs.columns)
+    return found.where("_kept IS NULL").select(docs.columns).union(again.select(*(F.col("r")[c].alias(c) for c in docs.columns)))
