@@ -239,8 +239,9 @@ def test_top_k_against_brute_force(spark, monkeypatch, block):
     assert segment_topk.top_k(v.where("FALSE"), v.where("FALSE")).count() == 0
 
 
-@pytest.mark.parametrize("hub", [components.HUB, 3])
-def test_components_with_hubs(spark, hub):
+@pytest.mark.parametrize(("hub", "small"), [(components.HUB, components.SMALL), (3, components.SMALL), (3, 0)])
+def test_components_with_hubs(spark, monkeypatch, hub, small):
+    monkeypatch.setattr(components, "SMALL", small)
     r = random.Random(6)
     links = [(i, 5000 - i % 3) for i in range(100)] + [(i, i + 1) for i in range(200, 260)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(70)] + [(7, 7), (50, 4998)]
     parent = {x: x for p in links for x in p}
