@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from roadloom.llm.common import rows_of, table
 from roadloom.llm.tokens import VOCABULARY, chunk_words, pieces_of, text_chunks, word_ids
 
-BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 4 << 20, 256 << 10, 512
+BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 2 << 20, 256 << 10, 512
 #: Buckets of words: one for every ``BLOCKS_A_BUCKET`` blocks, so that a block's lists stay few and long.
 LEAST_BUCKETS, MOST_BUCKETS, BLOCKS_A_BUCKET = 64, 1024, 16
 #: Words after which a task starts its table of them anew.
