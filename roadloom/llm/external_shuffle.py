@@ -16,6 +16,8 @@ from roadloom.llm.common import new_folder, table
 SHARDS, BUCKET_BYTES, SEED = 16, 32 << 20, 2
 _POSITION, _BUCKET, _ORDER = "_position", "_bucket", "_order"
 _ROWS = 2048
+#: Most buckets whose starts are broadcast instead of joined in a shuffle of all rows.
+SMALL = 100_000
 
 
 def text_bytes(text: Column) -> Column:
@@ -80,6 +82,8 @@ def shuffle_to_shards(
     before = F.sum("n").over(Window.partitionBy("shard").orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("shard", _BUCKET, F.coalesce(before, F.lit(0)).alias("_start"))
     slot = (F.col("_start") + F.col(_POSITION)).alias("slot")
+    if shards * buckets <= SMALL:
+        starts = F.broadcast(starts)
     return written.join(starts, ["shard", _BUCKET]).select(*names, "shard", slot)
 
 
