@@ -1,4 +1,4 @@
-"""Operators for training data: scoring, sharding, filters, tokens, chats, search, packing, duplicates and media."""
+"""Operators for training data: scoring, sharding, filters, tokens, chats, search, packing, duplicates, media, personal data and vectors."""
 
 from __future__ import annotations
 
@@ -17,9 +17,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from roadloom.llm.masked_lm import op1_masked_lm
     from roadloom.llm.media_wav import op10_media_wav
     from roadloom.llm.packing import op8_vector_packing
+    from roadloom.llm.personal_data import op11_personal_data
     from roadloom.llm.segment_topk import op7_segment_topk
     from roadloom.llm.simhash_dedup import op9_simhash_dedup
     from roadloom.llm.toxicity_pu import op3_toxicity_nnpu
+    from roadloom.llm.vector_codes import op12_yinyang_codes
+    from roadloom.llm.whitening import op13_whitening
 
     found = (
         op1_masked_lm,
@@ -32,11 +35,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_vector_packing,
         op9_simhash_dedup,
         op10_media_wav,
+        op11_personal_data,
+        op12_yinyang_codes,
+        op13_whitening,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    from roadloom.llm import chat_snapshots, segment_topk
-
-    return {"op6_chat_snapshots": chat_snapshots.ORACLE, "op7_segment_topk": segment_topk.ORACLE}
+    from roadloom.llm import chat_snapshots, personal_data, segment_topk, vector_codes
+
+    return {
+        "op6_chat_snapshots": chat_snapshots.ORACLE,
+        "op7_segment_topk": segment_topk.ORACLE,
+        "op11_personal_data": personal_data.ORACLE,
+        "op12_yinyang_codes": vector_codes.ORACLE,
+    }

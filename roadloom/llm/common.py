@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,23 @@ def rows_of(batches: Iterable[pa.RecordBatch], *names: str, size: int = 512) ->
         for at in range(0, batch.num_rows, size):
             part = batch.slice(at, size)
             yield [part.column(n).to_pylist() for n in names]
+
+
+def sound_vectors(vectors: DataFrame) -> DataFrame:
+    """Rows whose ``embedding`` isn't null and holds neither nulls nor components that aren't finite."""
+    return vectors.where(F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+
+
+def by_length(vectors: DataFrame, run: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``run(rows, length)`` for the vectors of each length, as one table; of a table without rows the result for length 0.
+
+    Tables hold vectors of few lengths, usually of one.
+    """
+    lengths = sorted(r[0] for r in vectors.select(F.size("embedding")).distinct().collect()) or [0]
+    parts = [run(vectors.where(F.size("embedding") == n), n) for n in lengths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def list_matrix(column: pa.ListArray, width: int, dtype: type) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), width)
