@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from math import sqrt
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.functions.geo import TILE, mercator_px
+from roadloom.operators.chunks import CHUNK, fold_chunks, ordered_chunks
 
 LEVELS, NEVER, NEAR_PX, LEAF_SPAN = (20, 16, 14, 12, 8, 4, 0), 32, 16.0, 4
 _SCALES = [2.0 ** (before - 1) for before in (NEVER, *LEVELS)]
@@ -77,35 +77,48 @@ def zoom_levels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return level
 
 
-def polyline_levels(points: DataFrame) -> DataFrame:
-    """``(route_id, seq, x, y, min_zoom)`` of ``points(route_id, seq, lat, lon)``.
+class LevelFold:
+    """``LevelStream`` over rows ``(route_id, seq, x, y)``; its state's parts are what each level kept and holds."""
 
-    Routes are spread over tasks, and stream through them in order: no route is held as a whole.
-    """
-    x, y = mercator_px(F.col("lon"), F.col("lat"))
-    px = points.select("route_id", "seq", x.alias("x"), y.alias("y"))
-    schema = T.StructType([*px.schema.fields, T.StructField("min_zoom", T.IntegerType())])
+    def __init__(self, state: tuple | None) -> None:
+        self.stream = LevelStream()
+        if state is not None:
+            self.stream.last, self.stream.waiting = list(state[: len(LEVELS)]), list(state[len(LEVELS) :])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, stream, types = None, LevelStream(), None
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        for route, seq, x, y in rows:
+            self.stream.add((x, y, route, seq))
+        return self._done()
 
-        def made(done: list[tuple]) -> pa.RecordBatch:
-            rows = [(p[2], p[3], p[0], p[1], level) for p, level in done]
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["route_id", "seq", "x", "y", "min_zoom"])
+    def end(self) -> list[tuple]:
+        self.stream.end()
+        return self._done()
 
-        for b in batches:
-            types = [*b.schema.types, pa.int32()]
-            for route, seq, px_x, px_y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if route != own:
-                    left, own, stream = stream.end(), route, LevelStream()
-                    stream.done = left
-                stream.add((px_x, px_y, route, seq))
-            yield made(stream.done)
-        if types is not None:
-            yield made(stream.end())
-
-    return px.repartition("route_id").sortWithinPartitions("route_id", "seq").mapInArrow(run, schema)
+    def _done(self) -> list[tuple]:
+        out = [(p[2], p[3], p[0], p[1], level) for p, level in self.stream.done]
+        self.stream.done.clear()
+        return out
+
+    def state(self) -> tuple:
+        return (*self.stream.last, *self.stream.waiting)
+
+
+def _level_guess(first: tuple, before: tuple) -> tuple:
+    """As if no level had kept a point since the route's first one; the finest holds the last point."""
+    first, before = ((x, y, route, seq) for route, seq, x, y in (first, before))
+    return (*[first] * len(LEVELS), (before, NEVER), *[None] * (len(LEVELS) - 1))
+
+
+def polyline_levels(points: DataFrame, chunks: int | None = None) -> DataFrame:
+    """``(route_id, seq, x, y, min_zoom)`` of ``points(route_id, seq, lat, lon)``.
+
+    A route may be of any length: it is cut into chunks, each folded by itself (``chunks.fold_chunks``). The fine levels keep points all
+    the time, so guesses meet the true fold soon; what the coarse ones keep changes seldom, and passes through chunks.
+    """
+    x, y = mercator_px(F.col("lon"), F.col("lat"))
+    px = ordered_chunks(points.select("route_id", "seq", x.alias("x"), y.alias("y")), "route_id", "seq", chunks=chunks)
+    schema = T.StructType([*px.drop(CHUNK).schema.fields, T.StructField("min_zoom", T.IntegerType())])
+    return fold_chunks(px, "route_id", ["seq"], LevelFold, schema, ["route_id", "seq", "x", "y"], _level_guess)
 
 
 def simplify_routes(levels: DataFrame, zoom: Column | int) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import to_e7
+from roadloom.operators.chunks import fold_chunks, ordered_chunks
 
 QUIET_MS, WORSE_M = 10_000, 5.0
 
@@ -26,17 +24,27 @@ def keep_fix(ts_ms: int, accuracy: float, last_ts: int | None, last_accuracy: fl
     return ts_ms - last_ts >= QUIET_MS or (-worse if improve_only else worse) >= WORSE_M
 
 
-def fold(pieces: Iterable[tuple], improve_only: bool, state: dict) -> list[bool]:
-    """The keep rule over rows ``(key, ts_ms, accuracy)`` in order; ``state`` carries the last key and kept fix."""
-    out = []
-    for key, ts, accuracy in pieces:
-        if state.get("key") != key:
-            state.update(key=key, ts=None, accuracy=None)
-        keep = keep_fix(ts, accuracy, state["ts"], state["accuracy"], improve_only)
-        if keep:
-            state.update(ts=ts, accuracy=accuracy)
-        out.append(keep)
-    return out
+class KeepFold:
+    """The keep rule over one device's rows in order; its state is the last kept fix's time and accuracy."""
+
+    def __init__(self, state: tuple | None, at: tuple[int, int], improve_only: bool) -> None:
+        (self.last,) = state or ((None, None),)
+        self.at, self.improve_only = at, improve_only
+
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        ts, accuracy = self.at
+        out = []
+        for r in rows:
+            if keep_fix(r[ts], r[accuracy], *self.last, self.improve_only):
+                self.last = (r[ts], r[accuracy])
+                out.append(r)
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
+
+    def state(self) -> tuple:
+        return (self.last,)
 
 
 def sound_fixes(fixes: DataFrame) -> DataFrame:
@@ -44,21 +52,18 @@ def sound_fixes(fixes: DataFrame) -> DataFrame:
     return fixes.dropna(subset=["device_id", "ts_ms", "accuracy", "lat", "lon"])
 
 
-def filter_gps(fixes: DataFrame, improve_only: bool = False) -> DataFrame:
+def filter_gps(fixes: DataFrame, improve_only: bool = False, chunks: int | None = None) -> DataFrame:
     """The fixes that the keep rule keeps, for each device in order of ``(ts_ms, event_id)``.
 
-    One shuffle by device; within a task, devices follow on each other in order and are folded as they
-    stream by, with the memory of one batch and the last kept fix, however long a track is.
+    A device's track may be of any length: it is cut into chunks, each folded by itself (``chunks.fold_chunks``). A fix that is kept
+    from two different states leads to the same state from there on, as every fix does that comes 10 s or more after the one
+    before, so guesses meet the true fold within a few fixes.
     """
-    dealt = sound_fixes(fixes).repartition("device_id").sortWithinPartitions("device_id", "ts_ms", "event_id")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("device_id", "ts_ms", "accuracy")), strict=True)
-            yield b.filter(pa.array(fold(rows, improve_only, state), pa.bool_()))
-
-    return dealt.mapInArrow(run, dealt.schema)
+    dealt = ordered_chunks(sound_fixes(fixes), "device_id", "ts_ms", "event_id", chunks=chunks)
+    schema = sound_fixes(fixes).schema
+    at = (schema.names.index("ts_ms"), schema.names.index("accuracy"))
+    make = lambda state: KeepFold(state, at, improve_only)
+    return fold_chunks(dealt, "device_id", ["ts_ms", "event_id"], make, schema, [], lambda first, before: None)
 
 
 def changes_only(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
