@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import geo, text
 from roadloom.functions.requests import choose_start, routable_requests, settled_only
 from roadloom.jobs import routing
-from roadloom.operators import graph, polyline, report, search, snap, tracking, validate
+from roadloom.operators import graph, polyline, report, search, sessions, snap, tracking, validate
 from roadloom.session import cut, shared_folder, table
 from roadloom.sources import fixtures as fx
 from roadloom.sources.graph_file import load_graph_tables, read_graph_file, write_graph_tables
@@ -458,6 +458,30 @@ def latest_request(spark: SparkSession, sf: str) -> DataFrame:
     return tracking.latest_request(live).select("session_id", "event_id", "ts_ms")
 
 
+@query(
+    "t4_p7_p9_session_requests",
+    fx.with_tables("size", "nodes", "fixes", "kept", "session_log", recursive=True)
+    + """, seen AS (
+  SELECT *, list(point) FILTER (kind = 'start') OVER w AS starts, list(point) FILTER (kind = 'end') OVER w AS ends, list(point) FILTER (kind = 'gps') OVER w AS places,
+    coalesce(last_value(CASE WHEN kind = 'follow' THEN flag END IGNORE NULLS) OVER w, TRUE) AS follow_gps,
+    coalesce(last_value(CASE WHEN kind = 'drag' THEN flag END IGNORE NULLS) OVER w, FALSE) AS dragging,
+    count(*) FILTER (kind <> 'gps') OVER w AS own
+  FROM log WINDOW w AS (PARTITION BY session_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING)),
+chosen AS (
+  SELECT session_id, device_id, ts_ms, event_id, ends[-1] AS e,
+    CASE WHEN follow_gps THEN coalesce(places[-1], starts[-1]) ELSE coalesce(starts[-1], places[-1]) END AS s
+  FROM seen WHERE own > 0 AND NOT dragging),
+asked AS (SELECT session_id, device_id, ts_ms, event_id, CASE WHEN s IS NOT NULL AND e IS NOT NULL THEN {'s': s, 'e': e} END AS a FROM chosen),
+b AS (SELECT *, lag(a) OVER (PARTITION BY session_id ORDER BY ts_ms, event_id) AS a0 FROM asked)
+SELECT session_id, device_id, ts_ms, event_id, a.s.lat_e7 AS start_lat, a.s.lon_e7 AS start_lon, a.e.lat_e7 AS end_lat, a.e.lon_e7 AS end_lon
+FROM b WHERE a IS DISTINCT FROM a0""",
+)
+def session_requests(spark: SparkSession, sf: str) -> DataFrame:
+    asked = sessions.session_requests(sessions.event_log(*fx.session_log(spark, sf)))
+    ends = [F.col(f"{e}.{c}_e7").alias(f"{e}_{c}") for e in ("start", "end") for c in ("lat", "lon")]
+    return asked.select("session_id", "device_id", "ts_ms", "event_id", *ends)
+
+
 def _level_tables() -> str:
     """The rule level by level: each fold carries the last point kept, over the points that the finer levels left."""
     out = ["""ends AS (SELECT *, (lon + 180) / 360 * 256 AS x, (0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 AS y,

@@ -258,6 +258,26 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def session_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The fixes of ``gps_fixes`` and changes of two sessions a device, as ``sessions.event_log`` takes them; ids are unique over both."""
+    n = node_count(spark, sf_dir)
+    fixes = gps_fixes(spark, sf_dir)
+    event, kind = F.col("event_id"), F.col("event_id") % 7
+    node = F.when(kind == 1, event % n).when(kind == 2, (event * 31 + 7) % n)
+    changes = fixes.where(kind.between(1, 5)).select(
+        (event * 2 + 1).alias("event_id"),
+        "device_id",
+        (F.col("device_id") * 2 + F.floor(event / 7) % 2).alias("session_id"),
+        "ts_ms",
+        F.element_at(F.array(*(F.lit(k) for k in ("start", "end", "follow", "drag", "gps_off"))), kind.cast("int")).alias("kind"),
+        F.lit(None).cast("double").alias("accuracy"),
+        (F.floor(event / 14) % 3 == 0).alias("flag"),
+        F.when(F.floor(event / 7) % 5 != 3, node).alias("node_id"),
+    )
+    at = nodes(spark, sf_dir).select("node_id", "lat_e7", "lon_e7")
+    return fixes.withColumn("event_id", event * 2), changes.join(at, "node_id", "left").drop("node_id")
+
+
 def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey").cast("bigint")
     zooms = F.array(*(F.lit(z) for z in (4, 8, 12, 14, 16)))
@@ -427,6 +447,21 @@ kept AS (SELECT n.* EXCLUDE (rn) FROM numbered n JOIN folded f USING (event_id)
     CASE WHEN event_type <> 'error' THEN {'lat_e7': CAST(floor(lat * 1e7 + 0.5) AS INTEGER), 'lon_e7': CAST(floor(lon * 1e7 + 0.5) AS INTEGER)} END AS gps
   FROM (SELECT fixes.*, event_id % n AS s_id, (event_id * 31 + 7) % n AS t_id FROM fixes, size) f
     JOIN events e ON e.event_id = f.event_id JOIN nodes s ON s.node_id = s_id JOIN nodes t ON t.node_id = t_id)""",
+    "session_log": """changes AS (
+  SELECT event_id * 2 + 1 AS event_id, device_id, device_id * 2 + event_id // 7 % 2 AS session_id, ts_ms,
+    ['start', 'end', 'follow', 'drag', 'gps_off'][event_id % 7] AS kind, event_id // 14 % 3 = 0 AS flag,
+    CASE WHEN event_id // 7 % 5 <> 3 AND event_id % 7 <= 2 THEN {'lat_e7': lat_e7, 'lon_e7': lon_e7} END AS point
+  FROM (SELECT *, CASE event_id % 7 WHEN 1 THEN event_id % n ELSE (event_id * 31 + 7) % n END AS node_id FROM fixes, size WHERE event_id % 7 BETWEEN 1 AND 5)
+    JOIN nodes USING (node_id)),
+timeline AS (
+  SELECT event_id * 2 AS event_id, device_id, ts_ms, TRUE AS moves,
+    {'lat_e7': CAST(floor(lat * 1e7 + 0.5) AS INTEGER), 'lon_e7': CAST(floor(lon * 1e7 + 0.5) AS INTEGER)} AS point FROM kept
+  UNION ALL SELECT event_id, device_id, ts_ms, TRUE, NULL FROM changes WHERE kind = 'gps_off'),
+log AS (
+  SELECT session_id, device_id, ts_ms, event_id, kind, flag, point FROM changes WHERE kind <> 'gps_off'
+  UNION ALL
+  SELECT session_id, t.device_id, ts_ms, event_id, 'gps', NULL, point
+  FROM timeline t JOIN (SELECT DISTINCT session_id, device_id FROM changes WHERE kind <> 'gps_off') s ON s.device_id = t.device_id)""",
     "runs": """runs AS (
   SELECT CAST(o_orderkey AS BIGINT) * 10 // 61 AS route, CAST(o_orderkey AS BIGINT) AS run, CAST(o_orderkey AS BIGINT) * 31 % 500 AS ms FROM orders)""",
 }
