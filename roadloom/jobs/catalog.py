@@ -261,12 +261,7 @@ def meeting_paths(spark: SparkSession, sf: str) -> DataFrame:
 @query("g4_general_graph")
 def general_graph(spark: SparkSession, sf: str) -> DataFrame:
     requests, edges = fx.route_requests(spark, sf), cut(fx.general_edges(spark, sf))
-    return graph.path_length(requests, graph.shortest_paths(requests, _no_cones(edges), edges))
-
-
-def _no_cones(edges: DataFrame) -> DataFrame:
-    """Where every node is core."""
-    return edges.where("FALSE").select(F.col("edge_id").alias("request_id"), "src", "dst", "dist", "edge_id")
+    return graph.path_length(requests, graph.shortest_paths(requests, None, edges))
 
 
 @query(
@@ -283,7 +278,7 @@ FROM placed""",
 )
 def tied_paths(spark: SparkSession, sf: str) -> DataFrame:
     requests, edges = fx.grid_requests(spark, sf), cut(fx.grid_edges(spark, sf))
-    labels = cut(graph.shortest_paths(requests, _no_cones(edges), edges))
+    labels = cut(graph.shortest_paths(requests, None, edges))
     dist = labels.select("request_id", F.col("node").alias("node_id"), "dist")
     return graph.backtrack(requests, labels).join(dist, ["request_id", "node_id"]).select("request_id", "seq", "node_id", "dist", "edge_id")
 

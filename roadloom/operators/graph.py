@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from roadloom.session import cut
 
 CORE_LIMIT = 200_000
+#: Rounds of halving between two cuts of the lineage.
+ROUNDS_A_CUT = 3
 
 
 def edge_endpoints(edges: DataFrame) -> DataFrame:
@@ -97,96 +99,108 @@ def by_source(edges: Iterable[tuple[int, int, int, int]]) -> dict[int, list[tupl
     return out
 
 
-def search_path(start: int, dest: int, own: dict[int, list[tuple]], core: dict[int, list[tuple]]) -> list[tuple]:
+def search_path(start: int, dest: int, *graphs: dict[int, list[tuple]]) -> list[tuple]:
     """Labels ``(node, dist, pred_edge, pred_node)`` of the nodes on the shortest path, from the destination back; none without a path.
 
-    ``own`` and ``core`` hold ``(dst, dist, edge_id)`` by source. Of equal distances the smaller last edge counts.
+    ``graphs`` hold ``(dst, dist, edge_id)`` by source. Of equal distances the one with fewer edges of weight 0 at its end counts, and of
+    those the smaller last edge: distance and such edges grow along every edge, so the rule is sure for all weights.
     """
-    best: dict[int, tuple] = {start: (0, None, None)}
-    heap, done = [(0, start)], set()
+    best: dict[int, tuple] = {start: (0, 0, -1, None)}
+    heap, done = [(0, 0, start)], set()
     while heap:
-        dist, node = heappop(heap)
+        dist, still, node = heappop(heap)
         if node in done:
             continue
         done.add(node)
         if node == dest:
             break
-        for edges in (own.get(node, ()), core.get(node, ())):
+        for edges in (g.get(node, ()) for g in graphs):
             for far, w, edge in edges:
-                old, there = best.get(far), dist + w
-                if old is None or there < old[0]:
-                    best[far] = (there, edge, node)
-                    heappush(heap, (there, far))
-                elif there == old[0] and w > 0 and edge < old[1]:
-                    best[far] = (there, edge, node)
+                there, run = dist + w, 0 if w else still + 1
+                old = best.get(far)
+                if old is None or (there, run) < old[:2]:
+                    best[far] = (there, run, edge, node)
+                    heappush(heap, (there, run, far))
+                elif there == old[0] and run == old[1] and edge < old[2]:
+                    best[far] = (there, run, edge, node)
     path, at = [], dest if dest in done else None
     while at is not None:
-        path.append((at, *best[at]))
-        at = best[at][2]
+        dist, _, edge, before = best[at]
+        path.append((at, dist, None if before is None else edge, before))
+        at = before
     return path
 
 
-def shortest_paths(requests: DataFrame, cones: DataFrame, core: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
-    """``(request_id, node, dist, pred_edge, pred_node)``: labels of the nodes on the way of each request.
+def shortest_paths(requests: DataFrame, cones: DataFrame | None, core: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
+    """``(request_id, node, dist, pred_edge, pred_node, seq)``: labels of the nodes on the way of each request, ``seq`` from the start on.
 
-    Of equal distances the smaller last edge counts, so a path is the same whatever the order of rows
-    (edges of weight 0 aside, among which only distances are sure). A request's cones are small, so each
-    request is searched by itself, over them and the core, which every task holds if it
-    has up to ``core_limit`` edges. A larger core is not sent: ``shortest_paths_by_rounds`` gives the same paths.
+    A path is the same whatever the order of rows (``search_path``'s rule). The ``cones`` of ``cones()`` are small, so each is one list,
+    which a request gets for its start and for its destination; each request is searched by itself, over them and the core, which every task
+    holds if it has up to ``core_limit`` edges. A larger core is not sent: ``shortest_paths_by_rounds`` gives the same paths.
     """
     edge = ["src", "dst", "dist", "edge_id"]
+    of = lambda direction: cones.where(F.col("direction") == direction)
     if core.limit(core_limit + 1).count() > core_limit:
-        return shortest_paths_by_rounds(requests, cones, core)
+        return shortest_paths_by_rounds(requests, None if cones is None else search_graph(requests, of("out"), of("in")), core)
     held = core.select(*(F.col(c).cast("bigint").alias(c) for c in edge)).toArrow()
     shared = requests.sparkSession.sparkContext.broadcast(Core(*(held.column(c).to_numpy() for c in edge)))
-    names, schema = ["request_id", "node", "dist", "pred_edge", "pred_node"], "request_id bigint, node bigint, dist bigint, pred_edge bigint, pred_node bigint"
+    names = ["request_id", "node", "dist", "pred_edge", "pred_node", "seq"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = shared.value.by_source
+        # rows with the same destination follow on each other
+        last, down = None, {}
         for batch in batches:
             rows = []
-            for number, start, dest, *own in zip(*(batch.column(c).to_pylist() for c in ("request_id", "start_node", "dest_node", *edge)), strict=True):
-                near = by_source(zip(*own, strict=True)) if own[0] else {}
-                rows += [(number, *label) for label in search_path(start, dest, near, around)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names)
-
-    own = cones.groupBy(F.col("request_id").alias("own_id")).agg(F.collect_list(F.struct(*edge)).alias("own"))
-    asked = requests.select("request_id", "start_node", "dest_node").join(own, F.col("request_id") == F.col("own_id"), "left")
-    return asked.select("request_id", "start_node", "dest_node", *(F.col(f"own.{c}").alias(c) for c in edge)).mapInArrow(run, schema)
+            for number, start, dest, *own in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                up = by_source(zip(*own[:4], strict=True)) if own and own[0] else {}
+                if own and dest != last:
+                    last, down = dest, by_source(zip(*own[4:], strict=True)) if own[4] else {}
+                path = search_path(start, dest, up, down, around)
+                rows += [(number, *label, len(path) - 1 - i) for i, label in enumerate(path)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
+
+    asked = requests.select("request_id", "start_node", "dest_node")
+    lists: list = []
+    if cones is not None:
+        for direction, end in (("out", "start_node"), ("in", "dest_node")):
+            own = of(direction).groupBy(F.col("root").alias(end)).agg(F.collect_list(F.struct(*edge)).alias(direction))
+            asked = asked.join(own, end, "left")
+            lists += [F.col(f"{direction}.{c}").alias(f"{direction}_{c}") for c in edge]
+    return asked.select("request_id", "start_node", "dest_node", *lists).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def shortest_paths_by_rounds(requests: DataFrame, cones: DataFrame | None, core: DataFrame) -> DataFrame:
-    """The same paths by joins, for graphs whose core is too large to send, among more labels.
+    """The same paths by joins, for graphs whose core is too large to send, among more labels; without ``seq``.
 
-    Rounds of relaxation over each request's cone edges and the core. Of equal
-    distances the smaller last edge stays, so results don't depend on order. Labels not
-    shorter than the destination's are no longer extended; weights aren't negative.
+    Rounds of relaxation over each request's cone edges (``search_graph``) and the core. Of equal distances the label of ``search_path``'s rule
+    stays, so results don't depend on order. Labels not before the destination's are no longer extended; weights aren't negative.
     Ends when no label improves. A start that is its destination has distance 0.
     """
-    label = ["request_id", "node", "dist", "pred_edge", "pred_node"]
-    none = F.lit(None).cast("bigint")
-    start = requests.select("request_id", F.col("start_node").alias("node"), F.lit(0).cast("bigint").alias("dist"), none.alias("pred_edge"), none.alias("pred_node"))
+    label = ["request_id", "node", "dist", "still", "pred_edge", "pred_node"]
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    start = requests.select("request_id", F.col("start_node").alias("node"), zero.alias("dist"), zero.alias("still"), none.alias("pred_edge"), none.alias("pred_node"))
     dest = requests.select("request_id", F.col("dest_node").alias("node"))
     core = core.select("src", "dst", F.col("dist").alias("w"), "edge_id")
     own = None if cones is None else cones.select("request_id", "src", "dst", F.col("dist").alias("w"), "edge_id")
     best = cut(start)
     frontier = best.withColumn("nearer", F.lit(True))
     while True:
-        goal = best.join(dest, ["request_id", "node"], "left_semi").select("request_id", F.col("dist").alias("goal"))
-        live = frontier.where("nearer").join(goal, "request_id", "left").where("goal IS NULL OR dist < goal").drop("goal")
-        live = live.select("request_id", F.col("node").alias("src"), "dist")
+        goal = best.join(dest, ["request_id", "node"], "left_semi").select("request_id", F.struct("dist", "still").alias("goal"))
+        live = frontier.where("nearer").join(goal, "request_id", "left").where("goal IS NULL OR struct(dist, still) < goal").drop("goal")
+        live = live.select("request_id", F.col("node").alias("src"), "dist", "still")
         found = live.join(core, "src")
         if own is not None:
             found = found.unionByName(live.join(own, ["request_id", "src"]).select(found.columns))
-        step = F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("edge_id").alias("pred_edge"), F.col("src").alias("pred_node"), "w")
-        new = found.groupBy("request_id", F.col("dst").alias("node")).agg(F.min(step).alias("s"))
-        new = new.select("request_id", "node", "s.dist", "s.pred_edge", "s.pred_node", "s.w")
-        old = best.select("request_id", "node", F.col("dist").alias("old"), F.col("pred_edge").alias("old_edge"))
-        nearer = F.expr("old IS NULL OR dist < old")
-        changed = new.join(old, ["request_id", "node"], "left").where(nearer | F.expr("dist = old AND w > 0 AND pred_edge < old_edge"))
+        still = F.when(F.col("w") > 0, 0).otherwise(F.col("still") + 1)
+        step = F.struct((F.col("dist") + F.col("w")).alias("dist"), still.alias("still"), F.col("edge_id").alias("pred_edge"), F.col("src").alias("pred_node"))
+        new = found.groupBy("request_id", F.col("dst").alias("node")).agg(F.min(step).alias("s")).select("request_id", "node", "s.*")
+        old = best.select("request_id", "node", F.struct("dist", "still").alias("old"), F.col("pred_edge").alias("old_edge"))
+        nearer = F.expr("old IS NULL OR struct(dist, still) < old")
+        changed = new.join(old, ["request_id", "node"], "left").where(nearer | F.expr("struct(dist, still) = old AND pred_edge < old_edge"))
         frontier = cut(changed.select(*label, nearer.alias("nearer")))
         if frontier.isEmpty():
-            return best
+            return best.drop("still")
         best = cut(best.join(frontier, ["request_id", "node"], "left_anti").unionByName(frontier.select(label)))
 
 
@@ -199,9 +213,11 @@ def path_length(requests: DataFrame, labels: DataFrame) -> DataFrame:
 def backtrack(requests: DataFrame, labels: DataFrame) -> DataFrame:
     """``(request_id, seq, node_id, edge_id)``: nodes from start (0) to destination, with the edge that leads to each.
 
-    Predecessor links double each round: after r rounds a node knows the node
+    Labels that have ``seq`` are the path itself. Otherwise predecessor links double each round: after r rounds a node knows the node
     2^r before it, so a path of n edges takes about log2(n) joins, not n.
     """
+    if "seq" in labels.columns:
+        return labels.select("request_id", "seq", F.col("node").alias("node_id"), F.col("pred_edge").alias("edge_id"))
     dest = requests.select("request_id", F.col("dest_node").alias("node"))
     links = labels.select("request_id", "node", F.col("pred_node").alias("far"), F.when(F.col("pred_node").isNull(), 0).otherwise(1).cast("bigint").alias("steps"))
     on_path = labels.join(dest, ["request_id", "node"], "left_semi").select("request_id", "node")
@@ -236,20 +252,23 @@ def leaves_of(edge_ids: DataFrame, details: DataFrame) -> DataFrame:
     Each round halves what is still a shortcut; the key grows by 0 or 1, and
     keys sort as the road runs. Shared shortcuts are expanded once for all paths.
     """
-    known = details.select(F.col("edge_id").alias("part"), "euclid", "shortcut1", "shortcut2", "shortcut_node")
-    todo = edge_ids.select("edge_id").distinct().select("edge_id", F.col("edge_id").alias("part"), F.array().cast("array<int>").alias("key"))
+    half = lambda n, part: F.struct(F.lit([n] if n is not None else []).cast("array<int>").alias("half"), F.col(part).alias("part"))
+    halves = F.when(F.col("shortcut_node") == -1, F.array(half(None, "edge_id"))).otherwise(F.array(half(0, "shortcut1"), half(1, "shortcut2")))
+    known = details.select(F.col("edge_id").alias("part"), "euclid", (F.col("shortcut_node") == -1).alias("leaf"), halves.alias("halves"))
+    open_ = edge_ids.select("edge_id").distinct().select("edge_id", F.col("edge_id").alias("part"), F.array().cast("array<int>").alias("key"))
     done = None
     while True:
-        step = cut(todo.join(known, "part"))
-        own = step.where("shortcut_node = -1").select("edge_id", "key", F.col("part").alias("leaf"), "euclid")
+        for _ in range(ROUNDS_A_CUT):
+            # a road edge stays what it is
+            step = open_.join(known, "part").select("edge_id", "key", "euclid", "leaf", F.explode("halves").alias("h"))
+            last = step.select("edge_id", F.col("h.part").alias("part"), F.concat("key", "h.half").alias("key"), "euclid", "leaf")
+            open_ = last.select("edge_id", "part", "key")
+        last = cut(last)
+        own = last.where("leaf").select("edge_id", "key", F.col("part").alias("leaf"), "euclid")
         done = own if done is None else done.unionByName(own)
-        halves = F.posexplode(F.array("shortcut1", "shortcut2")).alias("half", "part")
-        open_ = step.where("shortcut_node <> -1")
+        open_ = last.where("NOT leaf").select("edge_id", "part", "key")
         if open_.isEmpty():
             break
-        todo = open_.select("edge_id", "key", halves).select(
-            "edge_id", "part", F.concat("key", F.array(F.col("half").cast("int"))).alias("key")
-        )
     at = F.row_number().over(Window.partitionBy("edge_id").orderBy("key"))
     return done.select("edge_id", at.alias("at"), "leaf", "euclid")
 

@@ -40,6 +40,25 @@ def _snap(spark, points, nodes):
     return {r.point_id: (r.dist2, r.node_id) for r in got.collect()}
 
 
+def test_a_dense_town_adds_levels_nowhere_else(spark):
+    """A few nodes far apart and a town of many: the tree is deep in the town only, and results stay exact."""
+    r = random.Random(17)
+    wide = [(i, r.randrange(-(10**9), 10**9), r.randrange(-(10**9), 10**9)) for i in range(200)]
+    town = [(1000 + i, 480_000_000 + r.randrange(3000), 90_000_000 + r.randrange(3000)) for i in range(1500)]
+    nodes = wide + town + [(5000 + i, 480_000_000, 90_000_000) for i in range(40)]
+    df = spark.createDataFrame(nodes, "node_id long, lat_e7 int, lon_e7 int")
+    at = df.groupBy((F.col("lon_e7").cast("long") + snap._OFFSET).alias("x"), (F.col("lat_e7").cast("long") + snap._OFFSET).alias("y")).agg(F.min("node_id").alias("node_id"))
+    levels, leaves = snap.quadtree(at, limit=8)
+    held = [(x["bits"], len(x["held"]), [n["node_id"] for n in x["held"]]) for x in leaves.collect()]
+    assert max(n for _, n, _ in held) <= 8 and sum(n for _, n, _ in held) == len({x[1:] for x in nodes})
+    deep = min(bits for bits, _, _ in levels)
+    far = [bits for bits, _, ids in held if max(ids) < 1000]
+    assert deep <= 12 and min(far) >= 26 and len(levels) >= 8
+    points = [(i, r.randrange(-(10**9), 10**9), r.randrange(-(10**9), 10**9)) for i in range(60)] + [(100 + i, 480_000_000 + r.randrange(-500, 4000), 90_000_000 + r.randrange(-500, 4000)) for i in range(60)]
+    got = {x.point_id: (x.dist2, x.node_id) for x in snap.snap_points(spark.createDataFrame(points, "point_id long, lat_e7 int, lon_e7 int"), df, limit=8).collect()}
+    assert got == {p: min(((a - b) ** 2 + (c - d) ** 2, n) for n, b, d in nodes) for p, a, c in points}
+
+
 def test_snap_is_exact(spark):
     r = random.Random(3)
     nodes = [(i, r.randrange(-50, 1050), r.randrange(-50, 1050)) for i in range(30)] + [(90, 500, 500), (91, 500, 500)]
@@ -64,7 +83,7 @@ def test_paths_by_both_methods(spark):
             for b in range(12):
                 dist[a][b] = min(dist[a][b], dist[a][k] + dist[k][b])
     want = {q: dist[s][t] for q, s, t in [(i, i, (i * 5 + 3) % 12) for i in range(12)] + [(50, 4, 4)] if dist[s][t] < math.inf}
-    none = graph.search_graph(requests, graph.up_cone(requests.select(F.col("start_node").alias("root")), edges, nodes), graph.down_cone(requests.select(F.col("dest_node").alias("root")), edges, nodes))
+    none = graph.cones(requests.select(F.col("start_node").alias("root")), requests.select(F.col("dest_node").alias("root")), edges, nodes)
     assert none.count() == 0
     for labels in (graph.shortest_paths(requests, none, edges), graph.shortest_paths(requests, none, edges, core_limit=3)):
         assert {r.request_id: r.dist for r in graph.path_length(requests, labels).collect()} == want
