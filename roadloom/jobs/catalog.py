@@ -343,6 +343,48 @@ def validate_broken(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validate_graph(fx.nodes(spark, sf), fx.general_edges(spark, sf), none)
 
 
+@query(
+    "g8_every_rule",
+    fx.with_tables("size", "nodes", "road", "hierarchy", "edges", "details", "broken_graph")
+    + """, chain AS (
+  SELECT d.*, o.src AS s, o.dst AS t, o.dist, a.src AS s1, a.dst AS t1, a.dist AS w1, b.src AS s2, b.dst AS t2, b.dist AS w2
+  FROM bad_details d JOIN bad_edges o ON o.edge_id = d.edge_id LEFT JOIN bad_edges a ON a.edge_id = shortcut1 LEFT JOIN bad_edges b ON b.edge_id = shortcut2
+  WHERE shortcut_node <> -1)
+SELECT 'core_in_list' AS rule, edge_id AS id FROM bad_edges WHERE direction = 'in' AND owner IN (SELECT node_id FROM nodes WHERE is_core)
+UNION ALL SELECT 'src_missing', edge_id FROM bad_edges WHERE src NOT IN (SELECT node_id FROM nodes)
+UNION ALL SELECT 'dst_missing', edge_id FROM bad_edges WHERE dst NOT IN (SELECT node_id FROM nodes)
+UNION ALL SELECT 'details_missing', edge_id FROM bad_edges WHERE edge_id NOT IN (SELECT edge_id FROM bad_details)
+UNION ALL SELECT 'edge_twice', edge_id FROM bad_edges GROUP BY edge_id HAVING count(*) > 1
+UNION ALL SELECT 'negative_length', edge_id FROM bad_edges WHERE dist < 0
+UNION ALL SELECT 'half_missing', edge_id FROM chain WHERE s1 IS NULL OR s2 IS NULL
+UNION ALL SELECT 'halves_apart', edge_id FROM chain WHERE s1 <> s OR t1 <> shortcut_node OR s2 <> shortcut_node OR t2 <> t
+UNION ALL SELECT 'halves_length', edge_id FROM chain WHERE w1 + w2 <> dist
+UNION ALL SELECT 'edge_number', edge_id FROM bad_edges WHERE edge_id >= (SELECT count(*) FROM bad_edges)
+UNION ALL SELECT 'block_number', node_id FROM nodes WHERE node_id // 1024 >= 1
+UNION ALL SELECT 'slot_number', node_id FROM nodes WHERE node_id % 1024 >= 100""",
+)
+def every_rule(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.validate_graph(fx.nodes(spark, sf), *(cut(df) for df in fx.broken_graph(spark, sf)), block_size=100, block_count=1)
+
+
+@query(
+    "g8_block_chains",
+    fx.with_tables("size", "block_chains", recursive=True)
+    + """, links AS (SELECT block, next_block FROM blocks WHERE next_block BETWEEN 0 AND n - 1),
+walk AS (SELECT block AS head, next_block AS block FROM links UNION SELECT head, next_block FROM walk JOIN links USING (block)),
+chains AS (SELECT head, block FROM walk, (SELECT any_value(cells) AS cells FROM blocks) WHERE head < cells UNION SELECT block, block FROM blocks WHERE block < cells)
+SELECT 'next_block' AS rule, block AS id FROM blocks WHERE next_block < -1 OR next_block >= n
+UNION ALL SELECT 'node_count', block FROM blocks WHERE held > 2
+UNION ALL SELECT 'block_cycle', block FROM walk WHERE head = block
+UNION ALL SELECT 'block_shared', next_block FROM links, (SELECT any_value(cells) AS cells FROM blocks) GROUP BY next_block, cells HAVING count(*) > 1 OR next_block < cells
+UNION ALL SELECT 'block_unreachable', block FROM blocks WHERE block NOT IN (SELECT block FROM chains)
+UNION ALL SELECT DISTINCT 'cell_mixed', head FROM chains JOIN blocks USING (block) WHERE cell_id <> head""",
+)
+def block_chains(spark: SparkSession, sf: str) -> DataFrame:
+    blocks, nodes, cells, count = fx.block_chains(spark, sf)
+    return validate.validate_chains(blocks, nodes, cells, count, 2)
+
+
 @query(
     "s2_graph_tables",
     fx.with_tables("size", "road", "hierarchy", "edges") + "SELECT * FROM edges",
@@ -363,6 +405,18 @@ def graph_file(spark: SparkSession, sf: str) -> DataFrame:
     return read_graph_file(spark, path)[2]
 
 
+@query(
+    "s1_graph_file_nodes",
+    fx.with_tables("size", "nodes")
+    + """, low AS (SELECT *, 1 << top AS step, n - 1 - (n - 1) // (1 << top) AS below FROM size)
+SELECT CASE WHEN is_core THEN (below + 1023) // 1024 * 1024 + node_id // step ELSE node_id - node_id // step - 1 END AS node_id, lon_e7, lat_e7, cell_id, is_core FROM nodes, low""",
+)
+def graph_file_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/{uuid4().hex}.graph"
+    fx.write_graph_file(spark, sf, path)
+    return read_graph_file(spark, path)[1].select("node_id", "lon_e7", "lat_e7", "cell_id", "is_core")
+
+
 @query(
     "g8_validate_ranges",
     """WITH r AS (SELECT CAST(o_orderkey AS BIGINT) AS owner, o_orderkey * 2 AS a, o_orderkey * 2 + o_orderkey % 3 - 1 AS b, o_orderkey * 2 + 2 + (o_orderkey % 5 = 4)::INT AS e FROM orders)

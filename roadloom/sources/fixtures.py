@@ -320,6 +320,43 @@ def numbered_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return at, own.withColumn("edge_id", (F.row_number().over(order) - 1).cast("bigint")), core_block
 
 
+def block_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """``(blocks, nodes, cells, block_count)``: a block for each customer in chains of four, some of them broken in each way."""
+    n = node_count(spark, sf_dir)
+    cells, b = n // 4, F.col("c_custkey").cast("bigint")
+    after = F.when(b % 97 == 5, b).when(b % 101 == 7, n + b).when((b % 113 == 11) & (b >= cells), b - cells)
+    after = after.when((b % 89 == 3) & (b + cells + 1 < n), b + cells + 1).when(b + cells < n, b + cells).otherwise(-1)
+    count = F.when(b % 107 == 2, 3).otherwise(2).cast("bigint")
+    blocks = table(spark, sf_dir, "customer").select(b.alias("block"), after.alias("next_block"), count.alias("count"))
+    cell = F.when(F.col("block") % 103 == 9, (F.col("block") + 1) % cells).otherwise(F.col("block") % cells)
+    nodes = blocks.select(F.explode(F.array(F.col("block") * BLOCK, F.col("block") * BLOCK + 1)).alias("node_id"), cell.alias("cell_id"))
+    return blocks, nodes, cells, n
+
+
+def broken_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and details of the hierarchy, with some that break each rule of a graph's tables."""
+    n, e = node_count(spark, sf_dir), F.col("edge_id")
+    own = edges(spark, sf_dir)
+    own = own.select(
+        "edge_id",
+        "owner",
+        F.when(e % 3 == 1, "in").otherwise(F.col("direction")).alias("direction"),
+        F.when(e % 61 == 3, F.col("src") + n).otherwise(F.col("src")).alias("src"),
+        F.when(e % 59 == 2, F.col("dst") + n).otherwise(F.col("dst")).alias("dst"),
+        F.when(e % 53 == 1, -F.col("dist")).otherwise(F.col("dist")).alias("dist"),
+    )
+    details = edge_details(spark, sf_dir).where(e % 83 != 8)
+    short = F.col("shortcut_node") != -1
+    details = details.select(
+        "edge_id",
+        "euclid",
+        F.when(short & (e % 73 == 6), -7).otherwise(F.col("shortcut1")).alias("shortcut1"),
+        "shortcut2",
+        F.when(short & (e % 79 == 7), F.col("shortcut_node") + 1).otherwise(F.col("shortcut_node")).alias("shortcut_node"),
+    )
+    return own.unionByName(own.where(e % 71 == 5)), details
+
+
 def write_graph_file(spark: SparkSession, sf_dir: str, path: str) -> None:
     """The numbered graph as one small file, put together on the driver: input for the reader's query and tests."""
     at, own, core_block = numbered_graph(spark, sf_dir)
@@ -376,6 +413,24 @@ hierarchy AS (
     SELECT *, CASE WHEN k = top THEN src WHEN a % (2 << k) <> 0 THEN a ELSE b END AS owner FROM (
       SELECT (k * 1048576 + a) * 2 + d AS edge_id, k, top, a, b, CASE d WHEN 0 THEN a ELSE b END AS src,
         CASE d WHEN 0 THEN b ELSE a END AS dst, CASE d WHEN 0 THEN d0 ELSE d1 END AS dist FROM hierarchy)))""",
+    "details": """details AS (
+  SELECT edge_id, euclid, CASE WHEN k = 0 THEN -1 WHEN d = 0 THEN h0 ELSE h1 END AS shortcut1, CASE WHEN k = 0 THEN -1 WHEN d = 0 THEN h1 ELSE h0 END AS shortcut2,
+    CASE WHEN k = 0 THEN -1 ELSE mid END AS shortcut_node
+  FROM (SELECT *, (k * 1048576 + a) * 2 + d AS edge_id, ((k - 1) * 1048576 + a) * 2 + d AS h0, ((k - 1) * 1048576 + mid) * 2 + d AS h1
+    FROM (SELECT *, a + (1 << k) // 2 AS mid FROM hierarchy)))""",
+    "broken_graph": """once AS (
+  SELECT edge_id, owner, CASE WHEN edge_id % 3 = 1 THEN 'in' ELSE direction END AS direction, CASE WHEN edge_id % 61 = 3 THEN src + n ELSE src END AS src,
+    CASE WHEN edge_id % 59 = 2 THEN dst + n ELSE dst END AS dst, CASE WHEN edge_id % 53 = 1 THEN -dist ELSE dist END AS dist FROM edges, size),
+bad_edges AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE edge_id % 71 = 5),
+bad_details AS (
+  SELECT edge_id, CASE WHEN shortcut_node <> -1 AND edge_id % 73 = 6 THEN -7 ELSE shortcut1 END AS shortcut1, shortcut2,
+    CASE WHEN shortcut_node <> -1 AND edge_id % 79 = 7 THEN shortcut_node + 1 ELSE shortcut_node END AS shortcut_node
+  FROM details WHERE edge_id % 83 <> 8)""",
+    "block_chains": """blocks AS (
+  SELECT b AS block, CASE WHEN b % 97 = 5 THEN b WHEN b % 101 = 7 THEN n + b WHEN b % 113 = 11 AND b >= cells THEN b - cells
+      WHEN b % 89 = 3 AND b + cells + 1 < n THEN b + cells + 1 WHEN b + cells < n THEN b + cells ELSE -1 END AS next_block,
+    CASE WHEN b % 107 = 2 THEN 3 ELSE 2 END AS held, CASE WHEN b % 103 = 9 THEN (b + 1) % cells ELSE b % cells END AS cell_id, n, cells
+  FROM (SELECT CAST(c_custkey AS BIGINT) AS b, n, n // 4 AS cells FROM customer, size))""",
     "requests": """requests AS (
   SELECT request_id, start_node, CASE WHEN request_id % 1000 = 0 THEN (request_id * 7919 + 13) % n
       WHEN (request_id % 2 = 1 AND start_node + off < n) OR start_node < off THEN start_node + off ELSE start_node - off END AS dest_node

@@ -152,6 +152,18 @@ def read_graph_file(spark: SparkSession, path: str) -> tuple[GraphMeta, DataFram
     return meta, nodes, edges, details
 
 
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """``(block, next_block, count)``: the header of each block of a graph file, as it stands; -1 ends a chain."""
+    meta = read_meta(path)
+    at, size = meta.offsets[0], meta.block_bytes
+
+    def heads(first: int, end: int) -> pd.DataFrame:
+        words = np.frombuffer(_read(path, at + first * size, (end - first) * size), dtype=">i4").reshape(end - first, -1)
+        return pd.DataFrame({"block": np.arange(first, end), "next_block": words[:, 0].astype(np.int64), "count": words[:, 1].astype(np.int64)})
+
+    return _mapped(_ranges(spark, meta.block_count, _BLOCKS_A_TASK), heads, "block bigint, next_block bigint, count bigint")
+
+
 def write_graph_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Writes nodes by cell, edges by owner and details by id, so that later joins read sorted files.
 
