@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,12 +25,18 @@ BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 2 << 20, 256 << 10, 512
 LEAST_BUCKETS, MOST_BUCKETS, BLOCKS_A_BUCKET = 64, 1024, 16
 #: Words after which a task starts its table of them anew.
 _WORDS = 500_000
+#: Ids that are decoded in one join.
+_TOKENS = 1 << 18
 
 
 def _bundles(docs: DataFrame, blocks: int) -> DataFrame:
-    """``(block, bundle)``: runs of documents, compressed together for the shuffle and dealt evenly to blocks."""
+    """``(block, bundle)``: runs of documents, compressed together for the shuffle and dealt evenly to blocks.
+
+    A run's block follows from its task and number, so equal runs go to different blocks.
+    """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
         for ids, texts in rows_of(batches, "doc_id", "text", size=BUNDLE_ROWS):
             block, bundle, at, size = [], [], 0, 0
             for i, text in enumerate(texts):
@@ -40,8 +47,8 @@ def _bundles(docs: DataFrame, blocks: int) -> DataFrame:
                     with pa.ipc.new_stream(out, run.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
                         w.write_batch(run)
                     bundle.append(out.getvalue().to_pybytes())
-                    block.append(xxhash.xxh64_intdigest(bundle[-1]) % blocks)
-                    at, size = i + 1, 0
+                    block.append(xxhash.xxh64_intdigest(f"{task}:{number}") % blocks)
+                    at, size, number = i + 1, 0, number + 1
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bundle, pa.binary())], ["block", "bundle"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -151,35 +158,45 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
 
 
 @cache
-def piece_table(path: str) -> pa.Array:
-    """The piece of every id, in order of ids."""
-    return pa.array(pieces_of(path), pa.binary())
+def piece_table(path: str) -> pa.Table:
+    """``(id, piece)`` of the vocabulary."""
+    pieces = pieces_of(path)
+    return pa.table({"id": pa.array(np.arange(len(pieces), dtype=np.uint32)), "piece": pa.array(pieces, pa.binary())})
+
+
+def _texts(ids: list[np.ndarray], path: str) -> list[str]:
+    """Texts of a few documents' ids: ``(position, id)`` joined to ``(id, piece)``, pieces put together in order of position."""
+    if not ids:
+        return []
+    numbers = np.concatenate(ids)
+    asked = pa.table({"position": pa.array(np.arange(len(numbers))), "id": pa.array(numbers)})
+    found = asked.join(piece_table(path), "id", join_type="inner", use_threads=False).sort_by("position")
+    ends = np.searchsorted(found.column("position").to_numpy(), np.cumsum([len(x) for x in ids])).tolist()
+    pieces = found.column("piece").combine_chunks()
+    return [_joint(pieces.slice(start, end - start)) for start, end in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``encoded`` with ``decoded``, the text of ``ids``; added tokens are spelt out.
 
-    Ids are joined to the id-to-piece table by position in it, a whole document at a
-    time; the table is as long as the vocabulary, so every worker holds it and the join needs no
-    shuffle. Ids without a piece give nothing; bytes that aren't UTF-8 give U+FFFD;
-    null ids give null. An input column named ``decoded`` is replaced.
+    Every id is joined to the id-to-piece table, about ``_TOKENS`` ids at a time; that table is as long as the vocabulary,
+    so every worker holds it and the join needs no shuffle. Ids without a piece give nothing; bytes that
+    aren't UTF-8 give U+FFFD; null ids give null. An input column named ``decoded`` is replaced.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(path)
-
-        def text(ids: pa.BinaryScalar) -> str | None:
-            if not ids.is_valid:
-                return None
-            numbers = np.frombuffer(ids.as_buffer(), "<u4")
-            if not len(numbers):
-                return ""
-            return _joint(pieces.take(pa.array(numbers[numbers < len(pieces)])))
-
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [text(ids) for ids in part.column("ids")]
+                texts: list[str | None] = [None] * part.num_rows
+                waiting: dict[int, np.ndarray] = {}
+                for i, ids in enumerate(part.column("ids")):
+                    if ids.is_valid:
+                        waiting[i] = np.frombuffer(ids.as_buffer(), "<u4")
+                    if waiting and (i == part.num_rows - 1 or sum(map(len, waiting.values())) >= _TOKENS):
+                        for k, text in zip(waiting, _texts(list(waiting.values()), path), strict=True):
+                            texts[k] = text
+                        waiting = {}
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")

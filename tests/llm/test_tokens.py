@@ -3,7 +3,9 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from roadloom.llm import bpe_words
 from roadloom.llm import tokens as K
 
 PIECES = ["<|endoftext|>", "  ", "'s", "'ll", " ", "\n", "\t", "\r", "a", "s", "D", "À", "é", "1", "²", "½", ".", ",", "!", "-", "中", "　", "\x85", "\xa0", "\x1c", "​", "😀", "<", "|", ">"]
@@ -26,3 +28,18 @@ def test_same_ids_and_text_as_the_library(text):
 def test_null_and_empty():
     assert K.text_ids(None, K.VOCABULARY).tolist() == K.text_ids("", K.VOCABULARY).tolist() == []
     assert K.text_ids("a", K.VOCABULARY).dtype == np.dtype("<u4")
+
+
+def test_equal_runs_of_documents_spread_over_blocks(spark):
+    docs = spark.range(60).select(F.lit(7).alias("doc_id"), F.repeat(F.lit("some words "), 30_000).alias("text")).repartition(4)
+    blocks = [r["count"] for r in bpe_words._bundles(docs, 10).groupBy("block").count().collect()]
+    assert sum(blocks) == 60 and len(blocks) >= 8 and max(blocks) < 20
+
+
+def test_ids_without_a_piece_and_nulls(spark):
+    """Decoding by the join: unknown ids give nothing, null ids give null, bytes that aren't UTF-8 give U+FFFD."""
+    known = K.text_ids("ab é", K.VOCABULARY)
+    broken = np.array([i for i, p in enumerate(K.pieces_of(K.VOCABULARY)) if p == b"\xc3"][:1], dtype="<u4")
+    rows = [(0, known.tobytes()), (1, b""), (2, None), (3, np.array([2**31, *known, 2**32 - 1], dtype="<u4").tobytes()), (4, broken.tobytes())]
+    got = {r.n: r.decoded for r in bpe_words.decode(spark.createDataFrame(rows, "n int, ids binary")).collect()}
+    assert got == {0: "ab é", 1: "", 2: None, 3: "ab é", 4: "\ufffd"}
