@@ -190,7 +190,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _vocabulary(counts: DataFrame, held: int) -> Network:
-    """The words that tasks hold: all above a count that at most ``held`` words reach."""
+    """The words that tasks hold: all above a count that at most ``held`` words reach, and always those with classes of their own."""
     step = F.floor(F.log2("n") * 16)
     steps = sorted(((r.step, r.words) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
     least, words = None, 0
@@ -199,7 +199,8 @@ def _vocabulary(counts: DataFrame, held: int) -> Network:
         if words > held:
             break
         least = at
-    frequent = counts.where(step >= least if least is not None else F.lit(False)).toArrow().to_pylist()
+    most = counts.orderBy(F.col("n").desc(), "word").limit(OWN)
+    frequent = counts.where(step >= least if least is not None else F.lit(False)).union(most).distinct().toArrow().to_pylist()
     frequent.sort(key=lambda r: (-r["n"], r["word"]))
     tokens = [0] * FORMS
     for r in counts.groupBy(_form(F.col("word")).alias("form")).agg(F.sum("n").alias("n")).collect():

@@ -157,3 +157,13 @@ def test_awkward_rows(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 2, 1_000_000, 1_000_000]
     assert len({r.log_likelihood for r in got if r.doc_id == 1}) == 1
     assert held_out(F.lit(1)) is not None
+
+
+def test_the_words_that_tasks_hold_change_no_score(spark):
+    rows = zipf(20)
+    want = {r.doc_id: r.log_likelihood for r in masked_lm.score(texts(spark, rows), masked_lm.train(texts(spark, rows))).collect()}
+    for held in (0, 50, 500):
+        network = masked_lm.train(texts(spark, rows), held=held)
+        assert len(network.words) >= masked_lm.OWN
+        got = {r.doc_id: r.log_likelihood for r in masked_lm.score(texts(spark, rows), network).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-8 * abs(want[i]) for i in want)
