@@ -239,6 +239,24 @@ def test_top_k_against_brute_force(spark, monkeypatch, block):
     assert segment_topk.top_k(v.where("FALSE"), v.where("FALSE")).count() == 0
 
 
+@pytest.mark.parametrize(("spread", "most"), [(0.05, 0.1), (0.5, 0.5), (None, 1.0)])
+def test_top_k_spares_products(spread, most):
+    """Of vectors near a few centres most products are never computed; of vectors in all directions alike, many are. The answer is the full scan's."""
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(20, 64))
+    v = r.normal(size=(4000, 64)) if spread is None else centres[r.integers(0, 20, 4000)] + spread * r.normal(size=(4000, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    rows, left = np.arange(4000), []
+    got = segment_topk.best_of_block(rows[:40], v[:40], rows, rows, v, 5, left)
+    want = []
+    for i in range(40):
+        scores = v @ v[i]
+        want += [(i, j, int(scores[j])) for j in sorted((j for j in range(4000) if j != i), key=lambda j: (-scores[j], j))[:5]]
+    assert got == want
+    left = np.array(left)
+    assert (np.diff(left, axis=1) <= 0).all() and left[:, -1].sum() <= most * left[:, 0].sum()
+
+
 @pytest.mark.parametrize(("hub", "small"), [(components.HUB, components.SMALL), (3, components.SMALL), (3, 0)])
 def test_components_with_hubs(spark, monkeypatch, hub, small):
     monkeypatch.setattr(components, "SMALL", small)
