@@ -10,6 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -26,7 +27,7 @@ LEAST_BUCKETS, MOST_BUCKETS, BLOCKS_A_BUCKET = 64, 1024, 16
 #: Words after which a task starts its table of them anew.
 _WORDS = 500_000
 #: Ids that are decoded in one join.
-_TOKENS = 1 << 18
+_TOKENS = 1 << 20
 
 
 def _bundles(docs: DataFrame, blocks: int) -> DataFrame:
@@ -165,21 +166,21 @@ def piece_table(path: str) -> pa.Table:
 
 
 def _texts(ids: list[np.ndarray], path: str) -> list[str]:
-    """Texts of a few documents' ids: ``(position, id)`` joined to ``(id, piece)``, pieces put together in order of position."""
+    """Texts of a few documents' ids: their distinct ids are joined to ``(id, piece)``, and pieces joined back by position."""
     if not ids:
         return []
-    numbers = np.concatenate(ids)
-    asked = pa.table({"position": pa.array(np.arange(len(numbers))), "id": pa.array(numbers)})
-    found = asked.join(piece_table(path), "id", join_type="inner", use_threads=False).sort_by("position")
-    ends = np.searchsorted(found.column("position").to_numpy(), np.cumsum([len(x) for x in ids])).tolist()
-    pieces = found.column("piece").combine_chunks()
-    return [_joint(pieces.slice(start, end - start)) for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+    numbers = pa.array(np.concatenate(ids)).dictionary_encode()
+    asked = pa.table({"at": pa.array(np.arange(len(numbers.dictionary))), "id": numbers.dictionary})
+    found = asked.join(piece_table(path), "id", join_type="left outer", use_threads=False).sort_by("at")
+    pieces = pc.fill_null(found.column("piece").combine_chunks(), b"")
+    ends = np.cumsum([len(x) for x in ids]).tolist()
+    return [_joint(pieces.take(numbers.indices.slice(start, end - start))) for start, end in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``encoded`` with ``decoded``, the text of ``ids``; added tokens are spelt out.
 
-    Every id is joined to the id-to-piece table, about ``_TOKENS`` ids at a time; that table is as long as the vocabulary,
+    About ``_TOKENS`` ids at a time, each distinct one is joined to the id-to-piece table and its piece joined back by position; that table is as long as the vocabulary,
     so every worker holds it and the join needs no shuffle. Ids without a piece give nothing; bytes that
     aren't UTF-8 give U+FFFD; null ids give null. An input column named ``decoded`` is replaced.
     """
