@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -19,15 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm.common import rows_of, table
-from roadloom.llm.tokens import VOCABULARY, chunk_words, pieces_of, text_chunks, word_ids
+from roadloom.llm.tokens import VOCABULARY, chunk_words, pieces_of, special_tokens, text_chunks, word_ids, words_of
 
-BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 2 << 20, 256 << 10, 512
+BLOCK_BYTES, BUNDLE_BYTES, BUNDLE_ROWS = 3 << 20, 256 << 10, 512
 #: Buckets of words: one for every ``BLOCKS_A_BUCKET`` blocks, so that a block's lists stay few and long.
 LEAST_BUCKETS, MOST_BUCKETS, BLOCKS_A_BUCKET = 64, 1024, 16
 #: Words after which a task starts its table of them anew.
 _WORDS = 500_000
 #: Ids that are decoded in one join.
-_TOKENS = 1 << 20
+_TOKENS = 1 << 18
 
 
 def _bundles(docs: DataFrame, blocks: int) -> DataFrame:
@@ -66,12 +67,16 @@ def _documents(bundles: pa.ChunkedArray) -> Iterator[tuple[int, str]]:
 def _chunks(bundles: pa.ChunkedArray, path: str, docs: list[tuple[int, list[str]]] | None = None) -> dict[str, list[str]]:
     """The words of each different chunk of a block; ``docs`` gets each document's chunks in order."""
     known: dict[str, list[str]] = {}
+    special = special_tokens(path)
     for doc_id, text in _documents(bundles):
         chunks = text_chunks(text, path)
         if docs is not None:
             docs.append((doc_id, chunks))
-        for chunk in set(chunks).difference(known):
-            known[chunk] = chunk_words(chunk, path)
+        fresh = set(chunks).difference(known)
+        if special is not None and special.search(text):
+            known.update((chunk, chunk_words(chunk, path)) for chunk in fresh)
+        else:
+            known.update(zip(fresh, map(words_of, fresh), strict=True))
     return known
 
 
@@ -124,7 +129,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
                 asked = json.loads(grow(packed))
                 for word in asked:
                     if word not in known:
-                        known[word] = np.array(word_ids(word, path), dtype=narrow).tobytes()
+                        known[word] = array(narrow.char, word_ids(word, path)).tobytes()
                 lengths.append(squeeze(np.array([len(known[w]) for w in asked], dtype="<u4").tobytes()))
                 ids.append(squeeze(b"".join([known[w] for w in asked])))
             arrays = [pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in (lengths, ids))]
