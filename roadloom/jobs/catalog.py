@@ -311,6 +311,44 @@ def unpack(spark: SparkSession, sf: str) -> DataFrame:
     return graph.unpack_shortcuts(path, edges, fx.edge_details(spark, sf)).select("request_id", "seq", "node_id")
 
 
+_STEPS = """, steps AS (
+  SELECT request_id, unnest(generate_series(0, abs(dest_node - start_node))) AS seq,
+    unnest(CASE WHEN dest_node >= start_node THEN generate_series(start_node, dest_node) ELSE generate_series(start_node, dest_node, -1) END) AS node_id
+  FROM lengths)
+"""
+
+
+def _parts(spark: SparkSession, sf: str, part: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    requests, (nodes, edges) = fx.route_requests(spark, sf), _graph(spark, sf)
+    path = cut(graph.backtrack(requests, routing.solve(requests, nodes, edges)))
+    extents = graph.leaf_extents(edges, nodes, fx.edge_details(spark, sf))
+    return graph.unpack_parts(path, part(requests), extents, nodes)
+
+
+@query(
+    "g6_unpack_stretches",
+    fx.with_tables(*_ROUTES) + _STEPS + "SELECT request_id AS part_id, request_id, seq, node_id FROM steps WHERE seq BETWEEN request_id % 19 AND request_id % 19 + 9",
+)
+def unpack_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.col("request_id") % 19
+    none = [F.lit(None).cast("int").alias(c) for c in ("west", "east", "south", "north")]
+    return _parts(spark, sf, lambda r: r.select(F.col("request_id").alias("part_id"), "request_id", first.alias("first"), (first + 9).alias("last"), *none))
+
+
+@query(
+    "g6_unpack_in_view",
+    fx.with_tables("size", "nodes", *_ROUTES[1:])
+    + _STEPS
+    + """SELECT request_id % 9 AS part_id, request_id, seq, node_id FROM steps JOIN nodes USING (node_id)
+WHERE lon_e7 BETWEEN 60000000 + request_id % 9 * 9000000 AND 75000000 + request_id % 9 * 9000000 AND lat_e7 BETWEEN 480000000 AND 530000000""",
+)
+def unpack_in_view(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.col("request_id") % 9
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("first", "last")]
+    box = {"west": number * 9_000_000 + 60_000_000, "east": number * 9_000_000 + 75_000_000, "south": F.lit(480_000_000), "north": F.lit(530_000_000)}
+    return _parts(spark, sf, lambda r: r.select(number.alias("part_id"), "request_id", *none, *(v.alias(k) for k, v in box.items())))
+
+
 _ROUTED = (
     fx.with_tables("size", "nodes", "beside", "snapped", "road", "requests", "snapped_requests")
     + ", "
@@ -411,6 +449,14 @@ def graph_tables(spark: SparkSession, sf: str) -> DataFrame:
     return load_graph_tables(spark, folder)["edges"]
 
 
+@query("s2_g1_laid_out_cones", _cone_sql("out", "start_node", "src", "dst"))
+def laid_out_cones(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/graph-{uuid4().hex}"
+    write_graph_tables({"nodes": fx.nodes(spark, sf), "edges": fx.edges(spark, sf), "edge_details": fx.edge_details(spark, sf)}, folder)
+    stored, roots = load_graph_tables(spark, folder), fx.route_requests(spark, sf).select(F.col("start_node").alias("root"))
+    return graph.cones(roots, roots.where("FALSE"), stored["edges"], stored["nodes"], laid_out=True).drop("direction")
+
+
 @query(
     "s1_h1_graph_file",
     fx.with_tables("size", "road", "hierarchy", "edges", "numbered") + "SELECT edge_id, owner, direction, src, dst, dist FROM numbered",

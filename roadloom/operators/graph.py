@@ -33,17 +33,19 @@ def core_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("direction = 'out'").join(core, "owner", "left_semi")
 
 
-def cones(starts: DataFrame, dests: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def cones(starts: DataFrame, dests: DataFrame, edges: DataFrame, nodes: DataFrame, laid_out: bool = False) -> DataFrame:
     """``(direction, root, edge_id, src, dst, dist)``: the up-cones of ``starts(root)`` and the down-cones of ``dests(root)``.
 
     Both grow in the same rounds. Nodes of the core aren't expanded, edges into the core are
     there, and a root in the core gives nothing. An edge is there once for a root. A round is a
-    join on the owner; the rounds are as many as the hierarchy has levels.
+    join on the owner; the rounds are as many as the hierarchy has levels. Edges and nodes that are
+    ``laid_out`` (``load_graph_tables``) are read where they lie: a round moves its frontier only, never the edges.
     """
     low = nodes.where("NOT is_core").select("node_id")
     peer = F.when(F.col("direction") == "out", F.col("dst")).otherwise(F.col("src")).alias("peer")
-    own = edges.join(low, F.col("owner") == F.col("node_id"), "left_semi")
-    own = cut(own.select("direction", F.col("owner").alias("node"), peer, "edge_id", "src", "dst", "dist"))
+    own = edges if laid_out else edges.join(low, F.col("owner") == F.col("node_id"), "left_semi")
+    own = own.select("direction", F.col("owner").alias("node"), peer, "edge_id", "src", "dst", "dist")
+    own = own if laid_out else cut(own)
     inner = low.withColumnRenamed("node_id", "node")
     both = [r.select(F.lit(d).alias("direction"), F.col("root").cast("bigint").alias("root")) for d, r in (("out", starts), ("in", dests))]
     frontier = both[0].unionByName(both[1]).where("root IS NOT NULL").distinct().withColumn("node", F.col("root"))
@@ -290,6 +292,68 @@ def unpack_shortcuts(path: DataFrame, edges: DataFrame, details: DataFrame) -> D
     return rows.select("request_id", seq.cast("bigint").alias("seq"), "node_id", "euclid")
 
 
+def leaf_extents(edges: DataFrame, nodes: DataFrame, details: DataFrame) -> DataFrame:
+    """``(edge_id, dst, shortcut1, shortcut2, leaves, euclid, west, east, south, north)`` of every edge, from the bottom up.
+
+    ``leaves`` counts its road edges, ``euclid`` is their length, and the box holds the nodes that they lead to. A round
+    adds the shortcuts whose halves are both known; the rounds are as many as the hierarchy has levels. Shortcuts with
+    a missing half, or above themselves, are left out. Made once for a graph, the table tells for any shortcut where its
+    second half begins, so that a part of a route is unpacked without its rest.
+    """
+    on = edges.select("edge_id", "dst").join(details, "edge_id").select("edge_id", "dst", "euclid", "shortcut1", "shortcut2", "shortcut_node")
+    at = nodes.select(F.col("node_id").alias("dst"), F.col("lon_e7").alias("west"), F.col("lon_e7").alias("east"), F.col("lat_e7").alias("south"), F.col("lat_e7").alias("north"))
+    known = on.where("shortcut_node = -1").drop("shortcut_node").join(at, "dst", "left").withColumn("leaves", F.lit(1).cast("bigint"))
+    known = cut(known.withColumn("euclid", F.col("euclid").cast("bigint")))
+    open_ = cut(on.where("shortcut_node <> -1").select("edge_id", "dst", "shortcut1", "shortcut2"))
+    sides = {"leaves": F.col("a.leaves") + F.col("b.leaves"), "euclid": F.col("a.euclid") + F.col("b.euclid")}
+    sides |= {c: f(f"a.{c}", f"b.{c}") for c, f in (("west", F.least), ("east", F.greatest), ("south", F.least), ("north", F.greatest))}
+    half = lambda name, key: known.select(F.col("edge_id").alias(key), F.struct(*sides).alias(name))
+    while True:
+        both = open_.join(half("a", "shortcut1"), "shortcut1").join(half("b", "shortcut2"), "shortcut2")
+        fresh = cut(both.select("edge_id", "dst", "shortcut1", "shortcut2", *(v.alias(k) for k, v in sides.items())))
+        if fresh.isEmpty():
+            return known.select("edge_id", "dst", "shortcut1", "shortcut2", *sides)
+        known = known.unionByName(fresh)
+        open_ = cut(open_.join(fresh, "edge_id", "left_anti"))
+
+
+def unpack_parts(path: DataFrame, parts: DataFrame, extents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(part_id, request_id, seq, node_id)``: the points of ``unpack_shortcuts`` that lie in each of ``parts``, without unpacking the rest.
+
+    ``parts(part_id, request_id, first, last, west, east, south, north)``: a stretch of ``seq``, both ends included, a box, or both; bounds that are null
+    don't bind. ``path`` is ``backtrack``'s, ``extents`` is ``leaf_extents``'s. From each step of the path, a round goes down to the halves that
+    reach into the part; their numbers follow from the counts of road edges, so the work grows with the points shown and the levels above them.
+    A node without coordinates lies in no box; steps over unknown edges end their route.
+    """
+    size = extents.select("edge_id", "dst", "shortcut1", "shortcut2", "leaves", "west", "east", "south", "north")
+    box = lambda left, right, low, high: F.expr(
+        f"(p.west IS NULL OR {right} >= p.west) AND (p.east IS NULL OR {left} <= p.east) AND (p.south IS NULL OR {high} >= p.south) AND (p.north IS NULL OR {low} <= p.north)"
+    )
+    wanted = parts.select("request_id", F.struct("part_id", "first", "last", "west", "east", "south", "north").alias("p"))
+    reach = F.expr("(p.first IS NULL OR at + leaves > p.first) AND (p.last IS NULL OR at <= p.last)") & box("west", "east", "south", "north")
+    steps = path.where("edge_id IS NOT NULL").join(size.select("edge_id", "leaves"), "edge_id", "left")
+    before = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = steps.withColumn("unknown", F.max(F.col("leaves").isNull()).over(before.rowsBetween(Window.unboundedPreceding, 0))).where("NOT unknown")
+    open_ = known.select("request_id", "edge_id", (F.coalesce(F.sum("leaves").over(before), F.lit(0)) + 1).alias("at")).join(wanted, "request_id")
+    sizes = size.drop("dst")
+    leaf = size.select("edge_id", F.col("dst").alias("node_id"))
+    first_half = size.select(F.col("edge_id").alias("shortcut1"), F.col("leaves").alias("skip"))
+    done = path.where("seq = 0").select("request_id", "node_id", F.lit(0).cast("bigint").alias("at")).join(wanted, "request_id")
+    while True:
+        met = cut(open_.join(sizes, "edge_id").where(reach).select("p", "request_id", "edge_id", "at", "leaves", "shortcut1", "shortcut2"))
+        found = met.where("leaves = 1").join(leaf, "edge_id")
+        done = done.select("p", "request_id", "at", "node_id").unionByName(found.select("p", "request_id", "at", "node_id"))
+        below = met.where("leaves > 1")
+        if below.isEmpty():
+            break
+        halves = F.explode(F.array(F.struct(F.col("shortcut1").alias("edge_id"), F.col("at")), F.struct(F.col("shortcut2").alias("edge_id"), (F.col("at") + F.col("skip")).alias("at"))))
+        open_ = below.join(first_half, "shortcut1").select("p", "request_id", halves.alias("h")).select("p", "request_id", "h.edge_id", "h.at")
+    within = F.expr("(p.first IS NULL OR at >= p.first) AND (p.last IS NULL OR at <= p.last)")
+    placed = done.where(within).join(nodes.select("node_id", "lon_e7", "lat_e7"), "node_id", "left")
+    placed = placed.where(box("lon_e7", "lon_e7", "lat_e7", "lat_e7"))
+    return placed.select("p.part_id", "request_id", F.col("at").alias("seq"), "node_id")
+
+
 def path_euclid(points: DataFrame) -> DataFrame:
     """``(request_id, euclid)``: metres of each route's road edges."""
     return points.groupBy("request_id").agg(F.sum("euclid").alias("euclid"))

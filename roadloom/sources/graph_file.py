@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from uuid import NAMESPACE_URL, uuid5
 
 import numpy as np
 import pandas as pd
@@ -164,17 +165,37 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return _mapped(_ranges(spark, meta.block_count, _BLOCKS_A_TASK), heads, "block bigint, next_block bigint, count bigint")
 
 
-def write_graph_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes nodes by cell, edges by owner and details by id, so that later joins read sorted files.
+#: What each table's files are laid out by, and in which order a file's rows lie.
+LAYOUT = {"nodes": (["node_id"], "cell_id"), "edges": (["direction", "owner"], "owner"), "edge_details": (["edge_id"], "edge_id")}
 
-    How many files there are follows from the session's shuffle settings and the tables' size.
-    """
-    keys = {"nodes": "cell_id", "edges": "owner", "edge_details": "edge_id"}
-    for name, df in tables.items():
-        df.repartition(keys[name]).sortWithinPartitions(keys[name]).write.mode("overwrite").parquet(f"{folder}/{name}")
 
+def write_graph_tables(tables: dict[str, DataFrame], folder: str, buckets: int | None = None) -> None:
+    """Writes nodes by id, edges by list and owner, details by id, in ``buckets`` of the key's hash, one file each.
 
-def load_graph_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("nodes", "edges", "edge_details")}
+    Joins on these keys read the files as they lie and move only the other side (``load_graph_tables``). Without a number
+    there are as many buckets as the session's shuffles have partitions; with fewer than that, Spark may shuffle both sides.
+    ``folder`` mustn't hold tables already.
+    """
+    spark = tables["edges"].sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, (keys, order) in LAYOUT.items():
+        rows = tables[name].repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(order)
+        rows.option("path", f"{folder}/{name}").saveAsTable(_table_name(folder, name))
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/layout")
 
 
+def load_graph_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of ``write_graph_tables``, also in a session that didn't write them: it learns their layout from the folder."""
+    buckets = spark.read.parquet(f"{folder}/layout").first()[0]
+    for name, (keys, order) in LAYOUT.items():
+        if not spark.catalog.tableExists(_table_name(folder, name)):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{folder}/{name}").schema)
+            spark.sql(
+                f"CREATE TABLE {_table_name(folder, name)} ({columns}) USING parquet "
+                f"CLUSTERED BY ({', '.join(keys)}) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{folder}/{name}'"
+            )
+    return {name: spark.table(_table_name(folder, name)) for name in LAYOUT}
+
+
+def _table_name(folder: str, name: str) -> str:
+    return f"graph_{uuid5(NAMESPACE_URL, folder).hex}_{name}"
