@@ -90,6 +90,21 @@ def test_op2_follows_its_law(spark, folder, rows):
     assert all(sorted(v) == list(range(len(v))) for v in by_shard.values())
 
 
+def test_op2_spreads_buckets_over_shuffles(spark):
+    """Every row once, under its own buckets, and no shuffle over the limit; beyond its square there is no way."""
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias(external_shuffle._ORDER))
+    for buckets, fan_out in ((1, 10), (10, 10), (11, 10), (37, 10), (99, 10), (100, 10)):
+        parts = external_shuffle._spread(rows, F.col("id") % buckets, buckets, fan_out)
+        assert [p[1] for p in parts] == [sum(q[2] for q in parts[:i]) for i in range(len(parts))]
+        assert sum(p[2] for p in parts) == buckets and max(p[2] for p in parts) <= fan_out and len(parts) <= fan_out
+        seen = [(r.id, first <= r.id % buckets < first + count) for part, first, count in parts for r in part.collect()]
+        assert sorted(seen) == [(i, True) for i in range(3000)]
+        if len(parts) > 1:
+            assert len(parts[0][0].inputFiles()) <= fan_out
+    with pytest.raises(ValueError, match="squared"):
+        external_shuffle._spread(rows, F.col("id") % 101, 101, 10)
+
+
 def test_op2_by_a_plain_shuffle(spark, tmp_path):
     """Buckets by the same hashes, then numpy's Fisher-Yates over rows in order of id: the same slots; a file a bucket, in order."""
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
@@ -106,6 +121,10 @@ def test_op2_by_a_plain_shuffle(spark, tmp_path):
                 want[own[k]] = (s, start[s] + i)
             start[s] += len(own)
     assert got == want
+    # groups of buckets first, if one shuffle mayn't have a partition for each
+    for fan_out in (4, 5, 3 * buckets - 1):
+        rows = external_shuffle.shuffle_to_shards(docs, str(tmp_path / f"by{fan_out}"), 3, bucket_bytes=1500, fan_out=fan_out).collect()
+        assert {r.doc_id: (r.shard, r.slot) for r in rows} == want and len(rows) == 500
     files = [p for p in (tmp_path / "s").rglob("*.parquet")]
     assert len(files) == len({p.parent for p in files}) == len({(r.s, r.b) for r in at})
     import pyarrow.parquet as pq
