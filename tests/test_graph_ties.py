@@ -49,8 +49,8 @@ def test_ties_are_settled_alike(spark, seed, least):
     asked = [(i, r.randrange(14), r.randrange(14)) for i in range(40)]
     edges, requests = spark.createDataFrame(raw, EDGES).repartition(3), spark.createDataFrame(asked, REQUESTS)
     want = {q: p for q, s, t in asked if (p := plain_path(raw, s, t)) is not None}
-    for limit in (graph.CORE_LIMIT, 0):
-        labels = graph.shortest_paths(requests, None, edges, core_limit=limit)
+    by_rounds = graph.shortest_paths_by_rounds(requests, None, edges)
+    for labels in (*(graph.shortest_paths(requests, None, edges, core_limit=n) for n in (graph.CORE_LIMIT, 0)), by_rounds):
         rows = graph.backtrack(requests, labels).orderBy("request_id", "seq").collect()
         got = {q: [] for q in {x.request_id for x in rows}}
         for x in rows:
@@ -89,9 +89,34 @@ def test_hierarchy_by_both_methods(spark, sf):
     requests = fx.route_requests(spark, sf).limit(60)
     both = graph.cones(requests.select(F.col("start_node").alias("root")), requests.select(F.col("dest_node").alias("root")), edges, nodes)
     core = graph.core_edges(edges, nodes)
-    paths = [graph.backtrack(requests, graph.shortest_paths(requests, both, core, core_limit=n)) for n in (graph.CORE_LIMIT, 0)]
-    a, b = ({(r.request_id, r.seq, r.node_id, r.edge_id) for r in p.collect()} for p in paths)
-    assert a == b and len({x[0] for x in a}) == requests.count()
+    found = [graph.shortest_paths(requests, both, core, core_limit=n) for n in (graph.CORE_LIMIT, 0)]
+    up, down = (both.where(F.col("direction") == d) for d in ("out", "in"))
+    found.append(graph.shortest_paths_by_rounds(requests, graph.search_graph(requests, up, down), core))
+    a, b, c = ({(r.request_id, r.seq, r.node_id, r.edge_id) for r in graph.backtrack(requests, labels).collect()} for labels in found)
+    assert a == b == c and len({x[0] for x in a}) == requests.count()
+
+
+def test_large_core_of_a_grid(spark, sf):
+    """Every node is core and most paths are tied: only edges on shortest paths are taken along, and searches are one a start."""
+    requests, edges = fx.grid_requests(spark, sf).limit(120), fx.grid_edges(spark, sf)
+    paths = [graph.shortest_paths(requests, None, edges, core_limit=n).collect() for n in (graph.CORE_LIMIT, 5)]
+    assert sorted(paths[0]) == sorted(paths[1]) and paths[0]
+    dist = {(r.request_id): r.dist for r in paths[0] if r.seq == max(x.seq for x in paths[0] if x.request_id == r.request_id)}
+    ways = {(r.start_node, r.dest_node): r.core for r in graph.core_ways(requests, None, edges).collect()}
+    w = fx.grid_size(spark, sf)[0]
+    for r in requests.collect():
+        own = ways.get((r.start_node, r.dest_node), [])
+        high, wide = abs(r.start_node // w - r.dest_node // w), abs(r.start_node % w - r.dest_node % w)
+        assert len(own) == high * (wide + 1) + wide * (high + 1) and dist[r.request_id] == 7 * (high + wide)
+
+
+def test_ends_without_a_way(spark):
+    edges = spark.createDataFrame([(1, 1, "out", 1, 2, 5), (2, 2, "out", 2, 1, 0)], EDGES)
+    requests = spark.createDataFrame([(0, 1, 2), (1, 2, 9), (2, 9, 9), (3, 1, 1), (4, None, 1), (5, 1, None), (6, 1, 2)], REQUESTS)
+    for e in (edges, edges.where("FALSE")):
+        found = [sorted(map(repr, graph.shortest_paths(requests, None, e, core_limit=n).where("request_id NOT IN (4, 5)").collect())) for n in (graph.CORE_LIMIT, 0)]
+        assert found[0] == found[1]
+    assert len(found[0]) == 2
 
 
 def test_broken_ranges(spark):
