@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators.core_ways import by_source, core_ways
 from roadloom.session import cut
 
 CORE_LIMIT = 200_000
@@ -94,13 +95,6 @@ class Core:
         return by_source(zip(*(x.tolist() for x in (self.src, self.dst, self.dist, self.edge_id)), strict=True))
 
 
-def by_source(edges: Iterable[tuple[int, int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for src, *edge in edges:
-        out.setdefault(src, []).append(tuple(edge))
-    return out
-
-
 def search_path(start: int, dest: int, *graphs: dict[int, list[tuple]]) -> list[tuple]:
     """Labels ``(node, dist, pred_edge, pred_node)`` of the nodes on the shortest path, from the destination back; none without a path.
 
@@ -178,78 +172,6 @@ def shortest_paths(requests: DataFrame, cones: DataFrame | None, core: DataFrame
     return asked.select("request_id", "start_node", "dest_node", *lists).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def cone_distances(roots: DataFrame, cone: DataFrame | None, near: str, far: str) -> DataFrame:
-    """``(root, node, dist)``: distances from each of ``roots(root)`` over its edges of ``cone``, followed from ``near`` to ``far``; a root's own is 0."""
-    roots = roots.where("root IS NOT NULL").distinct()
-    if cone is None:
-        return roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("dist"))
-    lists = cone.groupBy("root").agg(F.collect_list(F.struct(F.col(near).alias("a"), F.col(far).alias("b"), "dist")).alias("own"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for root, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ways = by_source(zip(*own, strict=True)) if own[0] else {}
-                best, heap = {root: 0}, [(0, root)]
-                while heap:
-                    dist, node = heappop(heap)
-                    for there, w in ways.get(node, ()) if dist == best[node] else ():
-                        if dist + w < best.get(there, dist + w + 1):
-                            best[there] = dist + w
-                            heappush(heap, (dist + w, there))
-                rows += [(root, *label) for label in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["root", "node", "dist"])
-
-    return roots.join(lists, "root", "left").select("root", "own.a", "own.b", "own.dist").mapInArrow(run, "root bigint, node bigint, dist bigint")
-
-
-def core_ways(requests: DataFrame, cones: DataFrame | None, core: DataFrame) -> DataFrame:
-    """``(start_node, dest_node, core)``: for each pair of ends the core's edges on any of its shortest paths, as a list.
-
-    One search for each distinct start, which all its requests share: labels grow over the core by rounds of joins, while
-    destinations wait at the core nodes that lead down to them, with the distance that is left. A start's search ends at its farthest
-    destination. Edges that fit the final distances are then followed back from where the shortest sums meet, in rounds as well.
-    Cones must be those of a hierarchy: distances between core nodes are no shorter over other nodes.
-    """
-    of = lambda d: None if cones is None else cones.where(F.col("direction") == d)
-    pairs = requests.select(F.col("start_node").alias("root"), F.col("dest_node").alias("dest")).where("root IS NOT NULL AND dest IS NOT NULL").distinct()
-    pairs = cut(pairs)
-    down = cone_distances(pairs.select(F.col("dest").alias("root")), of("in"), "dst", "src")
-    wait = cut(pairs.join(down.select(F.col("root").alias("dest"), "node", F.col("dist").alias("rest")), "dest"))
-    core = cut(core.select("src", "dst", F.col("dist").cast("bigint").alias("w"), "edge_id"))
-    best = frontier = cut(cone_distances(pairs.select("root"), of("out"), "src", "dst"))
-    goals = pairs.withColumn("goal", F.lit(None).cast("bigint"))
-    while True:
-        met = frontier.join(wait, ["root", "node"]).groupBy("root", "dest").agg(F.min(F.col("dist") + F.col("rest")).alias("met"))
-        goals = cut(goals.join(met, ["root", "dest"], "left").select("root", "dest", F.least("goal", "met").alias("goal")))
-        # null: a destination isn't reached yet
-        bound = goals.groupBy("root").agg(F.when(F.count("goal") == F.count("*"), F.max("goal")).alias("bound"))
-        live = frontier.join(bound, "root").where("bound IS NULL OR dist <= bound").select("root", F.col("node").alias("src"), "dist")
-        new = live.join(core, "src").groupBy("root", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
-        old = best.withColumnRenamed("dist", "old")
-        frontier = cut(new.join(old, ["root", "node"], "left").where("old IS NULL OR dist < old").select("root", "node", "dist"))
-        if frontier.isEmpty():
-            break
-        best = cut(best.join(frontier, ["root", "node"], "left_anti").unionByName(frontier))
-    there = best.select("root", F.col("node").alias("dst"), F.col("dist").alias("there"))
-    fits = best.withColumnRenamed("node", "src").join(core, "src").join(there, ["root", "dst"]).where("dist + w = there")
-    fits = cut(fits.select("root", "src", "dst", "w", "edge_id"))
-    exits = wait.join(best, ["root", "node"]).join(goals, ["root", "dest"]).where("dist + rest = goal")
-    step = seen = cut(exits.select("root", "dest", "node"))
-    found = None
-    while True:
-        own = cut(step.withColumnRenamed("node", "dst").join(fits, ["root", "dst"]))
-        if own.isEmpty():
-            break
-        found = own if found is None else found.unionByName(own)
-        back = own.select("root", "dest", F.col("src").alias("node")).distinct()
-        step = cut(back.join(seen, ["root", "dest", "node"], "left_anti"))
-        seen = seen.unionByName(step)
-    found = own if found is None else found
-    way = F.collect_list(F.struct("src", "dst", F.col("w").alias("dist"), F.col("edge_id").cast("bigint").alias("edge_id"))).alias("core")
-    return found.groupBy(F.col("root").alias("start_node"), F.col("dest").alias("dest_node")).agg(way)
-
-
 def shortest_paths_by_rounds(requests: DataFrame, cones: DataFrame | None, core: DataFrame) -> DataFrame:
     """The same paths by joins alone, among more labels, for cones that aren't a hierarchy's and large cores at once; without ``seq``.
 
