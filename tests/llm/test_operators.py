@@ -257,6 +257,29 @@ def test_top_k_spares_products(spread, most):
     assert (np.diff(left, axis=1) <= 0).all() and left[:, -1].sum() <= most * left[:, 0].sum()
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_top_k_of_large_components(seed):
+    """Large components that differ little: their deviations are small differences of large squares, and bounds must hold all the same."""
+    r = np.random.default_rng(seed)
+    v = 2**27 + r.integers(-2, 3, size=(200, 33))
+    v[0] = r.integers(-(2**27), 2**27, size=33)
+    rows = np.arange(200)
+    whole = v.tolist()
+    want = []
+    for i in range(3):
+        scores = [sum(a * b for a, b in zip(whole[i], c, strict=True)) for c in whole]
+        want += [(i, j, scores[j]) for j in sorted((j for j in range(200) if j != i), key=lambda j: (-scores[j], j))[:5]]
+    assert segment_topk.best_of_block(rows[:3], v[:3], rows, rows, v, 5) == want
+
+
+def test_top_k_beyond_longs(spark):
+    """A component that no long holds takes part; the products that are asked for are longs."""
+    vs = [(0, [0.0, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 3.0]), (3, [0.5, -1.0])]
+    v = segment_topk.integer_vectors(spark.createDataFrame(vs, "vec_id long, embedding array<double>"))
+    got = segment_topk.top_k(v, v.where("vec_id % 50 = 0")).orderBy("rank").collect()
+    assert [tuple(x) for x in got] == [(0, 1, 2, 3 * 256**2), (0, 2, 1, 2 * 256**2), (0, 3, 3, -(256**2))]
+
+
 @pytest.mark.parametrize(("hub", "small"), [(components.HUB, components.SMALL), (3, components.SMALL), (3, 0)])
 def test_components_with_hubs(spark, monkeypatch, hub, small):
     monkeypatch.setattr(components, "SMALL", small)
