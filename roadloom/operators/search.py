@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import in_geo_rect, to_e7
 from roadloom.functions.text import filter_query, item_label, query_words, searchable_text
-from roadloom.session import cut
+from roadloom.session import cut, large
 
 TOP = 20
+#: Most rows of words, trigrams or queries that are broadcast.
+SMALL = 100_000
 _RECT = ["lat_min", "lat_max", "lon_min", "lon_max"]
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """``rows`` at rest for a join: few are sent to all tasks, as few words or queries would make few groups, some of them with most of the items."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
 def positioned_items(items: DataFrame) -> DataFrame:
     """Items with a position and a string."""
     return items.where((F.size("positions") > 0) & (F.size("strs") > 0))
@@ -48,27 +55,25 @@ def trigram_index(items: DataFrame) -> DataFrame:
 def match_items(queries: DataFrame, items: DataFrame) -> DataFrame:
     """``(query_id, item_id)``: items that hold all the query's words, each as a part of one of its strings, in any case.
 
-    Of the index only the trigrams of the words asked for are made and counted. Each word looks its rarest
-    trigram up and what comes back is verified; an item matches that verified for as many words as the query has.
+    Of the index only the trigrams of the words asked for are counted. Each query looks the rarest trigram of its words up, and what comes back
+    is verified for all its words where the item lies, so items aren't gathered by words or queries, however many hold one.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(query_words(F.lower("q")))).alias("word"))
-    counts = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(_grams(F.col("word")))).alias("gram"))
-    grams = cut(grams)
-    index = cut(trigram_index(items).join(grams.select("gram").distinct(), "gram", "left_semi"))
-    frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = grams.join(frequency, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r"))
-    found = rarest.select("word", F.col("r.gram").alias("gram")).join(index, "gram").select("word", "item_id")
+    words = cut(queries.select("query_id", F.explode(F.array_distinct(query_words(F.lower("q")))).alias("word")))
+    grams = cut(words.select("query_id", "word", F.explode(F.array_distinct(_grams(F.col("word")))).alias("gram")))
+    asked = _sent(cut(grams.select("gram").distinct()))
+    frequency = trigram_index(items).join(asked, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    least = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))["gram"].alias("gram")
+    rarest = grams.join(frequency, "gram", "left").groupBy("query_id").agg(least, F.collect_set("word").alias("words"))
     texts = items.select("item_id", F.transform("strs", lambda s: F.lower(s)).alias("low"))
-    found = found.join(texts, "item_id").where(F.exists("low", lambda s: F.contains(s, F.col("word")))).select("word", "item_id")
-    hits = words.join(found, "word").groupBy("query_id", "item_id").agg(F.count("*").alias("n"))
-    return hits.join(counts, "query_id").where("n = n_words").select("query_id", "item_id")
+    index = texts.select("*", F.explode(F.array_distinct(F.flatten(F.transform("low", _grams)))).alias("gram"))
+    holds = F.forall("words", lambda w: F.exists("low", lambda s: F.contains(s, w)))
+    return index.join(_sent(cut(rarest)), "gram").where(holds).select("query_id", "item_id")
 
 
 def match_in_rect(queries: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
     """Matches whose item lies in the query's rectangle; queries without one keep all."""
     at = item_position(items).select("item_id", "lat", "lon")
-    rows = matches.join(queries.select("query_id", *_RECT), "query_id").join(at, "item_id")
+    rows = matches.join(_sent(cut(queries.select("query_id", *_RECT))), "query_id").join(large(at), "item_id")
     inside = in_geo_rect(F.col("lat"), F.col("lon"), *(F.col(c) for c in _RECT))
     return rows.where(F.col("lat_min").isNull() | inside).select("query_id", "item_id")
 
@@ -90,8 +95,8 @@ def backfill_outside_rect(queries: DataFrame, items: DataFrame, matches: DataFra
     short = short.select("query_id", (F.lit(limit) - F.coalesce("have", F.lit(0))).alias("room")).where("room > 0")
     more = top_results(matches, limit).join(short, "query_id").where("rn <= room").select("query_id", "item_id")
     at = item_position(positioned_items(items)).select("item_id", "lat_e7", "lon_e7")
-    taken = hits.join(at, "item_id").select("query_id", "lat_e7", "lon_e7")
-    return more.join(at, "item_id").join(taken, ["query_id", "lat_e7", "lon_e7"], "left_anti").select("query_id", "item_id")
+    taken = hits.join(large(at), "item_id").select("query_id", "lat_e7", "lon_e7")
+    return more.join(large(at), "item_id").join(taken, ["query_id", "lat_e7", "lon_e7"], "left_anti").select("query_id", "item_id")
 
 
 def search(queries: DataFrame, items: DataFrame, limit: int = TOP) -> DataFrame:
@@ -104,13 +109,13 @@ def search(queries: DataFrame, items: DataFrame, limit: int = TOP) -> DataFrame:
     once = live.where("query_id = first_id")
     matches = cut(match_items(once, items))
     own = positioned_items(items).select("item_id")
-    inside = match_in_rect(once, items, matches).join(own, "item_id", "left_semi")
+    inside = match_in_rect(once, items, matches).join(large(own), "item_id", "left_semi")
     hits = cut(top_results(inside, limit).select("query_id", "item_id"))
     more = backfill_outside_rect(once, items, matches, hits, limit)
     both = hits.withColumn("phase", F.lit(1)).unionByName(more.withColumn("phase", F.lit(2)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("phase", "item_id"))
     ranked = both.withColumn("rank", rank).withColumnRenamed("query_id", "first_id")
     shown = item_position(items).select("item_id", item_label(F.col("strs")).alias("label"), "lat_e7", "lon_e7")
-    return live.select("query_id", "first_id").join(ranked, "first_id").join(shown, "item_id").select(
+    return live.select("query_id", "first_id").join(ranked, "first_id").join(large(shown), "item_id").select(
         "query_id", "rank", "item_id", "label", "lat_e7", "lon_e7"
     )
