@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import Grid, grid_cell, is_core
 from roadloom.operators.graph import edge_endpoints
+from roadloom.session import large
 
 # Fixed values of the format: magic words, version, and the order of the header's 13 big-endian int32.
 MAGIC = (0x4348474F, 0x66665450)
@@ -54,11 +55,32 @@ class GraphMeta:
         return coords, index, edges, whole(edges + self.edge_count * EDGE_BYTES)
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def _read(path: str, start: int, length: int) -> bytes:
-    """Bytes of a file by local path or URI."""
-    files, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    with files.open_input_file(at) as f:
-        return f.read_at(length, start)
+    """Bytes of a file by local path or URI; also of a folder that holds the file in parts, each named by its first byte's number (``write_part``)."""
+    files, at = _located(path)
+    if files.get_file_info(at).type != fs.FileType.Directory:
+        with files.open_input_file(at) as f:
+            return f.read_at(length, start)
+    parts = sorted((int(p.base_name), p.size, p.path) for p in files.get_file_info(fs.FileSelector(at)) if p.base_name.isdigit())
+    out = bytearray()
+    for first, size, part in parts:
+        here = start + len(out)
+        if len(out) < length and first <= here < first + size:
+            with files.open_input_file(part) as f:
+                out += f.read_at(min(first + size - here, length - len(out)), here - first)
+    return bytes(out)
+
+
+def write_part(path: str, first: int, data: bytes) -> None:
+    """A part of the graph file that the folder ``path`` holds; tasks write theirs side by side, another try writes the same again."""
+    files, at = _located(path)
+    files.create_dir(at, recursive=True)
+    with files.open_output_stream(f"{at}/{first:020d}") as f:
+        f.write(data)
 
 
 def read_meta(path: str) -> GraphMeta:
@@ -148,7 +170,7 @@ def read_graph_file(spark: SparkSession, path: str) -> tuple[GraphMeta, DataFram
     lists = owners.select("owner", F.explode(lists).alias("l")).where("l.b > l.a")
     owned = lists.select("owner", "l.direction", F.explode(F.sequence("l.a", F.col("l.b") - 1)).alias("edge_id"))
     pairs = _mapped(records, edges_of, "edge_id bigint, peer bigint, dist bigint")
-    edges = edge_endpoints(owned.join(pairs, "edge_id")).select("edge_id", "owner", "direction", "src", "dst", "dist")
+    edges = edge_endpoints(owned.join(large(pairs), "edge_id")).select("edge_id", "owner", "direction", "src", "dst", "dist")
     details = _mapped(records, details_of, "edge_id bigint, euclid bigint, shortcut1 bigint, shortcut2 bigint, shortcut_node bigint")
     return meta, nodes, edges, details
 
