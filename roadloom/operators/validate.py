@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import BLOCK_BITS, split_node_id
-from roadloom.session import cut
+from roadloom.session import cut, large
 
 
 def validate_graph(nodes: DataFrame, edges: DataFrame, details: DataFrame, block_size: int | None = None, block_count: int | None = None) -> DataFrame:
@@ -23,22 +23,26 @@ def validate_graph(nodes: DataFrame, edges: DataFrame, details: DataFrame, block
     def broken(rule: str, df: DataFrame, column: str) -> None:
         rows.append(df.select(F.lit(rule).alias("rule"), F.col(column).cast("bigint").alias("id")))
 
-    ids = nodes.select("node_id")
-    core = nodes.where("is_core").select(F.col("node_id").alias("owner"))
+    ids = large(nodes.select("node_id"))
+    core = large(nodes).where("is_core").select(F.col("node_id").alias("owner"))
     broken("core_in_list", edges.where("direction = 'in'").join(core, "owner", "left_semi"), "edge_id")
     for end in ("src", "dst"):
         broken(f"{end}_missing", edges.join(ids, F.col(end) == F.col("node_id"), "left_anti"), "edge_id")
-    broken("details_missing", edges.join(details, "edge_id", "left_anti"), "edge_id")
+    broken("details_missing", edges.join(large(details), "edge_id", "left_anti"), "edge_id")
     broken("edge_twice", edges.groupBy("edge_id").count().where("count > 1"), "edge_id")
     broken("negative_length", edges.where("dist < 0"), "edge_id")
     short = details.where("shortcut_node <> -1")
     own = edges.select("edge_id", F.col("src").alias("s"), F.col("dst").alias("t"), "dist")
     a = edges.select(F.col("edge_id").alias("shortcut1"), F.col("src").alias("s1"), F.col("dst").alias("t1"), F.col("dist").alias("w1"))
     b = edges.select(F.col("edge_id").alias("shortcut2"), F.col("src").alias("s2"), F.col("dst").alias("t2"), F.col("dist").alias("w2"))
-    chain = short.join(own, "edge_id").join(a, "shortcut1", "left").join(b, "shortcut2", "left")
-    broken("half_missing", chain.where("s1 IS NULL OR s2 IS NULL"), "edge_id")
-    broken("halves_apart", chain.where("s1 <> s OR t1 <> shortcut_node OR s2 <> shortcut_node OR t2 <> t"), "edge_id")
-    broken("halves_length", chain.where("w1 + w2 <> dist"), "edge_id")
+    chain = short.join(large(own), "edge_id").join(large(a), "shortcut1", "left").join(large(b), "shortcut2", "left")
+    wrong = {
+        "half_missing": "s1 IS NULL OR s2 IS NULL",
+        "halves_apart": "s1 <> s OR t1 <> shortcut_node OR s2 <> shortcut_node OR t2 <> t",
+        "halves_length": "w1 + w2 <> dist",
+    }
+    each = F.explode(F.array_compact(F.array(*(F.when(F.expr(rule), name) for name, rule in wrong.items())))).alias("rule")
+    rows.append(chain.select(each, F.col("edge_id").cast("bigint").alias("id")))
     if block_count is not None or block_size is not None:
         count = edges.agg(F.count("*")).scalar()
         broken("edge_number", edges.where((F.col("edge_id") < 0) | (F.col("edge_id") >= count)), "edge_id")
