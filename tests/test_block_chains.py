@@ -5,7 +5,7 @@ import random
 from roadloom.functions.geo import BLOCK_BITS
 from roadloom.operators import validate
 from roadloom.sources import fixtures as fx
-from roadloom.sources.graph_file import read_blocks, read_meta
+from roadloom.sources.graph_file import read_blocks, read_graph_file, read_meta
 
 
 def _plain(links, cells, count, size, counts, cell_of):
@@ -61,3 +61,15 @@ def test_headers_of_a_file(spark, sf, tmp_path):
     meta, rows = read_meta(path), read_blocks(spark, path).collect()
     assert [r.block for r in sorted(rows)] == list(range(meta.block_count)) and {r.next_block for r in rows} == {-1}
     assert sum(r["count"] for r in rows) == fx.node_count(spark, sf)
+
+
+def test_a_file_in_parts(spark, sf, tmp_path, monkeypatch):
+    """Tasks write the file side by side; reads across parts give what one part for each section gives."""
+    whole, parts = str(tmp_path / "whole.graph"), tmp_path / "parts.graph"
+    fx.write_graph_file(spark, sf, whole)
+    rows = [Counter(map(tuple, t.collect())) for t in read_graph_file(spark, whole)[1:]]
+    monkeypatch.setattr(fx, "BLOCKS_A_PART", 1)
+    monkeypatch.setattr(fx, "EDGES_A_PART", 7)
+    fx.write_graph_file(spark, sf, str(parts))
+    assert max(p.stat().st_size for p in parts.iterdir() if p.name.isdigit()) <= (2 + 2 * fx.BLOCK) * 4
+    assert [Counter(map(tuple, t.collect())) for t in read_graph_file(spark, str(parts))[1:]] == rows
