@@ -1,0 +1,60 @@
+"""Cones made from the top of a hierarchy down, against root by root."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from roadloom.operators import graph
+from roadloom.sources import fixtures as fx
+
+EDGE = "edge_id bigint, owner bigint, direction string, src bigint, dst bigint, dist bigint"
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def lists(df):
+    return {(d, root): dict(zip(nodes, dists, strict=True)) for d, root, nodes, dists in df.select("direction", "root", "node", "dist").collect()}
+
+
+def test_a_round_holds_each_node_once(spark, sf, monkeypatch):
+    nodes, edges, requests = fx.nodes(spark, sf).cache(), fx.edges(spark, sf).cache(), fx.route_requests(spark, sf)
+    ends = [requests.select(F.col(c).alias("root")) for c in ("start_node", "dest_node")]
+    sizes = []
+
+    def counted(df, old=graph.cut):
+        df = old(df)
+        if "edge_id" not in df.columns:
+            sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got, near = rows(graph.cones(*ends, edges, nodes)), lists(graph.cone_lists(*ends, edges, nodes))
+    assert sizes
+    assert max(sizes) <= 2 * nodes.count()
+    monkeypatch.setattr(graph, "DEEP", 0)
+    assert got == rows(graph.cones(*ends, edges, nodes))
+    assert near == lists(graph.cone_lists(*ends, edges, nodes))
+
+
+@pytest.mark.parametrize("deep", [0, 64])
+def test_cycles_parallel_edges_and_roots_in_the_core(spark, monkeypatch, deep):
+    monkeypatch.setattr(graph, "DEEP", deep)
+    nodes = spark.createDataFrame([(i, i == 9) for i in range(10)], "node_id bigint, is_core boolean")
+    pairs = [(0, 1, 5), (0, 1, 3), (1, 2, 1), (2, 0, 1), (2, 9, 4), (3, 9, 2), (4, 4, 1), (5, 77, 1)]
+    edges = spark.createDataFrame([(i, a, "out", a, b, w) for i, (a, b, w) in enumerate(pairs)], EDGE)
+    roots = spark.createDataFrame([(0,), (0,), (3,), (4,), (5,), (6,), (9,), (None,)], "root bigint")
+    got = graph.cones(roots, roots.where("FALSE"), edges, nodes).select("root", "edge_id")
+    assert rows(got) == [*((0, e) for e in range(5)), (3, 5), (4, 6), (5, 7)]
+    near = lists(graph.cone_lists(roots, roots.where("FALSE"), edges, nodes))
+    want = {0: {0: 0, 1: 3, 2: 4, 9: 8}, 3: {3: 0, 9: 2}, 4: {4: 0}, 5: {5: 0, 77: 1}, 6: {6: 0}, 9: {9: 0}}
+    assert near == {("out", r): d for r, d in want.items()}
+    none = roots.where("FALSE")
+    assert rows(graph.cones(none, none, edges, nodes)) == []
+    # without the cycle: the same from the top down
+    acyclic = edges.where("edge_id NOT IN (3, 6)")
+    near = lists(graph.cone_lists(roots, none, acyclic, nodes))
+    assert near[("out", 0)] == {0: 0, 1: 3, 2: 4, 9: 8}
+    assert rows(graph.cones(roots, none, acyclic, nodes).where("root = 0").select("edge_id")) == [(0,), (1,), (2,), (4,)]
