@@ -14,11 +14,14 @@ from pyspark.sql import types as T
 
 from roadloom.functions.geo import TILE, mercator_px
 from roadloom.operators.chunks import CHUNK, fold_chunks, ordered_chunks
+from roadloom.session import large
 
 LEVELS, NEVER, NEAR_PX, LEAF_SPAN = (20, 16, 14, 12, 8, 4, 0), 32, 16.0, 4
 _SCALES = [2.0 ** (before - 1) for before in (NEVER, *LEVELS)]
 #: Zoom levels of the tiles in which boxes and views meet.
 TILE_LEVELS = tuple(range(0, 17, 2))
+#: Views that are sent to the boxes, and points of a route that meet its runs together.
+SENT_VIEWS, STRETCH = 10_000, 64
 
 
 class LevelStream:
@@ -163,7 +166,7 @@ def bounding_boxes(points: DataFrame) -> DataFrame:
     leaves = route_leaves(points)
     each = leaves.select("*", F.explode(F.sequence("first", "last")).alias("seq"))
     at = points.select("route_id", F.col("seq").cast("bigint").alias("seq"), "x", "y")
-    boxes = each.join(at, ["route_id", "seq"]).groupBy("route_id", "leaf_id", "n", "first", "last").agg(
+    boxes = each.join(large(at), ["route_id", "seq"]).groupBy("route_id", "leaf_id", "n", "first", "last").agg(
         *(getattr(F, f)(c).alias(k) for k, (f, c) in _BOX.items())
     )
     first, last = F.greatest(F.col("first") - 1, F.lit(0)), F.least(F.col("last") + 1, F.col("n") - 1)
@@ -201,11 +204,13 @@ def routes_in_viewport(boxes: DataFrame, viewports: DataFrame) -> DataFrame:
 
     Boxes and views meet in tiles, at the coarser of the two levels at which either is no larger than a
     tile: so both lie in a few tiles there, however large a view is. ``hit`` is INCLUSIVE where the box lies in the view, else PARTIAL.
+    Up to ``SENT_VIEWS`` views go to the boxes, which stay where they are: a tile that most boxes lie in is no single task's.
     """
     v, b = ("v_left", "v_right", "v_bottom", "v_top"), ("left", "right", "bottom", "top")
     views = view_boxes(viewports).withColumn("v_own", _tile_level(*v))
     # at most as many values as there are levels
-    levels = sorted(r.v_own for r in views.select("v_own").distinct().collect() if r.v_own is not None)
+    counts = {r.v_own: r["count"] for r in views.groupBy("v_own").count().collect()}
+    levels = sorted(own for own in counts if own is not None)
     up_to = lambda own, levels: F.filter(F.array_union(F.array(*(F.lit(x) for x in levels)).cast("array<int>"), F.array(own)), lambda x: x <= F.col(own))
     vt = views.withColumn("level", F.explode(up_to("v_own", TILE_LEVELS))).select("*", _tiles(*v, "level").alias("tile"))
     bt = boxes.withColumn("own", _tile_level(*b))
@@ -213,7 +218,8 @@ def routes_in_viewport(boxes: DataFrame, viewports: DataFrame) -> DataFrame:
     meets = "NOT (right < v_left OR left > v_right OR top < v_bottom OR bottom > v_top)"
     inside = "right <= v_right AND left >= v_left AND top <= v_top AND bottom >= v_bottom"
     hit = F.when(F.expr(inside), "INCLUSIVE").otherwise("PARTIAL").alias("hit")
-    rows = vt.join(bt, ["level", "tile"]).where("level = least(own, v_own)").where(meets)
+    sent = F.broadcast(vt) if sum(counts.values()) <= SENT_VIEWS else large(vt)
+    rows = bt.join(sent, ["level", "tile"]).where("level = least(own, v_own)").where(meets)
     return rows.select("viewport_id", "zoom", "route_id", "leaf_id", "first", "last", hit).distinct()
 
 
@@ -230,8 +236,13 @@ def route_runs(hits: DataFrame) -> DataFrame:
 
 
 def drawn_points(runs: DataFrame, levels: DataFrame) -> DataFrame:
-    """``(viewport_id, route_id, run, seq, x, y)``: each run's two ends and what its zoom shows between."""
+    """``(viewport_id, route_id, run, seq, x, y)``: each run's two ends and what its zoom shows between.
+
+    Runs and points meet in stretches of ``STRETCH`` points, so a run is there once a stretch, not once a point.
+    """
     at = levels.select("route_id", F.col("seq").cast("bigint").alias("seq"), "x", "y", "min_zoom")
-    rows = runs.select("*", F.explode(F.sequence("first", "last")).alias("seq")).join(at, ["route_id", "seq"])
+    number = lambda c: F.floor(F.col(c) / STRETCH)
+    each = runs.select("*", F.explode(F.sequence(number("first"), number("last"))).alias("stretch"))
+    rows = each.join(large(at.withColumn("stretch", number("seq"))), ["route_id", "stretch"]).where(F.col("seq").between(F.col("first"), F.col("last")))
     shown = (F.col("min_zoom") <= F.col("zoom")) | (F.col("seq") == F.col("first")) | (F.col("seq") == F.col("last"))
     return rows.where(shown).select("viewport_id", "route_id", "run", "seq", "x", "y")
