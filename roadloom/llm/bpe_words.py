@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from zlib import crc32
 
@@ -91,6 +92,17 @@ def _by_bucket(known: dict[str, list[str]], buckets: int) -> dict[int, list[str]
     return lists
 
 
+def _uncollected(f: Callable[..., pa.Table], *args: pa.Table) -> pa.Table:
+    """``f(*args)`` without searches for cycles: a block's lists of words are many, hold no cycles and go with their last reference."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        return f(*args)
+    finally:
+        if on:
+            gc.enable()
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, n_tokens, ids)``; ``ids`` holds little-endian unsigned 32-bit integers.
 
@@ -111,7 +123,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
     # ids of a small vocabulary travel in two bytes
     narrow = np.dtype("<u2" if len(pieces_of(path)) <= 1 << 16 else "<u4")
 
-    def words(group: pa.Table) -> pa.Table:
+    def asked_of(group: pa.Table) -> pa.Table:
         lists = _by_bucket(_chunks(group.column("bundle"), path), buckets)
         squeeze = zstandard.ZstdCompressor(6).compress
         packed = [squeeze(json.dumps(x, ensure_ascii=False).encode()) for x in lists.values()]
@@ -135,7 +147,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
             arrays = [pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in (lengths, ids))]
             yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "lengths", "ids"])
 
-    def joined(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def ids_of(texts: pa.Table, answers: pa.Table) -> pa.Table:
         grow, ids = zstandard.ZstdDecompressor().decompress, {}
         docs: list[tuple[int, list[str]]] = []
         known = _chunks(texts.column("bundle"), path, docs)
@@ -145,7 +157,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
             joint = grow(joint.as_py())
             for word, start, end in zip(lists.pop(bucket.as_py()), [0, *ends[:-1]], ends, strict=True):
                 ids[word] = joint[start:end]
-        own = {chunk: b"".join([ids[w] for w in words]) for chunk, words in known.items()}
+        own = {chunk: ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for chunk, words in known.items()}
         known.clear()
         ids.clear()
         doc_ids, out = [d for d, _ in docs], []
@@ -156,6 +168,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
         counts = pa.array([len(x) // 4 for x in out], pa.int64())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": counts, "ids": pa.array(out, pa.binary())})
 
+    def words(group: pa.Table) -> pa.Table:
+        return _uncollected(asked_of, group)
+
+    def joined(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        return _uncollected(ids_of, texts, answers)
+
     asked = blocks.groupBy("block").applyInArrow(words, "block long, bucket long, words binary")
     asked = asked.repartition("bucket").sortWithinPartitions("bucket")
     answers = asked.mapInArrow(encoded, "block long, bucket long, lengths binary, ids binary")
