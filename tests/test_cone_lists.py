@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.operators import graph
 from roadloom.sources import fixtures as fx
+from roadloom.sources.graph_file import load_graph_tables, write_graph_tables
 
 EDGE = "edge_id bigint, owner bigint, direction string, src bigint, dst bigint, dist bigint"
 
@@ -58,3 +59,44 @@ def test_cycles_parallel_edges_and_roots_in_the_core(spark, monkeypatch, deep):
     near = lists(graph.cone_lists(roots, none, acyclic, nodes))
     assert near[("out", 0)] == {0: 0, 1: 3, 2: 4, 9: 8}
     assert rows(graph.cones(roots, none, acyclic, nodes).where("root = 0").select("edge_id")) == [(0,), (1,), (2,), (4,)]
+
+
+def test_rounds_read_what_the_round_before_left(spark, sf, tmp_path, monkeypatch):
+    tables = {"nodes": fx.nodes(spark, sf), "edges": fx.edges(spark, sf), "edge_details": fx.edge_details(spark, sf)}
+    write_graph_tables(tables, str(tmp_path))
+    stored, scans, left = load_graph_tables(spark, str(tmp_path)), [], []
+
+    def counted(df, old=graph.cut):
+        scans.append("_edges[" in df._jdf.queryExecution().executedPlan().toString())
+        df = old(df)
+        if "edge_id" in df.columns:
+            left.append(df.count())
+        return df
+
+    monkeypatch.setattr(graph, "cut", counted)
+    monkeypatch.setattr(graph, "TOP", 0, raising=False)
+    roots = stored["nodes"].select(F.col("node_id").alias("root"))
+    got = rows(graph.cones(roots, roots.where("FALSE"), stored["edges"], stored["nodes"], laid_out=True))
+    # all nodes are roots: one round reaches them, then one table is taken apart
+    assert sum(scans) == 2
+    assert len(left) > 3
+    assert sum(left[1:]) <= 2 * left[0]
+    monkeypatch.setattr(graph, "DEEP", 0)
+    assert got == rows(graph.cones(roots, roots.where("FALSE"), stored["edges"], stored["nodes"], laid_out=True))
+
+
+@pytest.mark.parametrize(("top", "held"), [(0, 4_000_000), (9, 4_000_000), (100_000, 4_000_000), (100_000, 3)])
+def test_the_upper_part_in_one_task(spark, monkeypatch, top, held):
+    monkeypatch.setattr(graph, "TOP", top, raising=False)
+    monkeypatch.setattr(graph, "HELD", held, raising=False)
+    nodes = spark.createDataFrame([(i, i >= 9) for i in range(12)], "node_id bigint, is_core boolean")
+    pairs = [(0, 1, 5), (0, 1, 3), (0, 2, 9), (1, 2, 1), (1, 3, 0), (2, 3, 4), (3, 4, 2), (2, 5, 1), (4, 9, 3), (5, 9, 1), (5, 10, 1), (6, 4, 2), (7, 88, 1), (8, 6, 7), (9, 10, 1)]
+    out = [(i, a, "out", a, b, w) for i, (a, b, w) in enumerate(pairs)]
+    edges = spark.createDataFrame(out + [(100 + i, a, "in", b, a, w) for i, (a, b, w) in enumerate(pairs)], EDGE)
+    roots = spark.createDataFrame([(0,), (2,), (8,), (7,), (10,)], "root bigint")
+    got, near = rows(graph.cones(roots, roots, edges, nodes)), lists(graph.cone_lists(roots, roots, edges, nodes))
+    assert near[("out", 2)] == {2: 0, 3: 4, 4: 6, 5: 1, 9: 2, 10: 2}
+    assert near[("in", 8)] == {8: 0, 6: 7, 4: 9, 9: 12}
+    monkeypatch.setattr(graph, "DEEP", 0)
+    assert got == rows(graph.cones(roots, roots, edges, nodes))
+    assert near == lists(graph.cone_lists(roots, roots, edges, nodes))
